@@ -45,7 +45,7 @@ RATE = 20.0
 LIMIT = 65535
 MARGIN = 5.0
 #: Rows of a bucket or group in one block; groups of up to SMALL rows are held against each other all at once.
-BUCKET_BLOCK, GROUP_BLOCK, SMALL = 256, 128, 8
+BUCKET_BLOCK, GROUP_BLOCK, SMALL = 512, 128, 8
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
@@ -195,8 +195,8 @@ def _chunks(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], size: int)
     yield from ready(True)
 
 
-def _search(n: int, same_block: np.ndarray | None, test) -> Iterator[tuple[int, int]]:
-    """Links of a spanning forest of the graph on 0..n-1 whose edges test(x, others) tells.
+def _search(n: int, same_block: np.ndarray | None, test) -> Iterator[list[int]]:
+    """The connected components of more than one node of the graph on 0..n-1 whose edges test(x, others) tells.
 
     same_block, if given, holds each node's block; then only pairs of different blocks count.
     """
@@ -205,20 +205,28 @@ def _search(n: int, same_block: np.ndarray | None, test) -> Iterator[tuple[int,
         if not left[root]:
             continue
         left[root] = False
-        front = [root]
+        front, reached = [root], [root]
         while front:
             x = front.pop()
             others = np.flatnonzero(left if same_block is None else left & (same_block != same_block[x]))
             if not len(others):
                 continue
-            for y in others[test(x, others)].tolist():
-                left[y] = False
-                front.append(y)
-                yield x, y
+            near = others[test(x, others)]
+            left[near] = False
+            front += near.tolist()
+            reached += near.tolist()
+        if len(reached) > 1:
+            yield reached
+
+
+def _to_least(rep: np.ndarray, reached: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Links from the members of a component to its least id: equal buckets give equal links."""
+    own = rep[reached]
+    return own[own != own.min()], np.full(int((own != own.min()).sum()), own.min())
 
 
 def _grouper(percent: int):
-    """Spanning links of the graph of bucket mates with enough equal registers."""
+    """Links that span the graph of bucket mates with enough equal registers."""
     need = int(np.ceil(_floor(percent) * REGISTERS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +235,7 @@ def _grouper(percent: int):
             rep, size = part.column("rep").to_numpy(), part.column("n_shingles").to_numpy()
             block, pair = part.column("block").to_numpy(), part.column("bi").to_numpy() != part.column("bj").to_numpy()
             lengths = np.diff(bounds)
-            x, y = [], []
+            x, y, links = [], [], []
             # within small groups, row k is held against row k + step
             for step in range(1, SMALL):
                 at = np.repeat(bounds[:-1], np.where(lengths <= SMALL, np.maximum(lengths - step, 0), 0))
@@ -246,11 +254,10 @@ def _grouper(percent: int):
                 def test(i, others, sk=sk, sz=sz):
                     return (100 * np.minimum(sz[i], sz[others]) >= percent * np.maximum(sz[i], sz[others])) & ((sk[others] == sk[i]).sum(axis=1) >= need)
 
-                found = list(_search(hi - lo, block[lo:hi] if pair[lo] else None, test))
-                x.append(np.array([i + lo for i, _ in found], dtype=np.int64))
-                y.append(np.array([j + lo for _, j in found], dtype=np.int64))
-            if x:
-                a, b = rep[np.concatenate(x)], rep[np.concatenate(y)]
+                links += [_to_least(rep[lo:hi], c) for c in _search(hi - lo, block[lo:hi] if pair[lo] else None, test)]
+            links += [(rep[i], rep[j]) for i, j in zip(x, y, strict=True)]
+            if links:
+                a, b = (np.concatenate([link[side] for link in links]) for side in (0, 1))
                 out = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], names=["a", "b"])
 
@@ -258,7 +265,7 @@ def _grouper(percent: int):
 
 
 def _verifier(width: int, percent: int):
-    """Spanning links of the graph of group mates whose full sets are similar enough."""
+    """Links that span the graph of group mates whose full sets are similar enough."""
     floor = _floor(percent)
     need = int(np.ceil(floor * REGISTERS))
 
@@ -290,9 +297,9 @@ def _verifier(width: int, percent: int):
                     good[ask] = ask_of
                     return good
 
-                links += [(rep[lo + i], rep[lo + j]) for i, j in _search(hi - lo, block[lo:hi] if pair[lo] else None, test)]
+                links += [_to_least(rep[lo:hi], c) for c in _search(hi - lo, block[lo:hi] if pair[lo] else None, test)]
             if links:
-                a, b = np.array(links, dtype=np.int64).T
+                a, b = (np.concatenate([link[side] for link in links]) for side in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run

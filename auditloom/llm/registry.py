@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, pieces, quality, rules
+from . import chat, hnsw, mixing, pieces, quality, rules, warc, wrapper
 from .common import table
 from .near_dedup import near_duplicates
 
@@ -19,6 +19,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -38,12 +42,21 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return hnsw.search(hnsw.build_index(rows), rows, rows.where("vec_id % 20 = 0"))
+
+
 def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_classifier, op4_minhash_near_dedup, op5_quality_rules, op6_chat_formatting, op7_token_counts, op10_mixing_sources)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_classifier, op3_html_extraction, op4_minhash_near_dedup, op5_quality_rules, op6_chat_formatting, op7_token_counts, op8_warc, op9_nearest_neighbours, op10_mixing_sources)}
 
 
 def oracle_sql() -> dict[str, str]:

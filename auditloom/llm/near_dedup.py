@@ -338,3 +338,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     member = classes.select("f1", "f2", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("root", "rep").alias("root"))
     return sets.drop("sketch").join(member, ["f1", "f2"], "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), F.expr("coalesce(doc_id = coalesce(root, doc_id), true)").alias("kept"))
+
+
+def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that near_duplicates() keeps, one per id, with all their columns.
+
+    Of rows that share an id, one with the least hash of its text stays; rows
+    without id all stay.
+    """
+    gone = near_duplicates(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    rest = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    twice = docs.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.count("*").alias("_n"), F.min(F.xxhash64("text")).alias("_first")).where("_n > 1 AND _id IS NOT NULL")
+    held = rest.join(twice, F.col("doc_id").cast("long") == F.col("_id"), "left")
+    single = held.where("_id IS NULL").select(*docs.columns)
+    repeated = held.where("_id IS NOT NULL AND xxhash64(text) = _first").select(*docs.columns).dropDuplicates(["doc_id"])
+    return single.unionByName(repeated)

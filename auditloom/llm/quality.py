@@ -36,6 +36,8 @@ from .common import prepare, settle
 BUCKETS = 1 << 15
 SAMPLE_ROWS = 20_000
 RECALL = 0.995
+#: A bucket's target count is drawn to what the raw model expects of it, with the weight of so many n-grams.
+PRIOR = 16
 
 _U = np.uint64
 _FAMILY = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9))
@@ -96,7 +98,7 @@ def fit(docs: DataFrame, sample: DataFrame) -> np.ndarray:
         raw[bucket], target[bucket] = r, t
     if not target.sum():
         return np.zeros(BUCKETS)
-    return np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
+    return np.log((target + PRIOR) / (raw * (target.sum() / raw.sum()) + PRIOR))
 
 
 def gumbel(ids: pa.Array) -> np.ndarray:

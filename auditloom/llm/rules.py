@@ -33,6 +33,8 @@ from .common import WHITE, words
 BUCKETS = 1 << 13
 SAMPLE_ROWS = 20_000
 THRESHOLD = -0.05
+#: A bucket's target count is drawn to what the raw model expects of it, with the weight of so many n-grams.
+PRIOR = 16
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
@@ -105,8 +107,8 @@ def ratios(docs: DataFrame, labels: DataFrame) -> list[float]:
         return [0.0] * (2 * BUCKETS)
     out = []
     for part in (slice(0, BUCKETS), slice(BUCKETS, None)):
-        r_all, t_all = sum(raw[part]) + BUCKETS, sum(target[part]) + BUCKETS
-        out += [math.log((t + 1) / t_all) - math.log((r + 1) / r_all) for r, t in zip(raw[part], target[part], strict=True)]
+        share = sum(target[part]) / max(1, sum(raw[part]))
+        out += [math.log((t + PRIOR) / (share * r + PRIOR)) for r, t in zip(raw[part], target[part], strict=True)]
     return out
 
 

@@ -337,7 +337,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     label = components(links)
 
     member = classes.select("f1", "f2", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("root", "rep").alias("root"))
-    return sets.drop("sketch").join(member, ["f1", "f2"], "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), F.expr("coalesce(doc_id = coalesce(root, doc_id), true)").alias("kept"))
+    root = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
+    return sets.drop("sketch").join(member, ["f1", "f2"], "left").select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -32,10 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, settle
 from .textkernel import slices
 
 GROUP, SUPPORT, DEPTH = 64, 6, 60
+#: So many hosts of more than one group may be broadcast; more are joined by a shuffle.
+BROADCAST_HOSTS = 100_000
 
 # HTML elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -360,6 +362,8 @@ def extract(pages: DataFrame) -> DataFrame:
     prepare(pages.sparkSession)
     host = F.regexp_extract(F.lower(F.coalesce(F.col("url").cast("string"), F.lit(""))), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
-    groups = rows.groupBy("host").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
-    dealt = rows.join(groups, "host").withColumn("salt", F.pmod(F.xxhash64("page_id", F.lit(3)), F.col("groups"))).drop("groups")
+    groups = settle(rows.groupBy("host").agg(F.ceil(F.count("*") / GROUP).alias("groups")).where("groups > 1"), "hosts")
+    if groups.count() <= BROADCAST_HOSTS:
+        groups = F.broadcast(groups)
+    dealt = rows.join(groups, "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", F.lit(3)), F.coalesce("groups", F.lit(1)))).drop("groups")
     return dealt.repartition("host", "salt").sortWithinPartitions("host", "salt", "page_id").mapInArrow(_extractor, "page_id long, url string, text string, n_chars long")

@@ -9,9 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Protocol
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .functions import text as X
 
@@ -36,34 +40,48 @@ class Evaluator(Protocol):
     def evaluate(self, matched: DataFrame) -> DataFrame: ...
 
 
-def hashed_vector(text: Column, dimensions: int = DIMENSIONS) -> Column:
-    """The default embedding: hashed word counts with signs, of unit length; a text without words is zero.
+class HashedEmbedder:
+    """The default: hashed word counts with signs, of unit length; a text without words is zero.
 
-    Built from columns alone: one pass over the words per dimension group is
-    avoided by folding each word into one slot of an array of counts.
+    A whole batch is hashed and counted by array operations.
     """
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s\p{Punct}]+"), lambda w: w != "")
-    slots = F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(dimensions)).cast("int").alias("slot"), F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("sign")))
-    counts = X.let(slots, lambda s: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.aggregate(F.filter(s, lambda x: x["slot"] == i), F.lit(0.0), lambda a, x: a + x["sign"])))
 
-    def unit(v: Column) -> Column:
-        length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-        return F.transform(v, lambda x: F.when(length > 0, x / length).otherwise(F.lit(0.0)))
+    def __init__(self, dimensions: int = DIMENSIONS) -> None:
+        self.dimensions = dimensions
 
-    return X.let(counts, unit)
+    def encode_column(self, column: pa.Array) -> np.ndarray:
+        words = pc.split_pattern_regex(pc.utf8_lower(column.fill_null("")), pattern=r"[^\p{L}\p{N}]+")
+        row = np.repeat(np.arange(len(words)), words.value_lengths().to_numpy())
+        flat = words.flatten().dictionary_encode()
+        known = flat.dictionary.to_pandas().to_numpy(dtype=object)
+        marks = pd.util.hash_array(known, categorize=False) if len(known) else np.zeros(0, dtype=np.uint64)
+        sign = np.where(known == "", 0.0, np.where(marks >> np.uint64(63), 1.0, -1.0))
+        code = flat.indices.to_numpy()
+        slot = row * self.dimensions + (marks % np.uint64(self.dimensions)).astype(np.int64)[code]
+        out = np.bincount(slot, weights=sign[code], minlength=len(words) * self.dimensions).reshape(-1, self.dimensions)
+        length = np.linalg.norm(out, axis=1, keepdims=True)
+        return out / np.where(length > 0, length, 1.0)
+
+    def encode(self, texts: list[str]) -> list[list[float]]:
+        return self.encode_column(pa.array(texts, pa.string())).tolist()
 
 
 def embed(df: DataFrame, text: str, embedder: Embedder | None = None, out: str = "vec") -> DataFrame:
-    """df with a vector column; without an embedder the default one, in the JVM."""
-    if embedder is None:
-        return df.withColumn(out, hashed_vector(F.col(text)))
+    """df with a vector column."""
+    model = embedder or HashedEmbedder()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = embedder.encode(["" if t is None else t for t in batch.column(text).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(vectors, pa.list_(pa.float64()))], names=[*batch.schema.names, out])
-
-    return df.mapInArrow(run, df.schema.add(out, "array<double>"))
+            column = batch.column(text)
+            if isinstance(model, HashedEmbedder):
+                made = model.encode_column(column)
+                flat = pa.array(made.ravel())
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(column) + 1, dtype=np.int32) * made.shape[1]), flat)
+            else:
+                vectors = pa.array(model.encode(["" if t is None else t for t in column.to_pylist()]), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, vectors], names=[*batch.schema.names, out])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))]))
 
 
 class RuleExtractor:

@@ -3,25 +3,25 @@
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import review
 
 
-def review_stream(spark: SparkSession, source: str, schema: str, evaluate: Callable[[DataFrame], DataFrame], critic: Callable[[DataFrame], DataFrame], path: str) -> tuple[DataFrame, DataFrame]:
-    """Evaluate requirement files as they are; gives (evaluations, events) of the finished run.
+def review_stream(rows: DataFrame, evaluate: Callable[[DataFrame], DataFrame], critic: Callable[[DataFrame], DataFrame], path: str) -> tuple[DataFrame, DataFrame]:
+    """Evaluate a stream of requirements; gives (evaluations, events) of the finished run.
 
     Each micro-batch writes its evaluations and one event per row under its batch
     number, so a batch that runs again replaces its own output.  The critic
     starts only when the stream has ended (T4); then come critic_complete, done.
     """
-    rows = spark.readStream.schema(schema).parquet(source)
+    spark = rows.sparkSession
 
     def one(batch: DataFrame, number: int) -> None:
         made = evaluate(batch).withColumn("batch", F.lit(number))
@@ -82,14 +82,20 @@ def latest_by_key(stream: DataFrame) -> DataFrame:
     return stream.groupBy("key").transformWithStateInPandas(statefulProcessor=LatestRow(), outputStructType="key string, seq long, value double, n long", outputMode="update", timeMode="none")
 
 
-def run_to_table(updates: DataFrame, name: str | None = None, mode: str = "update", checkpoint: str | None = None) -> DataFrame:
-    """Drain an updates stream into a table of all its updates."""
-    name = name or f"updates_{uuid.uuid4().hex}"
-    writer = updates.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    writer.start().awaitTermination()
-    return updates.sparkSession.table(name)
+def drain(updates: DataFrame, path: str, mode: str = "update") -> DataFrame:
+    """Run an updates stream over what its source holds and read all its batches back.
+
+    Each batch is written under its number, so one that runs again replaces
+    itself; the column batch tells their order.
+    """
+    spark = updates.sparkSession
+
+    def one(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+
+    updates.writeStream.foreachBatch(one).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    schema = T.StructType([*updates.schema.fields, T.StructField("batch", T.LongType())])
+    return spark.read.schema(schema).option("basePath", f"{path}/out").parquet(f"{path}/out")
 
 
 def windowed(stream: DataFrame, ts: str, key: str, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:

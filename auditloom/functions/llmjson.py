@@ -36,6 +36,12 @@ def outermost(raw: Column, opening: str, closing: str) -> Column:
     return F.when(found != "", found).otherwise(raw)
 
 
+def _items(text: Column, schema: str) -> Column:
+    """The elements of a JSON array, each read on its own, so a bad one does not spoil the others."""
+    element = schema.removeprefix("array<").removesuffix(">")
+    return F.transform(F.from_json(text, "array<string>"), lambda x: F.from_json(x, element))
+
+
 def requirements(df: DataFrame, raw: str = "raw") -> DataFrame:
     """(…, status, id, text, reference, category): one row per good item.
 
@@ -45,7 +51,7 @@ def requirements(df: DataFrame, raw: str = "raw") -> DataFrame:
     text = outermost(unfenced(F.col(raw)), "[", "]")
     keep = [c for c in df.columns if c != raw]
     parsed = df.withColumn("_t", text).withColumn("status", F.when(F.try_parse_json("_t").isNull(), "not_json").when(~_is_array(F.col("_t")), "not_array").otherwise("ok"))
-    parsed = parsed.withColumn("_i", F.when(F.col("status") == "ok", F.from_json("_t", REQUIREMENTS)))
+    parsed = parsed.withColumn("_i", F.when(F.col("status") == "ok", _items(F.col("_t"), REQUIREMENTS)))
     good = F.filter("_i", lambda x: x["id"].rlike(r"^[+-]?\d+$") & x["text"].isNotNull())
     rows = parsed.select(*keep, "status", F.posexplode_outer(good).alias("item_no", "r")).where("status <> 'ok' OR r IS NOT NULL")
     return rows.select(*keep, "status", "item_no", F.col("r.id").cast("int").alias("id"), F.col("r.text").alias("text"), F.col("r.reference").alias("reference"), F.col("r.category").alias("category"))
@@ -54,7 +60,7 @@ def requirements(df: DataFrame, raw: str = "raw") -> DataFrame:
 def compliance(df: DataFrame, raw: str = "raw", heading: str = "section_heading") -> DataFrame:
     """as requirements(), but anything unreadable gives no rows; id 0, no parent, default heading."""
     text = outermost(unfenced(F.col(raw)), "[", "]")
-    items = F.when(_is_array(text), F.from_json(text, COMPLIANCE))
+    items = F.when(_is_array(text), _items(text, COMPLIANCE))
     keep = [c for c in df.columns if c not in (raw, heading)]
     rows = df.select(*keep, F.col(heading).alias("_h"), F.posexplode(items).alias("item_no", "r")).where("r.text IS NOT NULL")
     fields = [c for c in ("text", "reference", "category", "obligation_type", "obligation_level", "actor", "action_required", "condition", "timeframe", "evidence_needed", "risk_area", "exact_quote")]
@@ -93,7 +99,7 @@ def verdicts(df: DataFrame, raw: str = "raw") -> DataFrame:
     in_object = F.get(F.filter(wrapped, lambda x: x.startswith("[")), F.lit(0))
     listed = F.when(_is_array(F.col("_t")), F.col("_t")).when(F.col("_v").isNotNull() & in_object.isNotNull(), in_object).when(_is_array(first_list), first_list)
     keep = [c for c in df.columns if c not in (raw, "_t", "_v")]
-    rows = df.select(*keep, F.posexplode(F.from_json(listed, VERDICTS)).alias("seq", "v"))
+    rows = df.select(*keep, F.posexplode(_items(listed, VERDICTS)).alias("seq", "v"))
     flag = F.coalesce(~F.lower("v.needs_human_review").isin("", "false", "0", "null"), F.lit(False))
     return rows.select(*keep, "seq", F.col("v.requirement_id").try_cast("int").alias("requirement_id"), F.col("v.verified_answer").alias("verified_answer"), flag.alias("needs_human_review"), F.col("v.reason").alias("reason"))
 

@@ -124,8 +124,8 @@ class Lattices:
     """Forward-filtered lattices of the units seen so far, as flat arrays.
 
     Node `base[u] + p` is position p of unit u.  The edges that end in a node
-    are neighbours; `key` is the node number plus their cumulative share of the
-    node's forward sum, so that one sorted search draws an edge.
+    are neighbours from `begin` on; `share` is their cumulative share of the
+    node's forward sum, the last one's being 1, so a draw steps along a few.
     """
 
     def __init__(self, vocab: Vocabulary) -> None:
@@ -136,7 +136,8 @@ class Lattices:
         self.marks = pd.Index(np.zeros(0, dtype=_U))
         self.base = np.zeros(0, dtype=np.int64)
         self.size = np.zeros(0, dtype=np.int64)
-        self.key = np.zeros(0)
+        self.begin = np.zeros(0, dtype=np.int64)
+        self.share = np.zeros(0)
         self.id = np.zeros(0, dtype=np.int32)
         self.length = np.zeros(0, dtype=np.int32)
         self.nodes = 0
@@ -144,7 +145,7 @@ class Lattices:
     def place(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, marks: np.ndarray) -> np.ndarray:
         """The store's index of every unit; new ones are added."""
         code, distinct = pd.factorize(marks)
-        if len(self.key) > KEEP_EDGES:
+        if len(self.share) > KEEP_EDGES:
             self.clear()
         known = self.marks.get_indexer(pd.Index(distinct))
         new = np.flatnonzero(known < 0)
@@ -220,8 +221,8 @@ class Lattices:
             run -= np.repeat(np.concatenate([[0.0], run[off[1:] - 1]]), k)
             run[off + k - 1] = 1.0
             share[e] = run
-        owner = np.repeat(np.arange(n_nodes), in_edges)
-        self.key = np.concatenate([self.key, owner + self.nodes + np.clip(share, 0, 1)])
+        self.begin = np.concatenate([self.begin, begin[:-1] + len(self.share)])
+        self.share = np.concatenate([self.share, share])
         self.id, self.length = np.concatenate([self.id, ids]), np.concatenate([self.length, lengths])
         self.base, self.size = np.concatenate([self.base, base + self.nodes]), np.concatenate([self.size, size])
         self.nodes += n_nodes
@@ -234,8 +235,12 @@ class Lattices:
         step = 0
         while len(who):
             step += 1
-            u = np.clip(K.unit(K.mix64(seed[who] + _U((step * int(_GOLD)) & 0xFFFFFFFFFFFFFFFF))), 1e-7, 1 - 1e-7)
-            edge = np.searchsorted(self.key, at + u, side="left")
+            u = K.unit(K.mix64(seed[who] + _U((step * int(_GOLD)) & 0xFFFFFFFFFFFFFFFF)))
+            edge = self.begin[at]
+            on = np.flatnonzero(self.share[edge] < u)
+            while len(on):
+                edge[on] += 1
+                on = on[self.share[edge[on]] < u[on]]
             drawn.append(edge)
             owners.append(who)
             at = at - self.length[edge]

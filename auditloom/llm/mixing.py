@@ -129,10 +129,10 @@ def mix(docs: DataFrame) -> DataFrame:
     A document is given once for each full copy taken, and once more for a last
     part of half its words or more; one of which less is taken is left out.
     """
-    copies = taken(docs).where("taken > 0 AND size > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.expr("cast(floor(taken / size + 0.5D) as int)").alias("_copies"))
-    rows = copies.where("_copies > 0").groupBy("_id", "_source", "_size").agg(F.sort_array(F.collect_list("_copies"), asc=False).alias("_copies"))
-    twins = Window.partitionBy(F.col("doc_id").cast("long"), F.col("source").cast("string"), n_words(F.col("text"))).orderBy(F.xxhash64("text"))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (n_words(F.col("text")) == F.col("_size"))
-    held = docs.join(rows, on)
-    numbered = held.withColumn("_n", F.get("_copies", F.row_number().over(twins) - 1)).where("_n > 0")
-    return numbered.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    keys = (F.col("doc_id").cast("long"), F.col("source").cast("string"), n_words(F.col("text")))
+    copies = taken(docs).withColumn("_c", F.when(F.col("size") > 0, F.expr("cast(floor(taken / size + 0.5D) as int)")).otherwise(0))
+    rows = copies.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.sort_array(F.collect_list("_c"), asc=False).alias("_c")).where("_c[0] > 0")
+    held = docs.join(rows, keys[0].eqNullSafe(F.col("_id")) & keys[1].eqNullSafe(F.col("_source")) & (keys[2] == F.col("_size")))
+    single = held.where("size(_c) = 1").withColumn("_n", F.col("_c")[0])
+    twins = held.where("size(_c) > 1").withColumn("_n", F.get("_c", F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(F.xxhash64("text"))) - 1)).where("_n > 0")
+    return single.unionByName(twins).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)

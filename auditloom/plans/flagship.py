@@ -7,22 +7,23 @@ from pyspark.sql import functions as F
 
 from .. import models
 from ..operators import pack, review, similarity
+from ..sources.shared import settle
 from .document_queries import _files, line_units
 
 TOP_K = 3
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of all documents with an id and a vector."""
+    """Chunks of all documents with an id and a vector, written once as the passage table."""
     chunks = pack.chunk(_files(spark, sf_dir), split=line_units)
     numbered = chunks.withColumn("id", F.xxhash64("source_file", "chunk_index"))
-    return models.embed(numbered, "text")
+    return settle(models.embed(numbered, "text"), "passages")
 
 
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items as requirements, each with its TOP_K passages."""
     corpus = passages(spark, sf_dir)
-    items = models.embed(spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("id"), "text"), "text")
+    items = settle(models.embed(spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("id"), "text"), "text"), "items")
     found = similarity.top_k(items.select("id", "vec"), corpus.select("id", "vec"), TOP_K)
     return found.withColumnRenamed("id", "chunk_id").join(corpus.select(F.col("id").alias("chunk_id"), "text", "source_file", "page_number"), "chunk_id")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -15,3 +15,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
         known = "file://" + tempfile.mkdtemp(prefix="auditloom-")
         spark.conf.set("spark.checkpoint.dir", known)
     return f"{known.rstrip('/')}/auditloom/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write df as a table in the shared folder and read it back, so that several uses compute it once."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -130,9 +130,9 @@ def mix(docs: DataFrame) -> DataFrame:
     part of half its words or more; one of which less is taken is left out.
     """
     keys = (F.col("doc_id").cast("long"), F.col("source").cast("string"), n_words(F.col("text")))
-    copies = taken(docs).withColumn("_c", F.when(F.col("size") > 0, F.expr("cast(floor(taken / size + 0.5D) as int)")).otherwise(0))
-    rows = copies.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.sort_array(F.collect_list("_c"), asc=False).alias("_c")).where("_c[0] > 0")
-    held = docs.join(rows, keys[0].eqNullSafe(F.col("_id")) & keys[1].eqNullSafe(F.col("_source")) & (keys[2] == F.col("_size")))
-    single = held.where("size(_c) = 1").withColumn("_n", F.col("_c")[0])
-    twins = held.where("size(_c) > 1").withColumn("_n", F.get("_c", F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(F.xxhash64("text"))) - 1)).where("_n > 0")
-    return single.unionByName(twins).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    copies = taken(docs).withColumn("__loom_c", F.when(F.col("size") > 0, F.expr("cast(floor(taken / size + 0.5D) as int)")).otherwise(0))
+    rows = copies.groupBy(F.col("doc_id").alias("__loom_id"), F.col("source").alias("__loom_source"), F.col("size").alias("__loom_size")).agg(F.sort_array(F.collect_list("__loom_c"), asc=False).alias("__loom_c")).where("__loom_c[0] > 0")
+    held = docs.join(rows, keys[0].eqNullSafe(F.col("__loom_id")) & keys[1].eqNullSafe(F.col("__loom_source")) & (keys[2] == F.col("__loom_size")))
+    single = held.where("size(__loom_c) = 1").withColumn("__loom_n", F.col("__loom_c")[0])
+    twins = held.where("size(__loom_c) > 1").withColumn("__loom_n", F.get("__loom_c", F.row_number().over(Window.partitionBy("__loom_id", "__loom_source", "__loom_size").orderBy(F.xxhash64("text"))) - 1)).where("__loom_n > 0")
+    return single.unionByName(twins).withColumn("__loom_n", F.explode(F.sequence(F.lit(1), F.col("__loom_n")))).select(*docs.columns)

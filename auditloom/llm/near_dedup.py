@@ -347,10 +347,10 @@ def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     Of rows that share an id, one with the least hash of its text stays; rows
     without id all stay.
     """
-    gone = near_duplicates(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    rest = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    twice = docs.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.count("*").alias("_n"), F.min(F.xxhash64("text")).alias("_first")).where("_n > 1 AND _id IS NOT NULL")
-    held = rest.join(twice, F.col("doc_id").cast("long") == F.col("_id"), "left")
-    single = held.where("_id IS NULL").select(*docs.columns)
-    repeated = held.where("_id IS NOT NULL AND xxhash64(text) = _first").select(*docs.columns).dropDuplicates(["doc_id"])
+    gone = near_duplicates(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias("__loom_gone")).distinct()
+    rest = docs.join(gone, F.col("doc_id").cast("long") == F.col("__loom_gone"), "left_anti")
+    twice = docs.groupBy(F.col("doc_id").cast("long").alias("__loom_id")).agg(F.count("*").alias("__loom_n"), F.min(F.xxhash64("text")).alias("__loom_first")).where("__loom_n > 1 AND __loom_id IS NOT NULL")
+    held = rest.join(twice, F.col("doc_id").cast("long") == F.col("__loom_id"), "left")
+    single = held.where("__loom_id IS NULL").select(*docs.columns)
+    repeated = held.where("__loom_id IS NOT NULL AND xxhash64(text) = __loom_first").select(*docs.columns).dropDuplicates(["doc_id"])
     return single.unionByName(repeated)

@@ -59,18 +59,19 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): one row (node, root) per node that is not its own root.
 
     Alternates the large-star and small-star steps until the edges no longer
-    change.  Minima are pre-aggregated and joined back, so a hub's edges are
-    never gathered in one task; each round is cut off by a written table.
+    change.  Minima are pre-aggregated and written before they are joined back, so
+    the join has shuffles of its own, which the planner splits where a hub's edges
+    are many; each round is cut off by a written table.
     """
     edges = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = _state(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("m"))
-        large = both.join(low, both.a == low.v).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low2 = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "v")
-        small = large.join(low2, large.a == low2.v).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        edges = settle(small.unionByName(low2.select(F.col("v").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
+        low = settle(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("m")), "low")
+        large = settle(both.join(low, both.a == low.v).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        low = settle(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "v"), "low")
+        small = large.join(low, large.a == low.v).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        edges = settle(small.unionByName(low.select(F.col("v").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
         after = _state(edges)
         if after == before:
             break

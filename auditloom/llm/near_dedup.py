@@ -326,12 +326,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     bands = REGISTERS // ROWS_PER_BAND
     key = f"xxhash64(substring(sketch, k * {2 * ROWS_PER_BAND} + 1, {2 * ROWS_PER_BAND}), k)"
     rows = classes.select("rep", F.expr(f"explode(transform(sequence(0, {bands - 1}), k -> {key}))").alias("key"))
-    shared = settle(rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "shared")
+    counts = settle(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "counts")  # written: the join may then be split at large keys
+    shared = settle(rows.join(counts, "key"), "shared")
     mates = _dealt(shared.join(known, "rep"), "key", "n", BUCKET_BLOCK).select("key", "bi", "bj", "block", "rep", "n_shingles", "sketch").mapInArrow(_grouper(percent), "a long, b long")
     group = components(mates)
 
     group = settle(group.union(group.select("root", "root").distinct()).toDF("rep", "grp"), "groups")
-    sized = group.join(group.groupBy("grp").agg(F.count("*").alias("n")), "grp").join(known, "rep")
+    sized = group.join(settle(group.groupBy("grp").agg(F.count("*").alias("n")), "counts"), "grp").join(known, "rep")
     whole = settle(sized.join(texts.withColumnRenamed("doc_id", "rep"), "rep"), "texts")
     links = _dealt(whole, "grp", "n", GROUP_BLOCK).select("grp", "bi", "bj", "block", "rep", "n_shingles", "sketch", "text").mapInArrow(_verifier(width, percent), "a long, b long")
     label = components(links)

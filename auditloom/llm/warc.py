@@ -93,7 +93,8 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0) -> DataFrame:
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), html.alias("html"))
     rows = rows.withColumn("n_bytes", F.octet_length("html").cast("long")).withColumn("sha1", F.sha1(F.col("html").cast("binary")))
-    heads = rows.where(F.col("n_bytes") >= min_bytes).groupBy("sha1").agg(F.max("page_id").alias("head"))
+    heads = rows.where(F.col("n_bytes") >= min_bytes).groupBy("sha1").agg(F.max("page_id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    heads = settle(heads, "heads")  # written: the join may then be split where one payload has many rows
     joined = rows.join(heads, "sha1", "left").withColumn("head", F.when(F.col("page_id") != F.col("head"), F.col("head")))
     ready = joined.select("page_id", "url", F.when(F.col("head").isNull(), F.col("html")).alias("html"), "n_bytes", "sha1", "head")
     return settle(ready.mapInArrow(_writer(path), "file string, size long"), "manifest")

@@ -88,6 +88,13 @@ def _never(tag: str, attrs: dict[str, str]) -> bool:
     return any(w.lower() in WORDS for w in _PARTS.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}"))
 
 
+def _page_header(tag: str, attrs: dict[str, str], stack: list) -> bool:
+    """Headers are article text only inside an article or main element."""
+    if tag != "header" and "header" not in (w.lower() for w in _PARTS.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")):
+        return False
+    return not any(s[0] in ("article", "main") for s in stack)
+
+
 def parse(source: str) -> Node:
     """The block tree of a page; never fails."""
     root = Node("#root", "#root", False)
@@ -140,7 +147,7 @@ def parse(source: str) -> Node:
                 if stack[k][0] in HOLDERS:
                     break
         attrs = _attributes(m[3])
-        never = _never(tag, attrs)
+        never = _never(tag, attrs) or _page_header(tag, attrs, stack)
         if tag in INLINE:
             _, block, dropped = stack[-1]
             stack.append((tag, block, dropped or never))

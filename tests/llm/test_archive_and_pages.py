@@ -82,6 +82,14 @@ def test_template_without_semantic_elements():
     assert got == [f"{'Body words vary here. ' * 6}{i} More of {i}." for i in range(12)]
 
 
+def test_what_is_never_article_text():
+    body = """<header><p>Site name</p></header><div class="page-header">Slogan</div><div id="cookie-notice">We use cookies</div><main><header><h1>Title</h1></header><p>Text&nbsp;one <a href=x>link</a>.</p>
+      <aside>Aside</aside><form><label>Name</label><input></form><div class="adBox">Buy</div><ul><li>Item one<li>Item two</ul><table><tr><td>cell<td>cell two</table><blockquote>Quote</blockquote>
+      <section class="comments"><article class="comment"><p>First!</p></article></section><p hidden>Hidden</p><p style="display: none">None</p><noscript>Script off</noscript><footer>By us</footer><pre>a
+      b</pre></main><div role="contentinfo">Imprint</div>"""
+    assert W.extract_group([page(body)]) == ["Title Text one link. Item one Item two cell cell two Quote a b"]
+
+
 def test_constant_node_inside_article_goes_but_copies_stay():
     fixed = [page(f"<article><p class='x'>Read our terms.</p><p>Story {i} runs on.</p></article>") for i in range(8)]
     assert W.extract_group(fixed) == [f"Story {i} runs on." for i in range(8)]

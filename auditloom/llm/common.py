@@ -51,6 +51,15 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
 
 
+#: Tables of ids up to so many rows may be broadcast: 8 MB of ids.
+BROADCAST_IDS = 1_000_000
+
+
+def checked(ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
+    """A written table of ids, marked for broadcast if it has at most `limit` rows; beyond that it is joined by a shuffle."""
+    return F.broadcast(ids) if ids.count() <= limit else ids
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import components, prepare, settle
+from .common import checked, components, prepare, settle
 
 REGISTERS = 128
 ROWS_PER_BAND = 4
@@ -333,7 +333,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     group = settle(group.union(group.select("root", "root").distinct()).toDF("rep", "grp"), "groups")
     sized = group.join(settle(group.groupBy("grp").agg(F.count("*").alias("n")), "counts"), "grp").join(known, "rep")
-    whole = settle(sized.join(texts.withColumnRenamed("doc_id", "rep"), "rep"), "texts")
+    asked = texts.withColumnRenamed("doc_id", "rep").join(checked(group.select("rep")), "rep", "left_semi")
+    whole = settle(sized.join(asked, "rep"), "texts")
     links = _dealt(whole, "grp", "n", GROUP_BLOCK).select("grp", "bi", "bj", "block", "rep", "n_shingles", "sketch", "text").mapInArrow(_verifier(width, percent), "a long, b long")
     label = components(links)
 
@@ -348,10 +349,13 @@ def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     Of rows that share an id, one with the least hash of its text stays; rows
     without id all stay.
     """
-    gone = near_duplicates(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias("__loom_gone")).distinct()
-    rest = docs.join(gone, F.col("doc_id").cast("long") == F.col("__loom_gone"), "left_anti")
-    twice = docs.groupBy(F.col("doc_id").cast("long").alias("__loom_id")).agg(F.count("*").alias("__loom_n"), F.min(F.xxhash64("text")).alias("__loom_first")).where("__loom_n > 1 AND __loom_id IS NOT NULL")
-    held = rest.join(twice, F.col("doc_id").cast("long") == F.col("__loom_id"), "left")
+    gone = settle(near_duplicates(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias("__loom_gone")).distinct(), "gone")
+    rest = docs.join(checked(gone), F.col("doc_id").cast("long") == F.col("__loom_gone"), "left_anti")
+    twice = docs.groupBy(F.col("doc_id").cast("long").alias("__loom_id")).agg(F.count("*").alias("__loom_n"), F.min(F.xxhash64("text")).alias("__loom_first"))
+    twice = settle(twice.where("__loom_n > 1 AND __loom_id IS NOT NULL"), "twice")
+    if twice.isEmpty():
+        return rest
+    held = rest.join(checked(twice), F.col("doc_id").cast("long") == F.col("__loom_id"), "left")
     single = held.where("__loom_id IS NULL").select(*docs.columns)
     repeated = held.where("__loom_id IS NOT NULL AND xxhash64(text) = __loom_first").select(*docs.columns).dropDuplicates(["doc_id"])
     return single.unionByName(repeated)

@@ -125,6 +125,7 @@ def list_item(line: Column) -> dict[str, Column]:
     return {"indent": F.length(F.regexp_replace(part(1), "\t", "    ")), "marker": marker, "display": shown, "body": strip(part(5))}
 
 
+# What a section identifier looks like.
 IDENTIFIER = r"[A-Z0-9][A-Z0-9]*(?:[.\-][A-Z0-9a-z]+)*\.?"
 
 
@@ -196,6 +197,7 @@ def column_index(header: Column, words: tuple[str, ...], fallback: int) -> Colum
     return F.when(at > 0, at - 1).otherwise(fallback).cast("int")
 
 
+# Patterns of glossary lines and headings, inline acronyms, checklist questions and their notes.
 GLOSSARY_LINE = r"(?m)^[-\u2022*]?\s*([A-Z][^\n:\u2014\-]{1,80}?)\s*(?:[:\u2014\-]\s*)(.{10,}?)$"
 INLINE_ACRONYM = r"([A-Z][A-Za-z0-9&/\- ]{2,80}?)\s*\(([A-Z][A-Z0-9/&\-]{1,10})\)"
 GLOSSARY_HEADING = r"(?i)^(?:appendix\s+[a-z]:\s*)?(definitions?|glossary|abbreviations?|acronyms?|key\s+terms?)\b"
@@ -261,7 +263,8 @@ def similarity(distance: Column, floor: bool = False) -> Column:
 
 def result_text(rank: Column, score: Column, source: Column, page: Column, text: Column) -> Column:
     """one search result."""
-    return F.format_string("[Result %d] Score: %.3f\nSource: %s, Page %d\nText: %s\n", rank, score, source, page, text)
+    # format_number rounds the exact binary value; format_string would round its decimal text
+    return F.format_string("[Result %d] Score: %s\nSource: %s, Page %d\nText: %s\n", rank, F.format_number(score, 3), source, page, text)
 
 
 def definition_text(term: Column, abbreviation: Column, definition: Column, source_file: Column, page: Column, heading: Column) -> Column:

@@ -43,8 +43,8 @@ from .common import prepare
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 TEMPER = 2.0
 #: Bytes of text handled at once, and what a worker remembers from text to text.
-SLICE = 2 << 20
-KEEP_EDGES, KEEP_COUNTS = 4_000_000, 1_000_000
+SLICE = 1 << 20
+KEEP_EDGES, KEEP_COUNTS = 2_000_000, 1_000_000
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)

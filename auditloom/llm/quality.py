@@ -11,6 +11,10 @@ for a word that repeats the one before.  k is either given, or the number of
 documents that reach the perturbed weight which `recall` of the held-out target
 rows reach; the k largest are then the documents from that weight on.
 
+The number of buckets grows with the n-grams of the corpus, so a bucket holds as
+many at every size.  Up to DENSE buckets the table is broadcast; beyond that it
+stays distributed and n-grams are joined to it.
+
 Bounds: at most SAMPLE_ROWS labelled rows, those with the least hash, are used,
 so they may be broadcast.  Raw counts, weights and the choice cover all rows.
 
@@ -32,8 +36,13 @@ from pyspark.sql import functions as F
 
 from . import textkernel as K
 from .common import prepare, settle
+from .grams import bucket_count, with_text_key
 
+#: Buckets for a small corpus; more for larger ones.
 BUCKETS = 1 << 15
+FAMILIES = 3
+#: So many buckets may be broadcast: 64 MB of doubles.
+DENSE = 1 << 23
 SAMPLE_ROWS = 20_000
 RECALL = 0.995
 #: A bucket's target count is drawn to what the raw model expects of it, with the weight of so many n-grams.
@@ -46,7 +55,7 @@ _SHAPE = np.arange(256, dtype=np.int64)
 _SHAPE[97:123], _SHAPE[65:91], _SHAPE[48:58], _SHAPE[128:] = 1, 2, 3, 1
 
 
-def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def features(column: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """(doc, bucket) of every n-gram of the texts."""
     words = K.scan(column)
     if not len(words.hash):
@@ -57,20 +66,35 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     inside = words.doc[1:] == words.doc[:-1]
     shapes = ((shape[:-1] << 25) | (shape[1:] << 1) | (words.hash[:-1] == words.hash[1:]))[inside].astype(_U)
     found = (words.hash, pair, shapes)
-    bucket = np.concatenate([(K.mix64(x ^ s) % _U(BUCKETS)).astype(np.int64) for x, s in zip(found, _FAMILY, strict=True)])
+    bucket = np.concatenate([(K.mix64(x ^ s) % _U(buckets)).astype(np.int64) for x, s in zip(found, _FAMILY, strict=True)])
     return np.concatenate([words.doc, pair_doc, pair_doc]), bucket
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    raw, target = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
-    for batch in batches:
-        for part in K.slices(batch, "text"):
-            doc, bucket = features(part.column("text"))
-            raw += np.bincount(bucket, minlength=BUCKETS)
-            wanted = part.column("target").fill_null(0).to_numpy() == 1
-            target += np.bincount(bucket[wanted[doc]], minlength=BUCKETS)
-    seen = np.flatnonzero(raw)
-    yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(raw[seen]), pa.array(target[seen])], names=["bucket", "raw", "target"])
+def _counter(buckets: int):
+    """Counts by bucket: one row a task and bucket up to DENSE buckets, one a slice and bucket beyond."""
+
+    def rows(seen: np.ndarray, raw: np.ndarray, target: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(raw), pa.array(target)], names=["bucket", "raw", "target"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense = buckets <= DENSE
+        raw, target = (np.zeros(buckets if dense else 0, dtype=np.int64) for _ in range(2))
+        for batch in batches:
+            for part in K.slices(batch, "text"):
+                doc, bucket = features(part.column("text"), buckets)
+                wanted = (part.column("target").fill_null(0).to_numpy() == 1)[doc]
+                if dense:
+                    raw += np.bincount(bucket, minlength=buckets)
+                    target += np.bincount(bucket[wanted], minlength=buckets)
+                else:
+                    seen, at = np.unique(bucket, return_inverse=True)
+                    yield rows(seen, np.bincount(at, minlength=len(seen)), np.bincount(at[wanted], minlength=len(seen)))
+        seen = np.flatnonzero(raw)
+        for low in range(0, len(seen), 1 << 18):
+            some = seen[low : low + (1 << 18)]
+            yield rows(some, raw[some], target[some])
+
+    return run
 
 
 def labelled(labels: DataFrame) -> DataFrame:
@@ -86,46 +110,88 @@ def labelled(labels: DataFrame) -> DataFrame:
 
 
 def _marked(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    weights = [c for c in ("__loom_n", "__loom_w") if c in docs.columns]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *weights)
     return texts.join(F.broadcast(sample), "doc_id", "left")  # at most SAMPLE_ROWS rows
 
 
-def fit(docs: DataFrame, sample: DataFrame) -> np.ndarray:
+def _fit(docs: DataFrame, sample: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, raw, target) of every n-gram bucket of docs."""
+    counts = _marked(docs, sample).mapInArrow(_counter(buckets), "bucket long, raw long, target long")
+    return counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+
+
+def fit(docs: DataFrame, sample: DataFrame, buckets: int) -> np.ndarray:
     """Per bucket, the log ratio of the smoothed target and raw models."""
-    counts = _marked(docs, sample).mapInArrow(_count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()  # at most BUCKETS rows
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for bucket, r, t in counts:
-        raw[bucket], target[bucket] = r, t
+    found = _fit(docs, sample, buckets).toArrow()  # at most DENSE rows
+    raw, target = np.zeros(buckets), np.zeros(buckets)
+    bucket = found.column("bucket").to_numpy()
+    raw[bucket], target[bucket] = found.column("raw").to_numpy(), found.column("target").to_numpy()
     if not target.sum():
-        return np.zeros(BUCKETS)
+        return np.zeros(buckets)
     return np.log((target + PRIOR) / (raw * (target.sum() / raw.sum()) + PRIOR))
 
 
+def _joined(docs: DataFrame, sample: DataFrame, buckets: int) -> DataFrame:
+    """docs with __loom_n and __loom_w, n-grams and log weight of the text, by a join with the table."""
+    counts = settle(_fit(docs, sample, buckets), "counts")
+    raw, target = counts.agg(F.sum("raw"), F.sum("target")).first()
+    ratio = F.log((F.col("target") + PRIOR) / (F.col("raw") * (target / raw) + PRIOR)) if target else F.lit(0.0)
+    texts = with_text_key(docs.select(F.col("text").cast("string").alias("text")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in K.slices(batch, "text"):
+                doc, bucket = features(part.column("text"), buckets)
+                at = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([part.column("__loom_a").take(at), part.column("__loom_b").take(at), pa.array(bucket)], names=["__loom_a", "__loom_b", "bucket"])
+
+    keys = ["__loom_a", "__loom_b"]
+    grams = texts.mapInArrow(run, "__loom_a long, __loom_b long, bucket long").join(counts.select("bucket", ratio.alias("x")), "bucket")
+    weights = grams.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("x").alias("w")).join(texts.groupBy(*keys).agg(F.count("*").alias("copies")), keys)
+    weights = settle(weights.select(*keys, (F.col("n") / F.col("copies")).cast("long").alias("__loom_n"), (F.col("w") / F.col("copies")).alias("__loom_w")), "weights")
+    return with_text_key(docs).join(weights, keys, "left").drop(*keys)
+
+
 def gumbel(ids: pa.Array) -> np.ndarray:
     """Gumbel noise that depends on the id alone."""
     seed = ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).view(_U)
     return -np.log(-np.log(K.unit(K.mix64(seed * _FAMILY[0] + _FAMILY[1]))))
 
 
-def weigh(part: pa.RecordBatch, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(n-grams, log weight, perturbed log weight) of a batch with doc_id and text."""
-    doc, bucket = features(part.column("text"))
-    n = np.bincount(doc, minlength=part.num_rows)
-    weight = np.bincount(doc, weights=ratio[bucket], minlength=part.num_rows)
+def weigh(part: pa.RecordBatch, ratio: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n-grams, log weight, perturbed log weight) of a batch with doc_id and text, or with the columns of _joined()."""
+    if ratio is None:
+        n, weight = (part.column(c).fill_null(0).to_numpy(zero_copy_only=False) for c in ("__loom_n", "__loom_w"))
+    else:
+        doc, bucket = features(part.column("text"), len(ratio))
+        n = np.bincount(doc, minlength=part.num_rows)
+        weight = np.bincount(doc, weights=ratio[bucket], minlength=part.num_rows)
     return n, weight, weight + gumbel(part.column("doc_id"))
 
 
-def score(docs: DataFrame, sample: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """(doc_id, n_grams, log_weight, key, target) per document; target is null where unlabelled."""
-    model = docs.sparkSession.sparkContext.broadcast(ratio)  # BUCKETS doubles
+class Model:
+    """docs, with weights beside the rows where the table is too large to broadcast, and the table where it is not."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in K.slices(batch, "text"):
-                n, weight, key = weigh(part, model.value)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(weight), pa.array(key), part.column("target").cast(pa.int32())], names=["doc_id", "n_grams", "log_weight", "key", "target"])
+    def __init__(self, docs: DataFrame, sample: DataFrame) -> None:
+        buckets = bucket_count(docs, FAMILIES, BUCKETS)
+        self.sample, self.table = sample, None
+        if buckets <= DENSE:
+            self.docs, self.table = docs, docs.sparkSession.sparkContext.broadcast(fit(docs, sample, buckets))
+        else:
+            self.docs = _joined(docs, sample, buckets)
+
+    def score(self) -> DataFrame:
+        """(doc_id, n_grams, log_weight, key, target) per document; target is null where unlabelled."""
+        table = self.table
 
-    return _marked(docs, sample).mapInArrow(run, "doc_id long, n_grams long, log_weight double, key double, target int")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in K.slices(batch, "text"):
+                    n, weight, key = weigh(part, table and table.value)
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(weight), pa.array(key), part.column("target").cast(pa.int32())], names=["doc_id", "n_grams", "log_weight", "key", "target"])
+
+        return _marked(self.docs, self.sample).mapInArrow(run, "doc_id long, n_grams long, log_weight double, key double, target int")
 
 
 def kth_largest(scores: DataFrame, k: int) -> float:
@@ -166,7 +232,7 @@ def resample(docs: DataFrame, labels: DataFrame, recall: float = RECALL, k: int
     """Per row of docs: doc_id, n_grams, log_weight, key and kept."""
     prepare(docs.sparkSession)
     sample = labelled(labels)
-    scores = settle(score(docs, sample, fit(docs, sample)), "scores")
+    scores = settle(Model(docs, sample).score(), "scores")
     return scores.select("doc_id", "n_grams", "log_weight", "key", ((F.col("key") >= _cut(scores, recall, k)) & (F.col("n_grams") > 0)).alias("kept"))
 
 
@@ -176,17 +242,15 @@ def select(docs: DataFrame, labels: DataFrame, recall: float = RECALL, k: int |
     Weights are a function of the row, so they are computed once more beside
     the text rather than joined to it.
     """
-    spark = docs.sparkSession
-    prepare(spark)
-    sample = labelled(labels)
-    ratio = fit(docs, sample)
-    cut = _cut(settle(score(docs, sample, ratio), "scores"), recall, k)
-    model = spark.sparkContext.broadcast(ratio)
+    prepare(docs.sparkSession)
+    model = Model(docs, labelled(labels))
+    cut = _cut(settle(model.score(), "scores"), recall, k)
+    table, columns = model.table, docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in K.slices(batch, "text"):
-                n, _, key = weigh(part, model.value)
-                yield part.filter(pa.array((n > 0) & (key >= cut)))
+                n, _, key = weigh(part, table and table.value)
+                yield part.filter(pa.array((n > 0) & (key >= cut))).select(columns)
 
-    return docs.mapInArrow(run, docs.schema)
+    return model.docs.mapInArrow(run, docs.schema)

@@ -7,10 +7,12 @@ smoothed log-likelihood ratios divided by their number; it passes from THRESHOLD
 on.  Documents that fail the base rules (fewer than 50 words, or over half of
 the words in repeated 3-word windows) never pass.
 
-Each text is split once; counts per bucket are pre-aggregated before the
-shuffle, and scores are folded inside the row against a table of 2 * BUCKETS
-numbers, so scoring has no join and no shuffle.  Windows are compared by 64-bit
-hashes.
+Each text is split once, and counts per bucket are pre-aggregated before the
+shuffle.  The number of buckets grows with the n-grams of the corpus, so a bucket
+holds as many at every size.  Up to DENSE buckets a family, scores are folded
+inside the row against a table of four-byte numbers, without a join or a
+shuffle.  Beyond that the table stays distributed and n-grams are joined to it.
+Windows are compared by 64-bit hashes.
 
 Bounds: at most SAMPLE_ROWS labelled rows, those with the least hash, are
 trusted; they are broadcast.  Everything else covers all rows.
@@ -22,15 +24,21 @@ passed through or ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, words
+from .common import WHITE, settle, words
+from .grams import bucket_count, with_text_key
 
+#: Buckets a family for a small corpus; more for larger ones.
 BUCKETS = 1 << 13
+#: So many buckets a family may be sent with the plan: 17 MB for both.
+DENSE = 1 << 21
+#: A number of the table is UNIT times the ratio plus ZERO, in WIDTH bytes, the highest first.
+UNIT, ZERO, WIDTH = 10**8, 1 << 31, 4
 SAMPLE_ROWS = 20_000
 THRESHOLD = -0.05
 #: A bucket's target count is drawn to what the raw model expects of it, with the weight of so many n-grams.
@@ -54,10 +62,10 @@ def _hashes(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
-def _buckets(h: Column) -> Column:
-    """Buckets of single words (from 0) and of word pairs (from BUCKETS)."""
-    pairs = _upto(F.size(h) - 1, lambda i: (F.pmod(F.xxhash64(F.get(h, i), F.get(h, i + 1)), F.lit(BUCKETS)) + BUCKETS).cast("int"), "int")
-    return F.concat(F.transform(h, lambda x: F.pmod(x, F.lit(BUCKETS)).cast("int")), pairs)
+def _buckets(h: Column, n: int) -> Column:
+    """Buckets of single words (from 0) and of word pairs (from n)."""
+    pairs = _upto(F.size(h) - 1, lambda i: F.pmod(F.xxhash64(F.get(h, i), F.get(h, i + 1)), F.lit(n)) + n, "bigint")
+    return F.concat(F.transform(h, lambda x: F.pmod(x, F.lit(n))), pairs)
 
 
 def _repeated(h: Column) -> Column:
@@ -95,35 +103,57 @@ def trusted(labels: DataFrame) -> DataFrame:
     return rows.where("q = 1 AND t = 0").select("_id").orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_ROWS).withColumn("_target", F.lit(1))
 
 
-def ratios(docs: DataFrame, labels: DataFrame) -> list[float]:
-    """The log-likelihood ratio of every bucket: 2 * BUCKETS numbers."""
+def _counts(docs: DataFrame, labels: DataFrame, n: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(trusted(labels)), "_id", "left")  # at most SAMPLE_ROWS rows
-    grams = texts.select("_target", F.explode(let(_hashes(F.col("text")), _buckets)).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("_target").alias("target")).collect()  # at most 2 * BUCKETS rows
-    raw, target = [0] * (2 * BUCKETS), [0] * (2 * BUCKETS)
-    for bucket, r, t in counts:
-        raw[bucket], target[bucket] = r, t
-    if not any(target):
-        return [0.0] * (2 * BUCKETS)
-    out = []
-    for part in (slice(0, BUCKETS), slice(BUCKETS, None)):
-        share = sum(target[part]) / max(1, sum(raw[part]))
-        out += [math.log((t + PRIOR) / (share * r + PRIOR)) for r, t in zip(raw[part], target[part], strict=True)]
+    grams = texts.select("_target", F.explode(let(_hashes(F.col("text")), lambda h: _buckets(h, n))).alias("bucket"))
+    return grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("_target").alias("target"))
+
+
+def ratios(docs: DataFrame, labels: DataFrame, n: int) -> np.ndarray:
+    """The log-likelihood ratio of every bucket: 2 * n numbers."""
+    found = _counts(docs, labels, n).toArrow()  # at most 2 * n rows, n at most DENSE
+    bucket = found.column("bucket").to_numpy()
+    raw, target = np.zeros(2 * n), np.zeros(2 * n)
+    raw[bucket], target[bucket] = found.column("raw").to_numpy(), found.column("target").to_numpy()
+    out = np.zeros(2 * n)
+    if target.any():
+        for part in (slice(0, n), slice(n, None)):
+            share = target[part].sum() / max(1, raw[part].sum())
+            out[part] = np.log((target[part] + PRIOR) / (share * raw[part] + PRIOR))
     return out
 
 
-def verdict(text: Column, table: list[float]) -> Column:
-    """Struct of all measures, base_failed, llr and kept."""
-    known = F.split(F.lit(" ".join(map(repr, table))), " ").cast("array<double>")
+def dense_llr(table: np.ndarray) -> Callable[[Column], Column]:
+    """From the hashes of a text's words to its score, by a table in the plan."""
+    n = len(table) // 2
+    known = F.lit(bytearray((np.rint(table * UNIT) + ZERO).astype(">u4").tobytes()))
 
-    def of(h: Column) -> Column:
-        n = F.size(h)
+    def mean(buckets: Column) -> Column:
+        value = lambda b: F.conv(F.hex(F.substring(known, (b * WIDTH + 1).cast("int"), F.lit(WIDTH))), 16, 10).cast("long") - ZERO
+        total = F.aggregate(buckets, F.lit(0).cast("long"), lambda s, b: s + value(b))
+        return F.when(F.size(buckets) > 0, total / F.lit(float(UNIT)) / F.size(buckets)).otherwise(F.lit(0.0))
+
+    return lambda h: let(_buckets(h, n), mean)
+
+
+def joined_llr(docs: DataFrame, labels: DataFrame, n: int) -> DataFrame:
+    """(__loom_a, __loom_b, __loom_llr) per text with words, by a join with the table: equal texts have one mean."""
+    counts = settle(_counts(docs, labels, n), "counts")
+    family = (F.col("bucket") >= n).cast("int")
+    share = {r.f: r.t / max(1, r.r) for r in counts.groupBy(family.alias("f")).agg(F.sum("raw").alias("r"), F.sum("target").alias("t")).collect()}
+    if any(share.values()):
+        ratio = F.log((F.col("target") + PRIOR) / (F.when(family == 0, share.get(0, 0.0)).otherwise(share.get(1, 0.0)) * F.col("raw") + PRIOR))
+    else:
+        ratio = F.lit(0.0)
+    grams = with_text_key(docs.select("text")).select("__loom_a", "__loom_b", F.explode(let(_hashes(F.col("text")), lambda h: _buckets(h, n))).alias("bucket"))
+    return grams.join(counts.select("bucket", ratio.alias("x")), "bucket").groupBy("__loom_a", "__loom_b").agg(F.avg("x").alias("__loom_llr"))
 
-        def mean(buckets: Column) -> Column:
-            total = F.aggregate(buckets, F.lit(0.0), lambda s, b: s + F.get(known, b))
-            return F.when(F.size(buckets) > 0, total / F.size(buckets)).otherwise(F.lit(0.0))
 
-        return F.struct(n.cast("long").alias("n_words"), _repeated(h).cast("long").alias("n_repeat_words"), let(_buckets(h), mean).alias("llr"))
+def verdict(text: Column, llr: Callable[[Column], Column]) -> Column:
+    """Struct of all measures, base_failed, llr and kept."""
+
+    def of(h: Column) -> Column:
+        return F.struct(F.size(h).cast("long").alias("n_words"), _repeated(h).cast("long").alias("n_repeat_words"), llr(h).alias("llr"))
 
     def judged(m: Column) -> Column:
         failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
@@ -132,12 +162,23 @@ def verdict(text: Column, table: list[float]) -> Column:
     return let(let(_hashes(text), of), judged)
 
 
+def _scored(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Column]:
+    """docs, with a score beside each row where the table is too large for the plan, and the verdict on a row."""
+    n = bucket_count(docs, 1, BUCKETS)
+    if n <= DENSE:
+        return docs, verdict(F.col("text"), dense_llr(ratios(docs, labels, n)))
+    rows = with_text_key(docs).join(joined_llr(docs, labels, n), ["__loom_a", "__loom_b"], "left")
+    return rows, verdict(F.col("text"), lambda h: F.coalesce("__loom_llr", F.lit(0.0)))
+
+
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, the measures, llr, base_failed and kept."""
-    rows = docs.select("doc_id", *(c.alias(n) for n, c in base_measures(F.col("text")).items()), verdict(F.col("text"), ratios(docs, labels)).alias("v"))
+    docs, found = _scored(docs, labels)
+    rows = docs.select("doc_id", *(c.alias(n) for n, c in base_measures(F.col("text")).items()), found.alias("v"))
     return rows.select("doc_id", "v.n_words", "word_chars", "n_symbols", "n_dup_lines", "v.n_repeat_words", "v.llr", "v.base_failed", "v.kept")
 
 
 def select(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that judge() keeps, with all their columns."""
-    return docs.where(verdict(F.col("text"), ratios(docs, labels))["kept"])
+    rows, found = _scored(docs, labels)
+    return rows.where(found["kept"]).select(*docs.columns)

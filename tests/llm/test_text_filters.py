@@ -4,7 +4,9 @@ import random
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import functions as F
 
+from auditloom.llm import grams as G
 from auditloom.llm import quality as Q
 from auditloom.llm import rules as R
 
@@ -147,3 +149,36 @@ def test_gumbel_top_k(spark):
         assert sorted((x.key for x in Q.resample(docs, labs, k=k).collect() if x.kept), reverse=True) == every[:k]
     noise = Q.gumbel(pa.array(range(20000), pa.int64()))
     assert abs(noise.mean() - 0.5772) < 0.04 and abs(noise.std() - math.pi / math.sqrt(6)) < 0.04
+
+
+def many_words(n, seed=3):
+    """A corpus with more n-grams than the floor of buckets holds; bad documents have n-grams of their own."""
+    r = random.Random(seed)
+    rows = [(i, " ".join(f"{'bad' if i % 7 == 0 else 'good'}{r.randrange(200)}" if r.random() < 0.6 else f"w{r.randrange(10**6)}" for _ in range(100))) for i in range(n)]
+    return rows, [(i, int(i % 7 != 0), 0) for i in range(0, n, 2)]
+
+
+def test_buckets_grow_with_the_corpus(spark):
+    small, large = (frames(spark, *many_words(n))[0] for n in (200, 3200))
+    held = G.bucket_count(small, 1, 64)
+    assert held > 64 and G.bucket_count(large, 1, 64) == 16 * held
+    assert G.bucket_count(small, 1, R.BUCKETS) == R.BUCKETS and G.bucket_count(small.limit(0), 1, 64) == 64
+
+
+def test_bad_documents_fail_at_every_size(spark, monkeypatch):
+    monkeypatch.setattr(R, "BUCKETS", 64)
+    for n in (1600, 6400):
+        docs, labs = frames(spark, *many_words(n))
+        kept = {x.doc_id: x.kept for x in R.judge(docs, labs).collect()}
+        assert sum(kept[i] for i in range(0, n, 7)) <= 0.05 * n / 7
+        assert sum(kept[i] for i in range(n) if i % 7) >= 0.95 * n * 6 / 7
+
+
+def test_distributed_table_gives_the_same(spark, monkeypatch):
+    rows, labels = corpus(150)
+    docs, labs = frames(spark, rows + ODD + rows[:5], labels)
+    dense = [sorted(map(str, (x.select("doc_id", *(F.round(c, 6) if c in ("llr", "log_weight", "key") else c for c in x.columns[1:])).collect()))) for x in (R.judge(docs, labs), Q.resample(docs, labs), R.select(docs, labs), Q.select(docs, labs))]
+    monkeypatch.setattr(R, "DENSE", 1)
+    monkeypatch.setattr(Q, "DENSE", 1)
+    wide = [sorted(map(str, (x.select("doc_id", *(F.round(c, 6) if c in ("llr", "log_weight", "key") else c for c in x.columns[1:])).collect()))) for x in (R.judge(docs, labs), Q.resample(docs, labs), R.select(docs, labs), Q.select(docs, labs))]
+    assert dense == wide

@@ -10,9 +10,11 @@ the same text in at least SUPPORT pages with different main texts is template;
 nodes whose text varies are slots.
 
 A page's main text is that of the slots inside its content root, in page order.
-The root is the page's article elements, else its main element, else the element
-whose paragraphs hold most text outside links.  Elements that are never article
-text by their tag, role, class or id are left out.
+The root is the page's article elements, else its main element, else the whole
+page: then every slot counts, in however many containers the text stands.
+Elements that are never article text by their tag, role, class or id are left
+out.  Pages count as different by the text of their articles or main, else of the
+element whose paragraphs hold most text.
 
 Cases: a null, empty or tagless html; markup cut off anywhere; elements left
 open; a page without host (its own group of pages); hosts with too few pages,
@@ -273,7 +275,8 @@ def _walk(root: Node) -> Iterator[tuple[Node, int]]:
         stack += [(k, depth + 1) for k in reversed(node.kids())]
 
 
-def content_roots(root: Node) -> list[Node]:
+def content_roots(root: Node) -> tuple[list[Node], list[Node]]:
+    """The elements whose slots are main text, and those by which pages are told apart."""
     found: dict[str, list[Node]] = {"article": [], "main": []}
     best, most = root, 0.0
     held: dict[int, float] = {}
@@ -294,7 +297,8 @@ def content_roots(root: Node) -> list[Node]:
                 if held[id(up)] > most:
                     best, most = up, held[id(up)]
                 up = parents.get(id(up), up)
-    return found["article"] or found["main"] or [best]
+    named = found["article"] or found["main"]
+    return named or [root], named or [best]
 
 
 def main_text(roots: list[Node]) -> str:
@@ -337,8 +341,8 @@ def extract_group(pages: list[str]) -> list[str]:
             trees[source] = parse(source)
     wrap, roots = Wrapper("#root"), {}
     for source, tree in trees.items():
-        roots[source] = content_roots(tree)
-        fold(wrap, [tree], hashlib.md5(main_text(roots[source]).encode()).digest())
+        roots[source], told = content_roots(tree)
+        fold(wrap, [tree], hashlib.md5(main_text(told).encode()).digest())
     texts = {source: main_text(r) for source, r in roots.items()}
     return [texts.get(source, "") for source in pages]
 

@@ -138,3 +138,12 @@ def test_simple_tree_matching():
 @pytest.mark.parametrize("source", ["<", "</", "<p", "<p>a<p>b", "<div>" * 5000 + "deep", "<b><i></b></i>x", "<!-- open", "<script>x", "<a href='x>y</a> z", "&#0; &#x110000; &bogus; &amp", "<td>1<td>2<li>3<li>4"])
 def test_parser_never_fails(source):
     assert isinstance(W.extract_group([source, source + "x"])[0], str)
+
+
+def test_text_in_sibling_containers_without_article():
+    pages, want = [], []
+    for i in range(12):
+        long, short = f"Long part of page {i} " * 20, f"Short part of page {i}."
+        pages.append(f"<html><body><div>Same on all pages</div><div id=a><p>{long}</p></div><div id=b><p>{short}</p></div><footer>Foot {i}</footer></body></html>")
+        want.append(f"{long.strip()} {short}")
+    assert W.extract_group(pages) == want

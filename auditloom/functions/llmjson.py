@@ -10,7 +10,8 @@ from . import text as X
 
 REQUIREMENTS = "array<struct<id:string,text:string,reference:string,category:string>>"
 COMPLIANCE = "array<struct<text:string,reference:string,category:string,obligation_type:string,obligation_level:string,actor:string,action_required:string,condition:string,timeframe:string,evidence_needed:string,risk_area:string,exact_quote:string,section_heading:string>>"
-VERDICTS = "array<struct<requirement_id:string,verified_answer:string,needs_human_review:string,reason:string>>"
+#: JSON values that do not set a flag.
+FALSE = ("null", "false", "0", "0.0", '""', "[]", "{}")
 
 
 def unfenced(raw: Column) -> Column:
@@ -70,27 +71,28 @@ def compliance(df: DataFrame, raw: str = "raw", heading: str = "section_heading"
 def batch(df: DataFrame, sections: DataFrame, raw: str = "raw") -> DataFrame:
     """{sections: [{heading, requirements}]} to rows with the section each belongs to.
 
-    sections has (batch_no, section_no, heading).  An exact heading counts, the
-    last of equal ones; else the first section whose heading contains, or is
-    contained in, the given one.  A batch has few sections, so its headings ride
-    along as an array.
+    sections has (batch_no, section_no, heading).  The same heading counts, else
+    the first that contains the given one or is contained in it; case counts.  Of
+    sections with equal headings the last is meant.  A batch has few sections, so
+    its headings ride along as an array.
     """
     known = sections.groupBy("batch_no").agg(F.sort_array(F.collect_list(F.struct("section_no", "heading"))).alias("_s"))
     schema = f"struct<sections:array<struct<heading:string,requirements:{COMPLIANCE}>>>"
     rows = df.withColumn("_j", F.from_json(outermost(unfenced(F.col(raw)), "{", "}"), schema)).join(known, "batch_no")
-    rows = rows.select("batch_no", "_s", F.posexplode("_j.sections").alias("answer_no", "a"))
-    given = F.lower(X.strip(F.coalesce(F.col("a.heading"), F.lit(""))))
-    low = lambda s: F.lower(X.strip(s["heading"]))
-    exact = F.element_at(F.filter("_s", lambda s: low(s) == given), -1)
-    partial = F.get(F.filter("_s", lambda s: (given != "") & (F.contains(low(s), given) | F.contains(given, low(s)))), F.lit(0))
-    exact = F.when(F.size(F.filter("_s", lambda s: low(s) == given)) > 0, exact)
-    rows = rows.withColumn("_m", F.coalesce(exact, partial)).where("_m IS NOT NULL")
+    rows = rows.select("batch_no", "_s", F.posexplode("_j.sections").alias("answer_no", "a")).withColumn("_g", X.strip(F.coalesce(F.col("a.heading"), F.lit(""))))
+    names = F.transform("_s", lambda s: s["heading"])
+    near = F.get(F.filter(names, lambda h: (F.col("_g") != "") & (F.contains(h, F.col("_g")) | F.contains(F.col("_g"), h))), F.lit(0))
+    rows = rows.withColumn("_n", F.when(F.array_contains(names, F.col("_g")), F.col("_g")).otherwise(near))
+    rows = rows.withColumn("_m", F.get(F.reverse(F.filter("_s", lambda s: s["heading"] == F.col("_n"))), F.lit(0))).where("_m IS NOT NULL")
     rows = rows.select("batch_no", "answer_no", "_m", F.posexplode("a.requirements").alias("item_no", "r")).where("r.text IS NOT NULL")
     return rows.select("batch_no", "answer_no", "item_no", F.col("_m.section_no").alias("section_no"), F.col("_m.heading").alias("section_heading"), F.col("r.text").alias("text"), F.col("r.actor").alias("actor"), F.col("r.timeframe").alias("timeframe"))
 
 
 def verdicts(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """critic verdicts from a list, a fenced list, a list inside an object, or the first shortest [...]; else none."""
+    """critic verdicts from a list, a fenced list, a list inside an object, or the first shortest [...]; else none.
+
+    An id that is no number names nothing and is null.  Any text but the empty one sets the flag.
+    """
     fence = F.regexp_extract(raw, r"(?s)```(?:json)?\s*(.*?)```", 1)
     text = X.strip(F.when(F.col(raw).rlike(r"(?s)```(?:json)?\s*.*?```"), fence).otherwise(F.col(raw)))
     df = df.withColumn("_t", text).withColumn("_v", F.try_parse_json("_t"))
@@ -99,20 +101,31 @@ def verdicts(df: DataFrame, raw: str = "raw") -> DataFrame:
     in_object = F.get(F.filter(wrapped, lambda x: x.startswith("[")), F.lit(0))
     listed = F.when(_is_array(F.col("_t")), F.col("_t")).when(F.col("_v").isNotNull() & in_object.isNotNull(), in_object).when(_is_array(first_list), first_list)
     keep = [c for c in df.columns if c not in (raw, "_t", "_v")]
-    rows = df.select(*keep, F.posexplode(_items(listed, VERDICTS)).alias("seq", "v"))
-    flag = F.coalesce(~F.lower("v.needs_human_review").isin("", "false", "0", "null"), F.lit(False))
-    return rows.select(*keep, "seq", F.col("v.requirement_id").try_cast("int").alias("requirement_id"), F.col("v.verified_answer").alias("verified_answer"), flag.alias("needs_human_review"), F.col("v.reason").alias("reason"))
+    rows = df.select(*keep, F.posexplode(F.from_json(listed, "array<string>")).alias("seq", "_x")).withColumn("_x", F.try_parse_json("_x"))
+    field = lambda f: F.try_variant_get("_x", f"$.{f}", "variant")
+    number = F.when(F.schema_of_variant(field("requirement_id")).rlike("^(BIGINT|DECIMAL|DOUBLE)"), F.try_variant_get("_x", "$.requirement_id", "double"))
+    whole = F.when(number == F.floor(number), number.try_cast("int"))
+    flag = F.coalesce(~F.to_json(field("needs_human_review")).isin(*FALSE), F.lit(False))
+    text = lambda f: F.try_variant_get("_x", f"$.{f}", "string")
+    rows = rows.where(F.schema_of_variant("_x").startswith("OBJECT"))
+    return rows.select(*keep, "seq", whole.alias("requirement_id"), text("verified_answer").alias("verified_answer"), flag.alias("needs_human_review"), text("reason").alias("reason"))
 
 
 def answers(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """F32: agent answers (requirement_id, raw) to evaluations; what cannot be read is the fallback row."""
+    """F32: agent answers (requirement_id, raw) to evaluations; what cannot be read is the fallback row with the cause as reasoning."""
     text = unfenced(F.col(raw))
     get = lambda f: F.get_json_object("_t", f"$.{f}")
     df = df.withColumn("_t", text).withColumn("_a", F.lower(get("answer"))).withColumn("_c", X.coerced_float(get("confidence")))
-    good = F.coalesce(F.try_parse_json("_t").isNotNull() & F.col("_a").isin(*ANSWERS) & F.col("_c").between(0.0, 1.0), F.lit(False))
+    cause = (
+        F.when(F.try_parse_json("_t").isNull(), "not JSON")
+        .when(F.col("_a").isNull(), "no answer")
+        .when(~F.col("_a").isin(*ANSWERS), F.format_string("'%s' is no answer", "_a"))
+        .when(~F.col("_c").between(0.0, 1.0), "confidence is not between 0 and 1")
+    )
+    good = cause.isNull()
     number = get("page_number")
     page = F.when(number.rlike(r"^-?\d+\.\d+$"), F.when(F.get_json_object("_t", "$.page_number").isNotNull() & ~F.col("_t").rlike(r'"page_number"\s*:\s*"'), number.try_cast("double").cast("int")).otherwise(0)).otherwise(X.coerced_int(number))
-    pick = lambda c, other: F.when(good, c).otherwise(F.lit(other))
+    pick = lambda c, other: F.when(good, c).otherwise(F.lit(other) if not isinstance(other, Column) else other)
     return df.select(
         "requirement_id", pick(F.col("_a"), "no").alias("answer"), pick(X.coerced_text(get("citation_text")), "").alias("citation_text"), pick(X.coerced_text(get("source_file")), "").alias("source_file"),
-        pick(page, 0).alias("page_number"), pick(F.col("_c"), 0.0).alias("confidence"), pick(X.coerced_text(get("reasoning")), "Agent failed to produce a valid result.").alias("reasoning"), (~good).alias("needs_human_review"))
+        pick(page, 0).alias("page_number"), pick(F.col("_c"), 0.0).alias("confidence"), pick(X.coerced_text(get("reasoning")), F.concat(F.lit("Parse error: "), cause)).alias("reasoning"), (~good).alias("needs_human_review"))

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPACE = r"[ \t\n\x0b\f\r]"
-#: Characters that trimming takes off.
-TRIMMED = " \t\n\x0b\f\r"
+# White space as Unicode has it, with the four ASCII separators; also what trimming takes off.
+TRIMMED = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = f"[{TRIMMED}]"
+#: Line breaks, a pair of carriage return and line feed counting as one.
+BREAK = "\r\n|[\n\x0b\f\r\x1c\x1d\x1e\x85\u2028\u2029]"
 
 # Phrase groups that mark an obligation.
 OBLIGATION_GROUPS = {
@@ -33,6 +35,11 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def wide(pattern: str) -> str:
+    """A pattern whose \\s stands for all white space, in and outside of character classes."""
+    return pattern.replace(r"\s", SPACE)
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(TRIMMED))
 
@@ -112,35 +119,44 @@ def marker_type(m: Column) -> Column:
     )
 
 
-#: Indent, parenthesised marker, bare marker, its delimiter, body.
+# A list line's indent, parenthesised marker, bare marker, its delimiter, body.
 _MARKER = r"\d{1,3}|[A-Za-z]|" + "|".join(sorted((r for r in LOWER_ROMAN if len(r) > 1), key=lambda r: (-len(r), r)))
 LIST_LINE = rf"^([ \t]*)(?:\(({_MARKER})\)[ \t]+|({_MARKER})([.)])[ \t]+)(\S.*)$"
 
 
+def _columns_of(indent: Column) -> Column:
+    """The width of an indent; a tab goes to the next multiple of four."""
+    stops = F.aggregate(F.split(indent, ""), F.lit(0), lambda n, c: F.when(c == "\t", n - n % 4 + 4).otherwise(n + F.length(c)))
+    return F.when(F.contains(indent, F.lit("\t")), stops).otherwise(F.length(indent))
+
+
 def list_item(line: Column) -> dict[str, Column]:
     """indent, marker, display form and body of a list line; marker is empty on other lines."""
     part = lambda i: F.regexp_extract(line, LIST_LINE, i)
     marker = F.when(part(2) != "", part(2)).otherwise(part(3))
     shown = F.when(part(2) != "", F.concat(F.lit("("), part(2), F.lit(")"))).otherwise(F.concat(part(3), part(4)))
-    return {"indent": F.length(F.regexp_replace(part(1), "\t", "    ")), "marker": marker, "display": shown, "body": strip(part(5))}
+    return {"indent": _columns_of(part(1)), "marker": marker, "display": shown, "body": strip(part(5))}
 
 
 # What a section identifier looks like.
 IDENTIFIER = r"[A-Z0-9][A-Z0-9]*(?:[.\-][A-Z0-9a-z]+)*\.?"
+# How a heading gives its number, in order of priority.
+NUMBERED = (
+    r"^(?i:Appendix|Annex|Exhibit)\s+([A-Za-z0-9]+)",
+    rf"(?i)^Section\s+({IDENTIFIER})",
+    r"^([IVXLCDM]+(?:\.[A-Z0-9]+)*\.?)\s+\S",
+    r"^(\d+(?:\.\d+)+)\.?\s+\S",
+    r"^([A-Z])\.\s+\S",
+)
 
 
 def section_number(heading: Column) -> Column:
     """the identifier that a heading starts with, or null."""
     h = strip(heading)
-    found = lambda p: F.nullif(F.regexp_extract(h, p, 1), F.lit(""))
+    found = lambda p: F.nullif(F.regexp_extract(h, wide(p), 1), F.lit(""))
     bare = lambda c: F.rtrim(c, F.lit("."))
-    return F.coalesce(
-        F.upper(found(r"^(?i:Appendix|Annex|Exhibit)\s+([A-Za-z0-9]+)")),
-        bare(found(rf"(?i)^Section\s+({IDENTIFIER})")),
-        bare(found(r"^([IVXLCDM]+(?:\.[A-Z0-9]+)*\.?)\s+\S")),
-        found(r"^(\d+(?:\.\d+)+)\.?\s+\S"),
-        found(r"^([A-Z])\.\s+\S"),
-    )
+    name, section, roman, dotted, letter = (found(p) for p in NUMBERED)
+    return F.coalesce(F.upper(name), bare(section), bare(roman), dotted, letter)
 
 
 def normal_key(c: Column) -> Column:
@@ -162,7 +178,7 @@ def truncate(c: Column, n: int) -> Column:
 
 def initials_match(phrase: Column, acronym: Column) -> Column:
     """the acronym's characters come in order among the initials of the phrase's words."""
-    words = F.filter(F.split(strip(phrase), r"[\s/&\-]+"), lambda w: w != "")
+    words = F.filter(F.split(strip(phrase), wide(r"[\s/&\-]+")), lambda w: w != "")
     initials = F.array_join(F.transform(words, lambda w: F.upper(F.substring(w, 1, 1))), "")
     letters = F.regexp_replace(F.upper(acronym), "[^A-Z0-9]", "")
     pattern = F.array_join(F.filter(F.split(letters, ""), lambda x: x != ""), ".*")
@@ -207,17 +223,17 @@ EDITORIAL_NOTE = r"(?i)\([^)]*(?:P&P may|examples provided|list below)[^)]*\)\s*
 
 def is_glossary_heading(heading: Column) -> Column:
     """F24."""
-    return heading.rlike(GLOSSARY_HEADING)
+    return heading.rlike(wide(GLOSSARY_HEADING))
 
 
 def clean_question(c: Column) -> Column:
     """without a closing editorial note, white space collapsed."""
-    return strip(F.regexp_replace(F.regexp_replace(c, EDITORIAL_NOTE, ""), r"\s+", " "))
+    return strip(F.regexp_replace(F.regexp_replace(c, wide(EDITORIAL_NOTE), ""), rf"{SPACE}+", " "))
 
 
 def is_checklist(c: Column) -> Column:
     """some line is a numbered checklist question."""
-    return c.rlike(r"(?im)^\d+\.\s+Does the P&P\b")
+    return c.rlike(wide(r"(?im)^\d+\.\s+Does the P&P\b"))
 
 
 def drop_nulls(m: Column) -> Column:

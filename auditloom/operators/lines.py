@@ -12,11 +12,13 @@ from ..functions import text as X
 
 SECTION_MAX_CHARS = 5000
 CONTINUED = " (cont.)"
+# Marks of a page and of a heading with its level and text; each is a whole line.
+PAGE_MARK, HEADING_MARK = r"^\[PAGE (\d+)\]$", r"^\[HEADING (\d+)\] (.+)$"
 
 
 def to_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text) to (doc_id, line_no, line), from 1."""
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
+    return docs.select("doc_id", F.posexplode(F.split("text", X.BREAK, -1)).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
 
 
 def to_text(lines: DataFrame) -> DataFrame:
@@ -39,8 +41,8 @@ def typed(lines: DataFrame) -> DataFrame:
     marks count inside tables too, as the page mark is looked at first.
     """
     line = F.col("line")
-    page = F.nullif(F.regexp_extract(line, r"^\[PAGE (\d+)\]", 1), F.lit("")).cast("int")
-    level = F.nullif(F.regexp_extract(line, r"^\[HEADING (\d+)\]\s*(.*)$", 1), F.lit("")).cast("int")
+    page = F.nullif(F.regexp_extract(line, PAGE_MARK, 1), F.lit("")).cast("int")
+    level = F.nullif(F.regexp_extract(line, HEADING_MARK, 1), F.lit("")).cast("int")
     seq = Window.partitionBy("doc_id").orderBy("line_no")
     upto = seq.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     mark = F.when(X.strip(line) == "[TABLE]", 1).when(X.strip(line) == "[/TABLE]", 0)
@@ -57,7 +59,7 @@ def typed(lines: DataFrame) -> DataFrame:
     )
     df = df.withColumn("kind", kind).withColumn("level", F.when(F.col("kind") == "heading", level))
     df = df.withColumn("page", F.coalesce(F.last("_page", ignorenulls=True).over(upto), F.lit(1)))
-    df = df.withColumn("heading", F.when(F.col("kind") == "heading", X.strip(F.regexp_extract(line, r"^\[HEADING (\d+)\]\s*(.*)$", 2))))
+    df = df.withColumn("heading", F.when(F.col("kind") == "heading", X.strip(F.regexp_extract(line, HEADING_MARK, 2))))
     return df.drop("_page", "_inside", "_mark")
 
 
@@ -89,16 +91,14 @@ def segment(lines: DataFrame) -> DataFrame:
 
 
 def merge_empty(sections: DataFrame) -> DataFrame:
-    """An empty section goes, giving its first page and tables to the next one; a closing empty one stays.
+    """A section without text and tables goes, giving its first page to the next one; a closing one stays.
 
-    Of several empty sections in a row only the last gives, its heading is lost.
+    Of several in a row the last gives its page.
     """
     seq = Window.partitionBy("doc_id").orderBy("section_no")
-    empty = F.col("text") == ""
-    df = sections.withColumn("_before", F.lag(F.when(empty, F.struct("page_start", "tables"))).over(seq)).withColumn("_last", F.lead("section_no").over(seq).isNull())
-    df = df.where(~empty | F.col("_last"))
-    takes = F.col("_before").isNotNull() & ~empty
-    df = df.withColumn("page_start", F.when(takes, F.col("_before.page_start")).otherwise(F.col("page_start"))).withColumn("tables", F.when(takes, F.concat("_before.tables", "tables")).otherwise(F.col("tables")))
+    empty = (F.col("text") == "") & (F.size("tables") == 0)
+    df = sections.withColumn("_before", F.lag(F.when(empty, F.col("page_start"))).over(seq)).withColumn("_last", F.lead("section_no").over(seq).isNull())
+    df = df.where(~empty | F.col("_last")).withColumn("page_start", F.when(empty, F.col("page_start")).otherwise(F.coalesce("_before", "page_start")))
     return df.drop("_before", "_last").withColumn("section_no", (F.row_number().over(seq) - 1).cast("int"))
 
 

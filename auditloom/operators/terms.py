@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.shared import settle
+from .lines import to_text
 
 MIN_DEFINITION, MAX_TERM_WORDS, MAX_ACRONYM = 10, 8, 10
 GLOSSARY_PRIORITY, INLINE_PRIORITY, TABLE_PRIORITY = 1, 2, 3
@@ -38,29 +40,37 @@ def glossary_terms(sections: DataFrame) -> DataFrame:
     rows = _columns(pipe_tables(glossary).where(F.size("header") >= 2), ("term", "criteria", "name", "abbr"), ("definition", "description", "meaning", "criteria"))
     rows = rows.withColumn("dc", F.when(F.col("tc") == F.col("dc"), F.when(F.col("tc") == 0, 1).otherwise(0)).otherwise(F.col("dc")))
     tables = _table_terms(rows).select("doc_id", "section_no", F.lit(0).alias("kind"), F.col("table_no").alias("a"), F.col("row_no").alias("b"), "term", "definition", "page_start", "heading")
-    matched = F.arrays_zip(F.expr(f"regexp_extract_all(text, r'{X.GLOSSARY_LINE}', 1)").alias("t"), F.expr(f"regexp_extract_all(text, r'{X.GLOSSARY_LINE}', 2)").alias("d"))
+    pattern = X.wide(X.GLOSSARY_LINE)
+    matched = F.arrays_zip(F.expr(f"regexp_extract_all(text, r'{pattern}', 1)").alias("t"), F.expr(f"regexp_extract_all(text, r'{pattern}', 2)").alias("d"))
     lines = glossary.select("doc_id", "section_no", "page_start", "heading", F.posexplode(matched).alias("a", "m"))
     term = X.strip(F.rtrim(X.strip(F.col("m.t")), F.lit(":")))
     lines = lines.select("doc_id", "section_no", F.lit(1).alias("kind"), "a", F.lit(0).alias("b"), term.alias("term"), X.strip(F.col("m.d")).alias("definition"), "page_start", "heading")
-    lines = lines.where(f"term <> '' AND length(definition) >= {MIN_DEFINITION}").where(F.size(F.split("term", r"\s+")) <= MAX_TERM_WORDS)
+    lines = lines.where(f"term <> '' AND length(definition) >= {MIN_DEFINITION}").where(F.size(F.split("term", rf"{X.SPACE}+")) <= MAX_TERM_WORDS)
     found = tables.unionByName(lines).withColumn("key", F.lower("term"))
     return _first(found, ["doc_id", "key"], ["section_no", "kind", "a", "b"])
 
 
-def page_at(lines: DataFrame, found: DataFrame) -> DataFrame:
-    """Found (doc_id, line_no, ...) with the page of the last mark at or before its line, else 1."""
-    marks = lines.where(F.col("line").rlike(r"\[PAGE \d+\]")).select("doc_id", "line_no", F.regexp_extract("line", r"\[PAGE (\d+)\]", 1).cast("int").alias("page"))
-    both = found.withColumn("page", F.lit(None).cast("int")).withColumn("_mark", F.lit(1)).unionByName(marks.withColumn("_mark", F.lit(0)), allowMissingColumns=True)
-    seq = Window.partitionBy("doc_id").orderBy("line_no", "_mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn("page", F.coalesce(F.last("page", ignorenulls=True).over(seq), F.lit(1))).where("_mark = 1").drop("_mark")
+def page_pieces(lines: DataFrame) -> DataFrame:
+    """Texts cut before every page mark: (doc_id, piece_no, page, piece); a place has its piece's page, 1 before the first mark.
+
+    Marks count wherever they stand in a line.
+    """
+    pieces = to_text(lines).select("doc_id", F.posexplode(F.split("text", r"(?=\[PAGE \d+\])")).alias("piece_no", "piece"))
+    page = F.nullif(F.regexp_extract("piece", r"^\[PAGE (\d+)\]", 1), F.lit("")).cast("int")
+    return pieces.select("doc_id", "piece_no", F.coalesce(page, F.lit(1)).alias("page"), "piece")
 
 
 def inline_acronyms(lines: DataFrame) -> DataFrame:
-    """first accepted "Phrase (ACR)" of each acronym in a document, with its page."""
-    matched = F.arrays_zip(F.expr(f"regexp_extract_all(line, r'{X.INLINE_ACRONYM}', 1)").alias("p"), F.expr(f"regexp_extract_all(line, r'{X.INLINE_ACRONYM}', 2)").alias("a"))
-    found = lines.select("doc_id", "line_no", F.posexplode(matched).alias("k", "m")).select("doc_id", "line_no", "k", X.strip(F.col("m.p")).alias("term"), X.strip(F.col("m.a")).alias("abbreviation"))
+    """first accepted "Phrase (ACR)" of each acronym in a document, with its page.
+
+    The phrase and its acronym may stand on two lines, but no phrase holds a page
+    mark, so pieces between marks are searched apart.
+    """
+    pattern = X.wide(X.INLINE_ACRONYM)
+    matched = F.arrays_zip(F.expr(f"regexp_extract_all(piece, r'{pattern}', 1)").alias("p"), F.expr(f"regexp_extract_all(piece, r'{pattern}', 2)").alias("a"))
+    found = page_pieces(lines).select("doc_id", "piece_no", "page", F.posexplode(matched).alias("k", "m")).select("doc_id", "piece_no", "page", "k", X.strip(F.col("m.p")).alias("term"), X.strip(F.col("m.a")).alias("abbreviation"))
     found = found.where((F.length("abbreviation") <= MAX_ACRONYM) & X.initials_match(F.col("term"), F.col("abbreviation"))).withColumn("abbr_key", F.upper("abbreviation"))
-    return page_at(lines, _first(found, ["doc_id", "abbr_key"], ["line_no", "k"])).withColumn("definition", F.format_string("%s (%s)", "term", "abbreviation"))
+    return _first(found, ["doc_id", "abbr_key"], ["piece_no", "k"]).withColumn("definition", F.format_string("%s (%s)", "term", "abbreviation"))
 
 
 def definition_tables(sections: DataFrame) -> DataFrame:
@@ -77,13 +87,14 @@ def all_terms(lines: DataFrame, sections: DataFrame) -> DataFrame:
     term gives the same rows as checking each source against those before it.
     """
     none = F.lit(None).cast("string")
+    sections = settle(sections, "sections")  # read by two of the sources
 
     def rows(df: DataFrame, priority: int, name: str, abbreviation: Column, page: str, heading: Column, order: Column) -> DataFrame:
         return df.select("doc_id", F.lit(priority).alias("priority"), F.lower("term").alias("key"), order.alias("_o"), "term", abbreviation.alias("abbreviation"), "definition", F.col(page).alias("page_number"), heading.alias("section_heading"), F.lit(name).alias("source"))
 
     found = (
         rows(glossary_terms(sections), GLOSSARY_PRIORITY, "glossary", none, "page_start", F.col("heading"), F.lit(0))
-        .unionByName(rows(inline_acronyms(lines), INLINE_PRIORITY, "inline_acronym", F.col("abbreviation"), "page", none, F.col("line_no") * 1000 + F.col("k")))
+        .unionByName(rows(inline_acronyms(lines), INLINE_PRIORITY, "inline_acronym", F.col("abbreviation"), "page", none, F.col("piece_no") * (1 << 31) + F.col("k")))
         .unionByName(rows(definition_tables(sections), TABLE_PRIORITY, "definition_table", none, "page_start", F.col("heading"), F.lit(0)))
     )
     return _first(found, ["doc_id", "key"], ["priority", "_o"]).drop("_o", "key")

@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.shared import settle
 from .lines import joined
 from .terms import _first
 
 MAX_CHARS, MAX_REFS = 450, 6
+# Fixed value: what stands before the referenced sections.
+CONTEXT_HEAD = "\n--- REFERENCED SECTIONS (auto-resolved for context) ---\n"
 
 # The reference patterns in order of priority; group 1 is the target.
 _ID = X.IDENTIFIER
@@ -30,6 +33,7 @@ def detect(sections: DataFrame) -> DataFrame:
     """
 
     def matches(n: int, kind: str, p: str) -> Column:
+        p = X.wide(p)
         both = F.arrays_zip(F.expr(f"regexp_extract_all(text, r'{p}', 0)").alias("raw"), F.expr(f"regexp_extract_all(text, r'{p}', 1)").alias("target"))
         return F.transform(both, lambda m, i: F.struct(F.lit(n).alias("p"), i.alias("i"), X.strip(m["raw"]).alias("raw_text"), F.rtrim(X.strip(m["target"]), F.lit(".")).alias("target_key"), F.lit(kind).alias("kind")))
 
@@ -45,7 +49,7 @@ def index(sections: DataFrame) -> DataFrame:
     """(doc_id, key, seq, heading, body): up to four keys a section, the first of equal keys stays."""
     number = X.section_number(F.col("heading"))
     bare = F.regexp_replace(number, r"(?i)^(?:appendix|annex|exhibit)\s*", "")
-    rest = X.strip(F.regexp_replace("heading", r"(?i)^[IVXLCDM0-9][A-Z0-9.\-]*\.?\s+", ""))
+    rest = X.strip(F.regexp_replace("heading", X.wide(r"(?i)^[IVXLCDM0-9][A-Z0-9.\-]*\.?\s+"), ""))
     keys = F.array(F.col("heading"), number, bare, F.when((rest != "") & (rest != F.col("heading")), rest))
     body = X.strip(F.concat(X.strip(F.col("text")), F.when(F.size("tables") > 0, F.concat(F.lit("\n"), F.array_join("tables", "\n"))).otherwise("")))
     df = sections.select("doc_id", "section_no", "heading", body.alias("body"), F.posexplode(keys).alias("k", "raw")).withColumn("key", X.normal_key(F.col("raw")))
@@ -74,6 +78,7 @@ def resolve(asked: DataFrame, keys: DataFrame) -> DataFrame:
 
 def resolve_sections(sections: DataFrame, max_chars: int = MAX_CHARS, max_refs: int = MAX_REFS) -> DataFrame:
     """Per section, up to max_refs references that resolve to another section with a text."""
+    sections = settle(sections, "sections")  # read for the references, the index and the headings
     own = sections.select("doc_id", "section_no", F.col("heading").alias("own_heading"))
     df = resolve(detect(sections).where("ref_type <> 'cfr'"), index(sections)).where("heading IS NOT NULL").join(own, ["doc_id", "section_no"])
     df = df.where((F.col("own_heading") == "") | (X.normal_key(F.col("heading")) != X.normal_key(F.col("own_heading")))).withColumn("summary", X.truncate(F.col("body"), max_chars)).where("summary <> ''")
@@ -84,8 +89,7 @@ def resolve_sections(sections: DataFrame, max_chars: int = MAX_CHARS, max_refs:
 def context(resolved: DataFrame) -> DataFrame:
     """the resolved references of a section as one text."""
     part = F.format_string('\n[Reference: "%s"]\nSection: %s\n%s', "raw_text", "heading", "summary")
-    head = "\n--- REFERENCED SECTIONS (auto-resolved for context) ---\n"
-    return resolved.withColumn("_p", part).groupBy("doc_id", "section_no").agg(F.concat(F.lit(head), joined("rank", "_p", "\n")).alias("context"))
+    return resolved.withColumn("_p", part).groupBy("doc_id", "section_no").agg(F.concat(F.lit(CONTEXT_HEAD), joined("rank", "_p", "\n")).alias("context"))
 
 
 def lookup(asked: DataFrame, keys: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:

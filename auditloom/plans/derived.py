@@ -23,6 +23,8 @@ MANUAL = [
     (1, 0, ""),
     (1, 0, "Random Words (QQQ) are no acronym, per Appendix B, and see Section 1 as well."),
     (2, 0, "Managed Care Plan (MCP) and Enhanced Care Management (ECM) come again."),
+    (1, 0, "Population Health Management"),
+    (1, 0, "(PHM) stands on a line of its own."),
     (1, 0, "Page 1 of 4"),
     (1, 0, "[PAGE 2]"),
     (1, 0, "Plan Manual {s}"),
@@ -41,6 +43,10 @@ MANUAL = [
     (1, 0, "Providers may not start before approval. They are expected to comply with 42 CFR § 438.210(b)."),
     (3, 1, "Plans should ensure that Annex C, Exhibit 7 and Appendix B agree."),
     (1, 0, "[HEADING 1] "),
+    (4, 1, "[PAGE 9] is no mark of a page for plan {s}"),
+    (3, 2, "[HEADING 1] Gone Before"),
+    (1, 0, "[HEADING 2] Empty {s}"),
+    (5, 1, "[PAGE 4]"),
     (1, 0, "[HEADING 2] Quiet Words"),
     (1, 0, "Nothing is asked for here. See Section 99."),
     (1, 0, "[PAGE 4]"),
@@ -90,6 +96,7 @@ LISTS = [
     (2, 1, "b. Epsilon"),
     (2, 1, "2. Zeta of {n}"),
     (6, 1, "      A. first deeper line of a flat list"),
+    (8, 2, "  \t(iv) behind a tab stop"),
 ]
 
 
@@ -112,9 +119,9 @@ FROM supplier JOIN nation ON s_nationkey = n_nationkey, (VALUES {values}) x(i, m
 #: CTEs for DuckDB: the typed lines, the sections, and those after the forward merge.
 SECTIONS_SQL = rf"""
 lines AS ({lines_sql()}),
-marked AS (SELECT *, TRY_CAST(nullif(regexp_extract(line, '^\[PAGE (\d+)\]', 1), '') AS int) AS pg,
+marked AS (SELECT *, TRY_CAST(nullif(regexp_extract(line, '^\[PAGE (\d+)\]$', 1), '') AS int) AS pg,
   CASE trim(line) WHEN '[TABLE]' THEN 1 WHEN '[/TABLE]' THEN 0 END AS mk,
-  TRY_CAST(nullif(regexp_extract(line, '^\[HEADING (\d+)\]', 1), '') AS int) AS lv FROM lines),
+  TRY_CAST(nullif(regexp_extract(line, '^\[HEADING (\d+)\] .', 1), '') AS int) AS lv FROM lines),
 inside AS (SELECT *, coalesce(last_value(mk IGNORE NULLS) OVER w, 0) AS ins, coalesce(last_value(pg IGNORE NULLS) OVER w, 1) AS page FROM marked
   WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)),
 kinds AS (SELECT *, CASE WHEN pg IS NOT NULL THEN 'page' WHEN mk = 1 THEN 'table_start' WHEN mk = 0 THEN 'table_end' WHEN ins = 1 THEN 'table' WHEN lv IS NOT NULL THEN 'heading' ELSE 'body' END AS kind FROM inside),
@@ -122,10 +129,11 @@ numbered AS (SELECT *, count(*) FILTER (kind = 'heading') OVER w AS section_no,
   WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)),
 tab AS (SELECT doc_id, section_no, tno, string_agg(line, chr(10) ORDER BY line_no) AS t FROM numbered WHERE kind = 'table' GROUP BY ALL),
 tabs AS (SELECT doc_id, section_no, list(t ORDER BY tno) AS tables FROM tab GROUP BY ALL),
-raw AS (SELECT doc_id, section_no, coalesce(max(trim(regexp_extract(line, '^\[HEADING \d+\]\s*(.*)$', 1))) FILTER (kind = 'heading'), 'Preamble') AS heading, coalesce(max(lv) FILTER (kind = 'heading'), 1) AS level,
+raw AS (SELECT doc_id, section_no, coalesce(max(trim(regexp_extract(line, '^\[HEADING \d+\] (.+)$', 1))) FILTER (kind = 'heading'), 'Preamble') AS heading, coalesce(max(lv) FILTER (kind = 'heading'), 1) AS level,
   coalesce(trim(string_agg(line, chr(10) ORDER BY line_no) FILTER (kind = 'body'), ' ' || chr(10)), '') AS text, CASE WHEN bool_or(kind = 'heading') THEN min(page) ELSE 1 END AS page_start, max(page) AS page_end FROM numbered GROUP BY ALL),
 sections AS (SELECT raw.doc_id, raw.section_no, heading, level, text, coalesce(tables, []) AS tables, page_start, page_end, length(text) AS char_count FROM raw LEFT JOIN tabs USING (doc_id, section_no)),
-looked AS (SELECT *, lag(text) OVER w AS bt, lag(page_start) OVER w AS bp, lag(tables) OVER w AS bb, lead(section_no) OVER w AS nxt FROM sections WINDOW w AS (PARTITION BY doc_id ORDER BY section_no)),
-merged AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY section_no) - 1 AS section_no, heading, level, text, CASE WHEN bt = '' AND text <> '' THEN list_concat(bb, tables) ELSE tables END AS tables,
-  CASE WHEN bt = '' AND text <> '' THEN bp ELSE page_start END AS page_start, page_end, char_count FROM looked WHERE text <> '' OR nxt IS NULL)
+looked AS (SELECT *, text = '' AND len(tables) = 0 AS bare, lead(section_no) OVER w AS nxt FROM sections WINDOW w AS (PARTITION BY doc_id ORDER BY section_no)),
+given AS (SELECT *, lag(CASE WHEN bare THEN page_start END) OVER (PARTITION BY doc_id ORDER BY section_no) AS bp FROM looked),
+merged AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY section_no) - 1 AS section_no, heading, level, text, tables,
+  CASE WHEN bare OR bp IS NULL THEN page_start ELSE bp END AS page_start, page_end, char_count FROM given WHERE NOT bare OR nxt IS NULL)
 """

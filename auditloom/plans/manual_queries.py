@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from . import derived
 from .derived import SECTIONS_SQL
 
 WITH = f"WITH {SECTIONS_SQL}"
-OBLIGATION = r"(?i)\b(must|shall|required to|is responsible for|prohibited|may not|must not|shall not|should|expected to|is expected|within \d+ (days|business days|calendar days)|annually|quarterly|monthly|upon request|no later than|comply with|in accordance with|pursuant to|ensure that|maintain|establish|implement|develop)\b"
+OBLIGATION = "|".join(X.OBLIGATION_GROUPS.values())
 KEPT_SQL = f"flagged AS (SELECT *, len(tables) > 0 OR regexp_matches(text || array_to_string(tables, chr(10)), '{OBLIGATION}') AS kept FROM merged)"
 
 
@@ -263,10 +265,12 @@ gl1 AS (SELECT *, trim(regexp_extract(l, '^[-\x{{2022}}*]?\s*([A-Z][^\n:\x{{2014
 ga AS (SELECT doc_id, section_no, 0 AS kind, table_no AS a, row_no AS b, cells[tc + 1] AS term, cells[dc + 1] AS definition, page_start, heading FROM gt1 WHERE len(cells) > greatest(tc, dc)
   UNION ALL SELECT doc_id, section_no, 1, i, 0, term, definition, page_start, heading FROM gl1 WHERE term <> '' AND len(regexp_split_to_array(term, '\s+')) <= 8),
 gloss AS (SELECT *, lower(term) AS key FROM ga WHERE term <> '' AND length(definition) >= 10 QUALIFY row_number() OVER (PARTITION BY doc_id, lower(term) ORDER BY section_no, kind, a, b) = 1),
-ac0 AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '([A-Z][A-Za-z0-9&/\- ]{{2,80}}?)\s*\(([A-Z][A-Z0-9/&\-]{{1,10}})\)', 1)) AS ph, unnest(regexp_extract_all(line, '([A-Z][A-Za-z0-9&/\- ]{{2,80}}?)\s*\(([A-Z][A-Z0-9/&\-]{{1,10}})\)', 2)) AS ab FROM lines),
-ac1 AS (SELECT doc_id, line_no, trim(ph) AS term, trim(ab) AS abbreviation FROM ac0 WHERE regexp_matches(array_to_string(list_transform(list_filter(regexp_split_to_array(trim(ph), '[\s/&\-]+'), lambda w: w <> ''), lambda w: upper(w[1])), ''), array_to_string(string_split(regexp_replace(upper(ab), '[^A-Z0-9]', '', 'g'), ''), '.*'))),
-acr AS (SELECT * FROM ac1 QUALIFY row_number() OVER (PARTITION BY doc_id, upper(abbreviation) ORDER BY line_no) = 1),
-inl AS (SELECT acr.*, term || ' (' || abbreviation || ')' AS definition, kinds.page FROM acr JOIN kinds USING (doc_id, line_no)),
+whole AS (SELECT doc_id, string_split(string_agg(line, chr(10) ORDER BY line_no), '[PAGE ') AS parts FROM lines GROUP BY ALL),
+leaf AS (SELECT doc_id, unnest(parts) AS g, generate_subscripts(parts, 1) AS s FROM whole),
+ac0 AS (SELECT doc_id, s, CASE WHEN s = 1 THEN 1 ELSE regexp_extract(g, '^(\d+)\]', 1)::int END AS page, unnest(regexp_extract_all(g, '{X.INLINE_ACRONYM}', 1)) AS ph, unnest(regexp_extract_all(g, '{X.INLINE_ACRONYM}', 2)) AS ab, generate_subscripts(regexp_extract_all(g, '{X.INLINE_ACRONYM}', 1), 1) AS k FROM leaf),
+ac1 AS (SELECT doc_id, s, k, page, trim(ph) AS term, trim(ab) AS abbreviation FROM ac0 WHERE regexp_matches(array_to_string(list_transform(list_filter(regexp_split_to_array(trim(ph), '[\s/&\-]+'), lambda w: w <> ''), lambda w: upper(w[1])), ''), array_to_string(string_split(regexp_replace(upper(ab), '[^A-Z0-9]', '', 'g'), ''), '.*'))),
+acr AS (SELECT * FROM ac1 QUALIFY row_number() OVER (PARTITION BY doc_id, upper(abbreviation) ORDER BY s, k) = 1),
+inl AS (SELECT *, term || ' (' || abbreviation || ')' AS definition FROM acr),
 dt0 AS (SELECT *, {_col("term|criteria|name", "0")} AS tc, {_col("definition|description|meaning", "1")} AS dc FROM pipes WHERE NOT regexp_matches(heading, '(?i)^(?:appendix\s+[a-z]:\s*)?(definitions?|glossary|abbreviations?|acronyms?|key\s+terms?)\b') AND regexp_matches(array_to_string(header, ' '), 'definition|criteria|meaning')),
 dtab AS (SELECT doc_id, cells[tc + 1] AS term, cells[dc + 1] AS definition, page_start, heading FROM dt0 WHERE tc <> dc AND len(cells) > greatest(tc, dc) AND cells[tc + 1] <> '' AND length(cells[dc + 1]) >= 10
   QUALIFY row_number() OVER (PARTITION BY doc_id, lower(cells[tc + 1]) ORDER BY section_no, table_no, row_no) = 1),
@@ -274,19 +278,17 @@ terms_ AS (SELECT doc_id, 1 AS priority, term, NULL::varchar AS abbreviation, de
   UNION ALL SELECT doc_id, 2, term, abbreviation, definition, page, NULL, 'inline_acronym' FROM inl WHERE NOT EXISTS (SELECT 1 FROM gloss g WHERE g.doc_id = inl.doc_id AND g.key = lower(inl.term))
   UNION ALL SELECT doc_id, 3, term, NULL, definition, page_start, heading, 'definition_table' FROM dtab WHERE NOT EXISTS (SELECT 1 FROM gloss g WHERE g.doc_id = dtab.doc_id AND g.key = lower(dtab.term)) AND NOT EXISTS (SELECT 1 FROM inl g WHERE g.doc_id = dtab.doc_id AND lower(g.term) = lower(dtab.term)))"""
 
-_FIRST = lambda p: f"nullif(regexp_extract(trim(heading), '{p}', 1), '')"
-NUMBER_SQL = f"coalesce(upper({_FIRST('(?i)^(?:Appendix|Annex|Exhibit)\\s+([A-Z0-9]+)')}), rtrim({_FIRST('(?i)^Section\\s+([A-Z0-9][A-Z0-9]*(?:[.\\-][A-Z0-9a-z]+)*\\.?)')}, '.'), rtrim({_FIRST('^([IVXLCDM]+(?:\\.[A-Z0-9]+)*\\.?)\\s+\\S')}, '.'), {_FIRST('^(\\d+(?:\\.\\d+)+)\\.?\\s+\\S')}, {_FIRST('^([A-Z])\\.\\s+\\S')})"
 KEY = lambda c: f"regexp_replace(rtrim(lower(trim({c})), '.,;'), '\\s+', ' ', 'g')"
-_IDP = r"[A-Z0-9][A-Z0-9]*(?:[.\-][A-Z0-9a-z]+)*\.?"
-_REFS = (
-    rf"(?i)\bsee\s+(?:Sections?|Appendix|Appendices|Annex(?:es)?|Article|Exhibit)\s+({_IDP})",
-    rf"(?i)\bas\s+(?:defined|described|noted|required|specified|set\s+forth)\s+in\s+(?:Sections?|Appendix|Annex|Article|Exhibit)\s+({_IDP})",
-    rf"(?i)\b(?:per|pursuant\s+to|under|in\s+accordance\s+with)\s+(?:Section|Appendix|Annex|Article)\s+({_IDP})",
-    rf"(?i)\brequirements?\s+(?:of|in|set\s+forth\s+in)\s+(?:Section|Appendix|Annex)?\s*({_IDP})",
-    r"(?i)\b(\d+\s+C\.?F\.?R\.?\s*§\s*[\d.]+(?:\([a-z0-9]+\))*)",
-    # no look-ahead here; the corpus has what it asks for after every match
-    rf"(?im)(?:^|[\s,(;])(?:Section|Appendix|Annex|Exhibit)\s+({_IDP})",
-)
+
+
+def _re2(pattern: str) -> str:
+    """A pattern without the look-ahead that DuckDB lacks; the corpus has what it asks for after every match."""
+    return re.sub(r"\(\?=.*\)$", "", pattern)
+
+
+_FOUND = [f"nullif(regexp_extract(trim(heading), '{p}', 1), '')" for p in X.NUMBERED]
+NUMBER_SQL = f"coalesce(upper({_FOUND[0]}), rtrim({_FOUND[1]}, '.'), rtrim({_FOUND[2]}, '.'), {_FOUND[3]}, {_FOUND[4]})"
+_REFS = [_re2(p) for _, p in xref.PATTERNS]
 REFS_SQL = (
     "rr AS ("
     + " UNION ALL ".join(f"SELECT doc_id, section_no, {n} AS p, generate_subscripts(regexp_extract_all(text, '{p}', 0), 1) AS i, unnest(regexp_extract_all(text, '{p}', 0)) AS raw, unnest(regexp_extract_all(text, '{p}', 1)) AS tg FROM merged" for n, p in enumerate(_REFS))
@@ -314,7 +316,7 @@ REFS_SQL = REFS_SQL.replace("{cut}", _cut("body", 450))
 MARK = "[0-9]{1,3}|[A-Za-z]|" + "|".join(sorted((r for r in X.LOWER_ROMAN if len(r) > 1), key=lambda r: (-len(r), r)))
 _LI = rf"^([ \t]*)(?:\(({MARK})\)[ \t]+|({MARK})([.)])[ \t]+)(\S.*)$"
 LISTS_SQL = rf"""WITH RECURSIVE ll AS ({derived.lines_sql(derived.LISTS)}),
-li AS (SELECT *, coalesce(nullif(regexp_extract(line, '{_LI}', 2), ''), regexp_extract(line, '{_LI}', 3)) AS marker, length(replace(regexp_extract(line, '{_LI}', 1), chr(9), '    ')) AS indent,
+li AS (SELECT *, coalesce(nullif(regexp_extract(line, '{_LI}', 2), ''), regexp_extract(line, '{_LI}', 3)) AS marker, list_reduce(list_prepend(0, list_transform(string_split(regexp_extract(line, '{_LI}', 1), ''), lambda c: CASE c WHEN chr(9) THEN -1 ELSE length(c) END)), lambda n, c: CASE WHEN c < 0 THEN (n // 4 + 1) * 4 ELSE n + c END)::int AS indent,
   CASE WHEN regexp_extract(line, '{_LI}', 2) <> '' THEN '(' || regexp_extract(line, '{_LI}', 2) || ')' ELSE regexp_extract(line, '{_LI}', 3) || regexp_extract(line, '{_LI}', 4) END AS display, trim(regexp_extract(line, '{_LI}', 5)) AS body FROM ll),
 ln AS (SELECT *, (count(*) FILTER (marker <> '') OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING))::int AS node_no FROM li),
 items AS (SELECT doc_id, node_no, max(indent) FILTER (marker <> '') AS indent, max(marker) FILTER (marker <> '') AS marker, max(display) FILTER (marker <> '') AS display, string_agg(CASE WHEN marker <> '' THEN body ELSE trim(line) END, ' ' ORDER BY line_no) AS text FROM ln WHERE node_no > 0 AND trim(line) <> '' GROUP BY ALL),

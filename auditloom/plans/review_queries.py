@@ -18,9 +18,9 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first parts as requirements; two of the 64 asked for are missing."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").where(f"p_partkey BETWEEN 1 AND {N_REQUIREMENTS - 2}")
-    return part.select(F.col("p_partkey").cast("int").alias("id"), F.concat(F.lit("Does the P&P cover "), "p_name", F.lit("?")).alias("text"), F.concat(F.lit("APL "), F.col("p_size").cast("string")).alias("reference"), F.col("p_type").alias("category"))
+    """All parts as requirements, from 3: the first two that evaluations name are missing."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return part.select((F.col("p_partkey") + 2).cast("int").alias("id"), F.concat(F.lit("Does the P&P cover "), "p_name", F.lit("?")).alias("text"), F.concat(F.lit("APL "), F.col("p_size").cast("string")).alias("reference"), F.col("p_type").alias("category"))
 
 
 def evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("o_orderkey") % 30).cast("int").alias("page_number"), ((F.col("o_orderkey") % 101) / 100.0).alias("confidence"), F.lit("found").alias("reasoning"), (F.col("o_orderkey") % 7 == 0).alias("needs_human_review"), status.alias("status"), F.lit("").alias("reviewer_notes"))
 
 
-REQ_SQL = f"req AS (SELECT p_partkey::int AS id, 'Does the P&P cover ' || p_name || '?' AS text, 'APL ' || p_size AS reference, p_type AS category FROM part WHERE p_partkey BETWEEN 1 AND {N_REQUIREMENTS - 2})"
+REQ_SQL = "req AS (SELECT (p_partkey + 2)::int AS id, 'Does the P&P cover ' || p_name || '?' AS text, 'APL ' || p_size AS reference, p_type AS category FROM part)"
 EV_SQL = f"""ev AS (SELECT o_orderkey AS seq, (o_orderkey % {N_REQUIREMENTS} + 1)::int AS requirement_id, CASE o_orderstatus WHEN 'F' THEN 'yes' WHEN 'O' THEN 'no' ELSE 'partial' END AS answer, 'quote ' || o_orderkey AS citation_text,
   CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE 'policy/' || (o_custkey % 50) || '.pdf' END AS source_file, (o_orderkey % 30)::int AS page_number, (o_orderkey % 101) / 100.0::double AS confidence, 'found' AS reasoning, o_orderkey % 7 = 0 AS needs_human_review,
   CASE WHEN o_orderpriority LIKE '1%' THEN 'approved' WHEN o_orderpriority LIKE '5%' THEN 'rejected' ELSE 'pending' END AS status, '' AS reviewer_notes FROM orders)"""
@@ -169,7 +169,7 @@ def parse_requirement_json(spark, sf_dir):
     item = F.format_string('{"id": %d, "text": "t%d", "reference": null}', k, k)
     array = F.concat(F.lit("["), item, F.lit(', {"id": "x", "text": "bad id"}, {"id": 7}, '), F.format_string('{"id": "%d", "text": "second", "category": "c"}', k + 1), F.lit("]"))
     raw = F.when(k % 4 == 0, F.concat(F.lit("Here: "), array, F.lit(" done."))).when(k % 4 == 1, F.concat(F.lit("```json\n"), array, F.lit("\n```"))).when(k % 4 == 2, array).otherwise(F.when(k % 8 == 3, "no json").otherwise('{"a": 1}'))
-    return llmjson.requirements(evaluations(spark, sf_dir).where("seq % 50 < 20").select(k, raw.alias("raw"))).drop("item_no")
+    return llmjson.requirements(evaluations(spark, sf_dir).select(k, raw.alias("raw"))).drop("item_no")
 
 
 def parse_compliance_json(spark, sf_dir):
@@ -182,7 +182,7 @@ def parse_compliance_json(spark, sf_dir):
 
 def parse_critic_json(spark, sf_dir):
     k = F.col("seq")
-    array = F.format_string('[{"requirement_id": %d, "verified_answer": "yes", "needs_human_review": true, "reason": "r"}, {"requirement_id": "9", "verified_answer": "no"}]', k)
+    array = F.format_string('[{"requirement_id": %d, "verified_answer": "yes", "needs_human_review": true, "reason": "r"}, {"requirement_id": "9", "verified_answer": "no"}, {"requirement_id": 8, "verified_answer": "no", "needs_human_review": "false"}]', k)
     raw = F.when(k % 5 == 0, array).when(k % 5 == 1, F.concat(F.lit("Sure.\n```json\n"), array, F.lit("\n``` bye"))).when(k % 5 == 2, F.concat(F.lit('{"n": 2, "verdicts": '), array, F.lit("}"))).when(k % 5 == 3, F.concat(F.lit("So: "), array, F.lit(" and [1]"))).otherwise("nothing here")
     return llmjson.verdicts(evaluations(spark, sf_dir).select("seq", raw.alias("raw")).withColumnRenamed("seq", "review_id"))
 
@@ -190,8 +190,8 @@ def parse_critic_json(spark, sf_dir):
 def parse_batch_json(spark, sf_dir):
     k = F.col("seq")
     sections = spark.createDataFrame([(b, s, h) for b in range(3) for s, h in enumerate(("Intake", "Intake", "Care Coordination", "Appeals"))], "batch_no long, section_no int, heading string")
-    raw = F.format_string('{"sections": [{"heading": "INTAKE", "requirements": [{"text": "a%d", "actor": "Plan"}]}, {"heading": "Coordination", "requirements": [{"text": "b"}, {"actor": "x"}]}, {"heading": "Unknown", "requirements": [{"text": "c"}]}, {"heading": "Appeals and Grievances", "requirements": [{"text": "d", "timeframe": "9 days"}]}]}', k)
-    return llmjson.batch(evaluations(spark, sf_dir).where("seq <= 40").select((k % 3).alias("batch_no"), raw.alias("raw")), sections)
+    raw = F.format_string('{"sections": [{"heading": "INTAKE", "requirements": [{"text": "a", "actor": "Plan"}]}, {"heading": "Coordination", "requirements": [{"text": "b%d"}, {"actor": "x"}]}, {"heading": "Unknown", "requirements": [{"text": "c"}]}, {"heading": "Appeals and Grievances", "requirements": [{"text": "d", "timeframe": "9 days"}]}, {"heading": " Intake ", "requirements": [{"text": "e"}]}, {"heading": "The Intake of Members", "requirements": [{"text": "f"}]}]}', k)
+    return llmjson.batch(evaluations(spark, sf_dir).select((k % 3).alias("batch_no"), raw.alias("raw")), sections)
 
 
 QUERIES = {
@@ -219,11 +219,11 @@ SELECT id, text, reference, coalesce(answer, '') AS answer, coalesce(floor(confi
     "answer_distribution": (answer_distribution, f"{WITH} SELECT a AS answer, count(seq) AS n, coalesce(round(avg(confidence), 6), 0) AS mean_confidence FROM (VALUES ('yes'), ('no'), ('partial')) v(a) LEFT JOIN ev ON answer = a AND answer <> 'partial' GROUP BY ALL"),
     "count_variance": (count_variance, f"{WITH} SELECT count(*) FILTER (seq % 10 <> 0) AS fewer, count(*) AS more, round((count(*) - count(*) FILTER (seq % 10 <> 0)) / count(*), 6) AS variance FROM ev"),
     "transient_errors": (transient_errors, "WITH m AS (SELECT event_id, 'error ' || (event_id % 600) || CASE WHEN event_id % 4 = 0 THEN ' Quota hit' ELSE ' other' END AS t FROM events) SELECT event_id, regexp_matches(upper(t), '503|429|QUOTA') AS transient, regexp_matches(t, '503') AS transient_agent FROM m"),
-    "parse_answers": (parse_answers, f"""{WITH} SELECT seq AS requirement_id, CASE WHEN {_GOOD} THEN answer ELSE 'no' END AS answer, CASE WHEN {_GOOD} THEN citation_text ELSE '' END AS citation_text, '' AS source_file, CASE WHEN {_GOOD} THEN {_NUM} ELSE 0 END AS page_number, CASE WHEN {_GOOD} THEN {_CONF} ELSE 0 END::double AS confidence, CASE WHEN {_GOOD} THEN '' ELSE 'Agent failed to produce a valid result.' END AS reasoning, NOT {_GOOD} AS needs_human_review FROM ev"""),
-    "parse_requirement_json": (parse_requirement_json, f"""{WITH}, r AS (SELECT seq FROM ev WHERE seq % 50 < 20) SELECT seq, 'ok' AS status, seq::int AS id, 't' || seq AS text, NULL::varchar AS reference, NULL::varchar AS category FROM r WHERE seq % 4 < 3
+    "parse_answers": (parse_answers, f"""{WITH} SELECT seq AS requirement_id, CASE WHEN {_GOOD} THEN answer ELSE 'no' END AS answer, CASE WHEN {_GOOD} THEN citation_text ELSE '' END AS citation_text, '' AS source_file, CASE WHEN {_GOOD} THEN {_NUM} ELSE 0 END AS page_number, CASE WHEN {_GOOD} THEN {_CONF} ELSE 0 END::double AS confidence, CASE WHEN {_GOOD} THEN '' WHEN seq % 11 = 0 THEN 'Parse error: not JSON' WHEN seq % 3 <> 0 AND seq % 19 = 0 THEN 'Parse error: ''unsure'' is no answer' ELSE 'Parse error: confidence is not between 0 and 1' END AS reasoning, NOT {_GOOD} AS needs_human_review FROM ev"""),
+    "parse_requirement_json": (parse_requirement_json, f"""{WITH}, r AS (SELECT seq FROM ev) SELECT seq, 'ok' AS status, seq::int AS id, 't' || seq AS text, NULL::varchar AS reference, NULL::varchar AS category FROM r WHERE seq % 4 < 3
 UNION ALL SELECT seq, 'ok', (seq + 1)::int, 'second', NULL, 'c' FROM r WHERE seq % 4 < 3 UNION ALL SELECT seq, CASE WHEN seq % 8 = 3 THEN 'not_json' ELSE 'not_array' END, NULL, NULL, NULL, NULL FROM r WHERE seq % 4 = 3"""),
     "parse_compliance_json": (parse_compliance_json, f"{WITH} SELECT seq, 0 AS item_no, 0 AS id, 't' || seq AS text, 'Plan' AS actor, '30 days' AS timeframe, 'Default' AS section_heading FROM ev WHERE seq % 3 > 0 UNION ALL SELECT seq, 2, 0, 'own', NULL, NULL, 'Own' FROM ev WHERE seq % 3 > 0"),
-    "parse_critic_json": (parse_critic_json, f"{WITH} SELECT seq AS review_id, 0 AS seq, seq::int AS requirement_id, 'yes' AS verified_answer, true AS needs_human_review, 'r' AS reason FROM ev WHERE seq % 5 < 4 UNION ALL SELECT seq, 1, 9, 'no', false, NULL FROM ev WHERE seq % 5 < 4".replace("SELECT seq AS review_id, 0 AS seq, seq::int", "SELECT ev.seq AS review_id, 0 AS seq, ev.seq::int")),
-    "parse_batch_json": (parse_batch_json, f"""{WITH}, b AS (SELECT seq % 3 AS batch_no, seq AS s FROM ev WHERE seq <= 40) SELECT batch_no, 0 AS answer_no, 0 AS item_no, 1 AS section_no, 'Intake' AS section_heading, 'a' || s AS text, 'Plan' AS actor, NULL::varchar AS timeframe FROM b
-UNION ALL SELECT batch_no, 1, 0, 2, 'Care Coordination', 'b', NULL, NULL FROM b UNION ALL SELECT batch_no, 3, 0, 3, 'Appeals', 'd', NULL, '9 days' FROM b"""),
+    "parse_critic_json": (parse_critic_json, f"{WITH} SELECT seq AS review_id, 0 AS seq, seq::int AS requirement_id, 'yes' AS verified_answer, true AS needs_human_review, 'r' AS reason FROM ev WHERE seq % 5 < 4 UNION ALL SELECT seq, 1, NULL, 'no', false, NULL FROM ev WHERE seq % 5 < 4 UNION ALL SELECT seq, 2, 8, 'no', true, NULL FROM ev WHERE seq % 5 < 4".replace("SELECT seq AS review_id, 0 AS seq, seq::int", "SELECT ev.seq AS review_id, 0 AS seq, ev.seq::int")),
+    "parse_batch_json": (parse_batch_json, f"""{WITH}, b AS (SELECT seq % 3 AS batch_no, seq AS s FROM ev) SELECT batch_no, 1 AS answer_no, 0 AS item_no, 2 AS section_no, 'Care Coordination' AS section_heading, 'b' || s AS text, NULL::varchar AS actor, NULL::varchar AS timeframe FROM b
+UNION ALL SELECT batch_no, unnest([4, 5]), 0, 1, 'Intake', unnest(['e', 'f']), NULL, NULL FROM b UNION ALL SELECT batch_no, 3, 0, 3, 'Appeals', 'd', NULL, '9 days' FROM b"""),
 }

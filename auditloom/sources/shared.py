@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; a folder of this machine only where that is unset."""
+def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, a folder of this machine if all runs on it, else an error."""
     known = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not known:
-        known = "file://" + tempfile.mkdtemp(prefix="auditloom-")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="auditloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        known = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", known)
-    return f"{known.rstrip('/')}/auditloom/{name}-{uuid.uuid4().hex}"
+    return known.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_root(spark)}/auditloom/{name}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:

@@ -69,6 +69,8 @@ def test_packing(spark):
 def test_folder_and_sentences(spark):
     row = spark.range(1).select(X.folder_of(F.lit("a/b.pdf")).alias("a"), X.folder_of(F.lit("b.pdf")).alias("b"), X.sentences(F.lit(" One. Two!  Three? e.g.four ")).alias("s")).first()
     assert (row.a, row.b, row.s) == ("a", "", ["One.", "Two!", "Three?", "e.g.four"])
+    got = spark.range(1).select(X.sentences(F.lit("One.\xa0Two.\u2003 Three\xa0")).alias("s"), X.signature(F.lit("\xa0Page\u2009 7\xa0")).alias("g"), X.paragraphs(F.lit("\xa0\n\na\xa0")).alias("p"), X.normal_key(F.lit("\xa0A\xa0 b.")).alias("k"), X.blank(F.lit("\xa0\u3000\x1f")).alias("b")).first()
+    assert tuple(got) == (["One.", "Two.", "Three"], "page #", ["a"], "a b", True)
 
 
 def test_segmentation(spark):
@@ -76,9 +78,13 @@ def test_segmentation(spark):
     got = sections(spark, "intro\n[PAGE 2]\n[HEADING 1] A\nbody a\n[TABLE]\n| x | y |\n| 1 | 2 |\n[/TABLE]\n[PAGE 3]\n[HEADING 2] B\n\n[HEADING 3] C\nbody c\nmore\n")
     assert [(s["section_no"], s["heading"], s["level"], s["text"], s["tables"], s["page_start"], s["page_end"]) for s in got] == [
         (0, "Preamble", 1, "intro", [], 1, 2), (1, "A", 1, "body a", ["| x | y |\n| 1 | 2 |"], 2, 3), (2, "C", 3, "body c\nmore", [], 3, 3)]
-    # of two empty sections in a row only the last gives its tables
-    got = sections(spark, "[HEADING 1] A\n[TABLE]\nlost\n[/TABLE]\n[HEADING 1] B\n[TABLE]\nkept\n[/TABLE]\n[HEADING 1] C\ntext\n[HEADING 1] D")
-    assert [(s["heading"], s["tables"]) for s in got] == [("C", ["kept"]), ("D", [])]
+    # a section with a table alone is not empty; of empty ones in a row the last gives its page
+    got = sections(spark, "[HEADING 1] A\n[TABLE]\none\n[/TABLE]\n[PAGE 2]\n[HEADING 1] B\n[PAGE 3]\n[HEADING 1] B2\n[PAGE 4]\n[HEADING 1] C\ntext\n[HEADING 1] D")
+    assert [(s["section_no"], s["heading"], s["tables"], s["page_start"], s["page_end"]) for s in got] == [(0, "A", ["one"], 1, 2), (1, "C", [], 3, 4), (2, "D", [], 4, 4)]
+    # marks are whole lines, and a heading has a text
+    got = sections(spark, "[PAGE 2] trailing words\n[HEADING 2] \n[HEADING 2]none\n [PAGE 7]\n[HEADING 3]  Named \nx\r\n[PAGE 5]\u2028y")
+    assert [(s["heading"], s["level"], s["text"], s["page_start"], s["page_end"]) for s in got] == [
+        ("Preamble", 1, "[PAGE 2] trailing words\n[HEADING 2] \n[HEADING 2]none\n [PAGE 7]", 1, 1), ("Named", 3, "x\ny", 1, 5)]
     # an open table keeps its lines out, an end without a start is an empty table
     got = sections(spark, "[HEADING 1] A\nx\n[/TABLE]\n[HEADING 1] B\ny\n[TABLE]\nlost")
     assert [(s["heading"], s["text"], s["tables"]) for s in got] == [("A", "x", [""]), ("B", "y", [])]
@@ -133,6 +139,9 @@ def test_lists(spark):
     assert [r.path for r in lists.parse(marked(spark, flat)).orderBy("node_no").collect()] == ["1", "1.a", "1.a.i", "1.a.ii", "1.b", "2"]
     orphan = "      a. first\n1. second\n      b. third"
     assert [(r.path, r.parent_no, r.is_root) for r in lists.parse(marked(spark, orphan)).orderBy("node_no").collect()] == [("a", None, False), ("1", None, True), ("1.b", 2, False)]
+    indents = {" \ta. x": 4, "\ta. x": 4, "   \t a. x": 5, "\t\ta. x": 8, "    \ta. x": 8, "  a. x": 2}
+    got = spark.createDataFrame([(t,) for t in indents], "t string").select("t", X.list_item(F.col("t"))["indent"].alias("n")).collect()
+    assert {r.t: r.n for r in got} == indents
     tree = lists.trees(lists.parse(marked(spark, text))).first().tree
     assert '"path": "1.a.i"' in tree and tree.count('"level": 1') == 2
     assert lists.parse(marked(spark, "no items\nhere")).count() == 0
@@ -163,6 +172,8 @@ def test_acronyms(spark):
     assert {(r.p, r.a): r.k for r in got} == cases
     found = terms.inline_acronyms(marked(spark, "x\n[PAGE 3]\nThe Enhanced Care Management (ECM) plan\n[PAGE 4]\nEnhanced Care Management (ECM)")).collect()
     assert [(r.abbreviation, r.page) for r in found] == [("ECM", 3)]
+    found = terms.inline_acronyms(marked(spark, "Managed Care Plan\n\n (MCP) x\n[PAGE 2]\nOf the Population of\nFocus (POF) and Enhanced Care Management\n(ECM) y [PAGE 6] Whole Person Care\xa0(WPC)")).orderBy("abbreviation").collect()
+    assert [(r.term, r.abbreviation, r.page) for r in found] == [("Enhanced Care Management", "ECM", 2), ("Managed Care Plan", "MCP", 1), ("Whole Person Care", "WPC", 6)]
 
 
 def test_term_precedence(spark):

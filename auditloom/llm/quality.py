@@ -7,13 +7,19 @@ both, and documents are sampled without replacement by those weights: each log
 weight gets Gumbel noise seeded by its doc_id and the k largest are taken.
 
 The n-grams are single words, word pairs, and pairs of word shapes with a mark
-for a word that repeats the one before.  k is either given, or the number of
-documents that reach the perturbed weight which `recall` of the held-out target
-rows reach; the k largest are then the documents from that weight on.
+for a word that repeats the one before.  A log weight is the sum of their log
+ratios, tempered by PASSAGE / (PASSAGE + number of n-grams): a long document
+weighs as a passage of PASSAGE n-grams would, so length alone decides nothing
+and the noise counts between documents that are about as good.
 
-The number of buckets grows with the n-grams of the corpus, so a bucket holds as
-many at every size.  Up to DENSE buckets the table is broadcast; beyond that it
-stays distributed and n-grams are joined to it.
+k is either given or the size of the target in the corpus: the share of good
+quality among the labelled rows times the number of documents with words.
+Toxic rows of good quality read like the target, so they count for k though they
+do not train the model.
+
+The number of buckets grows with the corpus (see `grams`).  Up to DENSE buckets
+the table is broadcast; beyond that it stays distributed and n-grams are joined
+to it.
 
 Bounds: at most SAMPLE_ROWS labelled rows, those with the least hash, are used,
 so they may be broadcast.  Raw counts, weights and the choice cover all rows.
@@ -38,13 +44,13 @@ from . import textkernel as K
 from .common import prepare, settle
 from .grams import bucket_count, with_text_key
 
-#: Buckets for a small corpus; more for larger ones.
-BUCKETS = 1 << 15
-FAMILIES = 3
+#: Buckets for a small corpus, and for larger ones so many times the square root of their words.
+BUCKETS, ROOT = 1 << 15, 12
 #: So many buckets may be broadcast: 64 MB of doubles.
 DENSE = 1 << 23
 SAMPLE_ROWS = 20_000
-RECALL = 0.995
+#: N-grams of the passage that a long document weighs as.
+PASSAGE = 64
 #: A bucket's target count is drawn to what the raw model expects of it, with the weight of so many n-grams.
 PRIOR = 16
 
@@ -98,14 +104,9 @@ def _counter(buckets: int):
 
 
 def labelled(labels: DataFrame) -> DataFrame:
-    """At most SAMPLE_ROWS rows (doc_id, target).
-
-    target is 0 for rows of bad quality or toxic.  Of the others one half, 1,
-    trains the target model, and the other, 2, is held out to place the cut.
-    """
-    half = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(2)), F.lit(2)).cast("int") + 1
-    good = F.when((F.min("quality") == 1) & (F.coalesce(F.max("toxic"), F.lit(0)) == 0), F.first(half)).otherwise(0)
-    rows = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(good.alias("target"))
+    """At most SAMPLE_ROWS rows (doc_id, target): 1 trains the target model, 0 is of bad quality, 2 good but toxic."""
+    kind = F.when(F.min("quality") != 1, 0).when(F.coalesce(F.max("toxic"), F.lit(0)) == 0, 1).otherwise(2)
+    rows = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(kind.alias("target"))
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
 
 
@@ -167,6 +168,7 @@ def weigh(part: pa.RecordBatch, ratio: np.ndarray | None) -> tuple[np.ndarray, n
         doc, bucket = features(part.column("text"), len(ratio))
         n = np.bincount(doc, minlength=part.num_rows)
         weight = np.bincount(doc, weights=ratio[bucket], minlength=part.num_rows)
+    weight = weight * (PASSAGE / (PASSAGE + n))
     return n, weight, weight + gumbel(part.column("doc_id"))
 
 
@@ -174,7 +176,7 @@ class Model:
     """docs, with weights beside the rows where the table is too large to broadcast, and the table where it is not."""
 
     def __init__(self, docs: DataFrame, sample: DataFrame) -> None:
-        buckets = bucket_count(docs, FAMILIES, BUCKETS)
+        buckets = bucket_count(docs, ROOT, BUCKETS)
         self.sample, self.table = sample, None
         if buckets <= DENSE:
             self.docs, self.table = docs, docs.sparkSession.sparkContext.broadcast(fit(docs, sample, buckets))
@@ -221,22 +223,26 @@ def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.where(raw >> _U(63), ~raw, raw | _U(1 << 63)).view(np.int64))], names=["bits"])
 
 
-def _cut(scores: DataFrame, recall: float, k: int | None) -> float:
-    if k is not None:
-        return kth_largest(scores, k)
-    keys = np.sort([r.key for r in scores.where("target = 2 AND n_grams > 0").select("key").distinct().limit(SAMPLE_ROWS).collect()])
-    return float(keys[int((1 - recall) * len(keys))]) if len(keys) else float("-inf")
+def target_size(scores: DataFrame) -> int | None:
+    """How many documents with words are like the target, by its share of the labelled ones; None without labels."""
+    n, known, good = scores.where("n_grams > 0").agg(F.count("*"), F.count("target"), F.count_if(F.col("target") > 0)).first()
+    return -(-n * good // known) if good else None
+
+
+def _cut(scores: DataFrame, k: int | None) -> float:
+    """The perturbed weight from which on documents are taken."""
+    k = target_size(scores) if k is None else k
+    return float("-inf") if k is None else kth_largest(scores, k)
 
 
-def resample(docs: DataFrame, labels: DataFrame, recall: float = RECALL, k: int | None = None) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
     """Per row of docs: doc_id, n_grams, log_weight, key and kept."""
     prepare(docs.sparkSession)
-    sample = labelled(labels)
-    scores = settle(Model(docs, sample).score(), "scores")
-    return scores.select("doc_id", "n_grams", "log_weight", "key", ((F.col("key") >= _cut(scores, recall, k)) & (F.col("n_grams") > 0)).alias("kept"))
+    scores = settle(Model(docs, labelled(labels)).score(), "scores")
+    return scores.select("doc_id", "n_grams", "log_weight", "key", ((F.col("key") >= _cut(scores, k)) & (F.col("n_grams") > 0)).alias("kept"))
 
 
-def select(docs: DataFrame, labels: DataFrame, recall: float = RECALL, k: int | None = None) -> DataFrame:
+def select(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
     """The rows of docs that resample() keeps, with all their columns.
 
     Weights are a function of the row, so they are computed once more beside
@@ -244,7 +250,7 @@ def select(docs: DataFrame, labels: DataFrame, recall: float = RECALL, k: int |
     """
     prepare(docs.sparkSession)
     model = Model(docs, labelled(labels))
-    cut = _cut(settle(model.score(), "scores"), recall, k)
+    cut = _cut(settle(model.score(), "scores"), k)
     table, columns = model.table, docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,10 +8,10 @@ on.  Documents that fail the base rules (fewer than 50 words, or over half of
 the words in repeated 3-word windows) never pass.
 
 Each text is split once, and counts per bucket are pre-aggregated before the
-shuffle.  The number of buckets grows with the n-grams of the corpus, so a bucket
-holds as many at every size.  Up to DENSE buckets a family, scores are folded
-inside the row against a table of four-byte numbers, without a join or a
-shuffle.  Beyond that the table stays distributed and n-grams are joined to it.
+shuffle.  The number of buckets grows with the corpus (see `grams`).  Up to DENSE
+buckets a family, scores are folded inside the row against a table of four-byte
+numbers, without a join or a shuffle.  Beyond that the table stays distributed
+and n-grams are joined to it.
 Windows are compared by 64-bit hashes.
 
 Bounds: at most SAMPLE_ROWS labelled rows, those with the least hash, are
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import WHITE, settle, words
 from .grams import bucket_count, with_text_key
 
-#: Buckets a family for a small corpus; more for larger ones.
-BUCKETS = 1 << 13
+#: Buckets a family for a small corpus, and for larger ones so many times the square root of their words.
+BUCKETS, ROOT = 1 << 13, 6
 #: So many buckets a family may be sent with the plan: 17 MB for both.
 DENSE = 1 << 21
 #: A number of the table is UNIT times the ratio plus ZERO, in WIDTH bytes, the highest first.
@@ -164,7 +164,7 @@ def verdict(text: Column, llr: Callable[[Column], Column]) -> Column:
 
 def _scored(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Column]:
     """docs, with a score beside each row where the table is too large for the plan, and the verdict on a row."""
-    n = bucket_count(docs, 1, BUCKETS)
+    n = bucket_count(docs, ROOT, BUCKETS)
     if n <= DENSE:
         return docs, verdict(F.col("text"), dense_llr(ratios(docs, labels, n)))
     rows = with_text_key(docs).join(joined_llr(docs, labels, n), ["__loom_a", "__loom_b"], "left")

@@ -117,28 +117,94 @@ def test_classifier(spark):
     assert kept.columns == docs.columns
     assert sorted(str(x.doc_id) for x in kept.collect()) == sorted(str(x.doc_id) for x in Q.resample(docs.repartition(7), labs).collect() if x.kept)
     assert Q.select(docs.limit(0), labs).count() == 0
+    long = spark.createDataFrame([(1, "the cat " * 2_000_000, "x", 0)], docs.schema)
+    assert [x.kept for x in Q.resample(long, labs).collect()] == [True] and R.judge(long, labs).first().n_words == 4_000_000
     unlabelled = Q.resample(docs, labs.limit(0)).collect()
     assert all(x.kept == (x.n_grams > 0) and x.log_weight == 0 for x in unlabelled)
 
 
-def test_weights_against_brute_force(spark):
+M64 = 2**64 - 1
+
+
+def mixed(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & M64
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & M64
+    return x ^ x >> 31
+
+
+def word_hash(w):
+    """A polynomial in the bytes of a word and its length."""
+    raw, total, power = w.encode(), 0, 1
+    for byte in raw:
+        total, power = total + (byte + 1) * power & M64, power * 0x9E3779B97F4A7C15 & M64
+    return mixed(total + len(raw) * 0xD6E8FEB86659FD93 & M64)
+
+
+def pair_hash(a, b):
+    acc = (2 ^ a) * 0x9E3779B97F4A7C15 & M64
+    acc ^= acc >> 29
+    acc = (acc ^ b) * 0xC2B2AE3D27D4EB4F & M64
+    return mixed(acc ^ acc >> 29)
+
+
+def shape_class(byte):
+    if 97 <= byte <= 122 or byte >= 128:
+        return 1
+    return 2 if 65 <= byte <= 90 else 3 if 48 <= byte <= 57 else byte
+
+
+def brute_buckets(text, buckets):
+    """Buckets of words, word pairs and pairs of shapes, told from the text alone."""
+    words = words_of(text)
+    h = [word_hash(w) for w in words]
+    shape = [shape_class(r[0]) << 16 | shape_class(r[min(1, len(r) - 1)]) << 8 | shape_class(r[-1]) for r in (w.encode() for w in words)]
+    pairs = list(zip(range(len(words)), range(1, len(words)), strict=False))
+    out = [mixed(x ^ 0x9E3779B97F4A7C15) % buckets for x in h]
+    out += [mixed(pair_hash(h[i], h[j]) ^ 0xC2B2AE3D27D4EB4F) % buckets for i, j in pairs]
+    return out + [mixed((shape[i] << 25 | shape[j] << 1 | (h[i] == h[j])) ^ 0x165667B19E3779F9) % buckets for i, j in pairs]
+
+
+def test_selection_against_brute_force(spark):
+    """Hashes, models, tempered weights, k and the choice, by plain Python."""
     rows, labels = corpus(80)
+    rows += [(900, None), (901, "a"), (902, "é é 日本 A1 b-"), (903, " ")]
+    labels += [(8, 1, 1), (901, 1, 1), (10, 0, 0), (None, 1, 0), (902, None, 0)]
     docs, labs = frames(spark, rows, labels)
-    sample = Q.labelled(labs)
-    train = {x.doc_id for x in sample.collect() if x.target == 1}
+    quality = {}
+    for i, q, t in labels:
+        if i is not None and q is not None:
+            quality.setdefault(i, []).append((q, t))
+    good = {i: min(q for q, _ in x) == 1 for i, x in quality.items()}
+    train = {i for i, x in quality.items() if good[i] and max(t for _, t in x) == 0}
     raw, target, of = {}, {}, {}
     for i, t in rows:
-        w = words_of(t)
-        _, bucket = Q.features(pa.array([t]))
-        assert len(bucket) == 3 * len(w) - 2
-        of[i] = bucket.tolist()
+        of[i] = brute_buckets(t or "", Q.BUCKETS)
         for b in of[i]:
             raw[b] = raw.get(b, 0) + 1
             target[b] = target.get(b, 0) + (i in train)
     share = sum(target.values()) / sum(raw.values())
-    for x in Q.resample(docs, labs).collect():
-        assert math.isclose(x.log_weight, sum(math.log((target[b] + Q.PRIOR) / (raw[b] * share + Q.PRIOR)) for b in of[x.doc_id]), abs_tol=1e-9)
-        assert math.isclose(x.key - x.log_weight, Q.gumbel(pa.array([x.doc_id]))[0], abs_tol=1e-9)
+    keys = {}
+    got = {x.doc_id: x for x in Q.resample(docs, labs).collect()}
+    for i, g in of.items():
+        weight = sum(math.log((target[b] + Q.PRIOR) / (raw[b] * share + Q.PRIOR)) for b in g) * Q.PASSAGE / (Q.PASSAGE + len(g))
+        uniform = ((mixed((i * 0x9E3779B97F4A7C15 + 0xC2B2AE3D27D4EB4F) & M64) >> 11) + 0.5) / 2**53
+        keys[i] = weight - math.log(-math.log(uniform))
+        assert got[i].n_grams == len(g) and math.isclose(got[i].log_weight, weight, abs_tol=1e-9) and math.isclose(got[i].key, keys[i], abs_tol=1e-9)
+    ranked = sorted((i for i in of if of[i]), key=lambda i: -keys[i])
+    known = [i for i in ranked if i in good]
+    k = math.ceil(len(ranked) * sum(good[i] for i in known) / len(known))
+    assert {i for i, x in got.items() if x.kept} == set(ranked[:k]) and 0 < k < len(ranked)
+
+
+def test_noise_matters_between_good_documents(spark):
+    rows, labels = corpus(300)
+    docs, labs = frames(spark, rows, labels)
+    got = Q.resample(docs, labs, k=150).collect()
+    plain = {x.doc_id for x in sorted(got, key=lambda x: -x.log_weight)[:150]}
+    kept = {x.doc_id for x in got if x.kept}
+    assert len(kept) == 150 and 20 < len(kept - plain) < 130 and not any(i % 7 == 0 for i in kept)
 
 
 def test_gumbel_top_k(spark):
@@ -160,9 +226,9 @@ def many_words(n, seed=3):
 
 def test_buckets_grow_with_the_corpus(spark):
     small, large = (frames(spark, *many_words(n))[0] for n in (200, 3200))
-    held = G.bucket_count(small, 1, 64)
-    assert held > 64 and G.bucket_count(large, 1, 64) == 16 * held
-    assert G.bucket_count(small, 1, R.BUCKETS) == R.BUCKETS and G.bucket_count(small.limit(0), 1, 64) == 64
+    held = G.bucket_count(small, 6, 64)
+    assert held > 64 and abs(G.bucket_count(large, 6, 64) - 4 * held) <= 24
+    assert G.bucket_count(small, 1, R.BUCKETS) == R.BUCKETS and G.bucket_count(small.limit(0), 6, 64) == 64
 
 
 def test_bad_documents_fail_at_every_size(spark, monkeypatch):

@@ -18,8 +18,8 @@ Toxic rows of good quality read like the target, so they count for k though they
 do not train the model.
 
 The number of buckets grows with the corpus (see `grams`).  Up to DENSE buckets
-the table is broadcast; beyond that it stays distributed and n-grams are joined
-to it.
+the table is sent to the tasks as an array; a larger one is joined to the
+n-grams, by broadcast up to WIDE rows.
 
 Bounds: at most SAMPLE_ROWS labelled rows, those with the least hash, are used,
 so they may be broadcast.  Raw counts, weights and the choice cover all rows.
@@ -48,6 +48,8 @@ from .grams import bucket_count, with_text_key
 BUCKETS, ROOT = 1 << 15, 12
 #: So many buckets may be broadcast: 64 MB of doubles.
 DENSE = 1 << 23
+#: So many rows of a larger table may be broadcast for a join: under 1 GB.
+WIDE = 1 << 25
 SAMPLE_ROWS = 20_000
 #: N-grams of the passage that a long document weighs as.
 PASSAGE = 64
@@ -148,7 +150,8 @@ def _joined(docs: DataFrame, sample: DataFrame, buckets: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("__loom_a").take(at), part.column("__loom_b").take(at), pa.array(bucket)], names=["__loom_a", "__loom_b", "bucket"])
 
     keys = ["__loom_a", "__loom_b"]
-    grams = texts.mapInArrow(run, "__loom_a long, __loom_b long, bucket long").join(counts.select("bucket", ratio.alias("x")), "bucket")
+    known = counts.select("bucket", ratio.alias("x"))
+    grams = texts.mapInArrow(run, "__loom_a long, __loom_b long, bucket long").join(F.broadcast(known) if counts.count() <= WIDE else known, "bucket")
     weights = grams.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("x").alias("w")).join(texts.groupBy(*keys).agg(F.count("*").alias("copies")), keys)
     weights = settle(weights.select(*keys, (F.col("n") / F.col("copies")).cast("long").alias("__loom_n"), (F.col("w") / F.col("copies")).alias("__loom_w")), "weights")
     return with_text_key(docs).join(weights, keys, "left").drop(*keys)

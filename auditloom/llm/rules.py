@@ -9,9 +9,9 @@ the words in repeated 3-word windows) never pass.
 
 Each text is split once, and counts per bucket are pre-aggregated before the
 shuffle.  The number of buckets grows with the corpus (see `grams`).  Up to DENSE
-buckets a family, scores are folded inside the row against a table of four-byte
-numbers, without a join or a shuffle.  Beyond that the table stays distributed
-and n-grams are joined to it.
+buckets a family, scores are folded inside the row against an array, without a
+join or a shuffle.  A larger table is joined to the n-grams, by broadcast up to
+WIDE rows, and scores are summed per text before they are shuffled.
 Windows are compared by 64-bit hashes.
 
 Bounds: at most SAMPLE_ROWS labelled rows, those with the least hash, are
@@ -35,17 +35,17 @@ from .grams import bucket_count, with_text_key
 
 #: Buckets a family for a small corpus, and for larger ones so many times the square root of their words.
 BUCKETS, ROOT = 1 << 13, 6
-#: So many buckets a family may be sent with the plan: 17 MB for both.
-DENSE = 1 << 21
-#: A number of the table is UNIT times the ratio plus ZERO, in WIDTH bytes, the highest first.
-UNIT, ZERO, WIDTH = 10**8, 1 << 31, 4
+#: So many buckets a family may be sent with the plan: 8 MB of doubles for both.
+DENSE = 1 << 19
+#: So many rows of a larger table may be broadcast: under 1 GB.
+WIDE = 1 << 25
 SAMPLE_ROWS = 20_000
 THRESHOLD = -0.05
 #: A bucket's target count is drawn to what the raw model expects of it, with the weight of so many n-grams.
 PRIOR = 16
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -92,7 +92,7 @@ def base_measures(text: Column) -> dict[str, Column]:
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(WHITE)) != "")
     return {
         "word_chars": F.length(F.translate(text, WHITE, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
     }
 
@@ -126,12 +126,11 @@ def ratios(docs: DataFrame, labels: DataFrame, n: int) -> np.ndarray:
 def dense_llr(table: np.ndarray) -> Callable[[Column], Column]:
     """From the hashes of a text's words to its score, by a table in the plan."""
     n = len(table) // 2
-    known = F.lit(bytearray((np.rint(table * UNIT) + ZERO).astype(">u4").tobytes()))
+    known = F.split(F.lit(" ".join(f"{x:.8f}" for x in table.tolist())), " ").cast("array<double>")
 
     def mean(buckets: Column) -> Column:
-        value = lambda b: F.conv(F.hex(F.substring(known, (b * WIDTH + 1).cast("int"), F.lit(WIDTH))), 16, 10).cast("long") - ZERO
-        total = F.aggregate(buckets, F.lit(0).cast("long"), lambda s, b: s + value(b))
-        return F.when(F.size(buckets) > 0, total / F.lit(float(UNIT)) / F.size(buckets)).otherwise(F.lit(0.0))
+        total = F.aggregate(buckets, F.lit(0.0), lambda s, b: s + F.get(known, b.cast("int")))
+        return F.when(F.size(buckets) > 0, total / F.size(buckets)).otherwise(F.lit(0.0))
 
     return lambda h: let(_buckets(h, n), mean)
 
@@ -139,6 +138,7 @@ def dense_llr(table: np.ndarray) -> Callable[[Column], Column]:
 def joined_llr(docs: DataFrame, labels: DataFrame, n: int) -> DataFrame:
     """(__loom_a, __loom_b, __loom_llr) per text with words, by a join with the table: equal texts have one mean."""
     counts = settle(_counts(docs, labels, n), "counts")
+    small = counts.count() <= WIDE
     family = (F.col("bucket") >= n).cast("int")
     share = {r.f: r.t / max(1, r.r) for r in counts.groupBy(family.alias("f")).agg(F.sum("raw").alias("r"), F.sum("target").alias("t")).collect()}
     if any(share.values()):
@@ -146,7 +146,8 @@ def joined_llr(docs: DataFrame, labels: DataFrame, n: int) -> DataFrame:
     else:
         ratio = F.lit(0.0)
     grams = with_text_key(docs.select("text")).select("__loom_a", "__loom_b", F.explode(let(_hashes(F.col("text")), lambda h: _buckets(h, n))).alias("bucket"))
-    return grams.join(counts.select("bucket", ratio.alias("x")), "bucket").groupBy("__loom_a", "__loom_b").agg(F.avg("x").alias("__loom_llr"))
+    table = counts.select("bucket", ratio.alias("x"))
+    return grams.join(F.broadcast(table) if small else table, "bucket").groupBy("__loom_a", "__loom_b").agg(F.avg("x").alias("__loom_llr"))
 
 
 def verdict(text: Column, llr: Callable[[Column], Column]) -> Column:

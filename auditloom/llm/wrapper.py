@@ -5,22 +5,30 @@ Pages of one host are dealt into groups of about GROUP pages.  In a group a
 wrapper is grown: each page's tree is laid against it by simple tree matching
 (the most pairs of equally labelled nodes that keep order and descent), matched
 nodes record the page's text, and unmatched ones join the wrapper.  Runs of
-equally labelled siblings count as one node.  A wrapper node that held one and
-the same text in at least SUPPORT pages with different main texts is template;
-nodes whose text varies are slots.
+equally labelled siblings count as one node.
 
-A page's main text is that of the slots inside its content root, in page order.
-The root is the page's article elements, else its main element, else the whole
-page: then every slot counts, in however many containers the text stands.
-Elements that are never article text by their tag, role, class or id are left
-out.  Pages count as different by the text of their articles or main, else of the
-element whose paragraphs hold most text.
+A wrapper node is template if it held the same text in several pages: in SUPPORT
+different pages or more, and in at least half of those that have it, its text is
+also that of another page.  All else is a slot.  Pages with equal main texts count
+as one, so copies of an article do not make it template.
+
+A page's main text is that of the slots inside its content, in page order.  The
+content is the page's article elements, else its main element, if the wrapper has
+slots in them; else the whole page, where nodes of which most is link text are
+menus.  A heading that repeats in articles is kept with the text it heads.
+
+Elements with a meaning of their own (navigation, footers, forms and their
+controls, ...), roles and hidden elements are no main text.  Of names, a class or
+id counts only if all its words are known (`ad-box`, not `has-sidebar`), and
+neither a name nor a form around the content takes it away.
 
 Cases: a null, empty or tagless html; markup cut off anywhere; elements left
-open; a page without host (its own group of pages); hosts with too few pages,
-where nothing is template; repeated rows, which get the same text; an empty
-table; further columns are ignored.  Trees deeper than DEPTH are laid against
-the wrapper down to there.
+open or nested to any depth; a page without host (its own group of pages); hosts
+with under SUPPORT pages, where nothing is template; repeated rows, which share a
+group and get the same text; many rows without page_id, which are dealt by url
+and html; an empty table; further columns are ignored.  Of over PAIRS equally
+labelled pairs among two nodes' children, those at both ends are matched first,
+and if that does not help the rest in order.
 """
 
 from __future__ import annotations
@@ -28,6 +36,8 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,38 +47,52 @@ from pyspark.sql import functions as F
 from .common import prepare, settle
 from .textkernel import slices
 
-GROUP, SUPPORT, DEPTH = 64, 6, 60
+GROUP, SUPPORT, PAIRS = 64, 3, 4096
 #: So many hosts of more than one group may be broadcast; more are joined by a shuffle.
 BROADCAST_HOSTS = 100_000
 
-# HTML elements by kind.
+# HTML elements by kind; all others are inline.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
-NEVER = frozenset("head nav footer aside form button select option menu dialog svg math canvas object audio video map fieldset input".split())
+BLOCK = frozenset(
+    "address article aside blockquote body canvas caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup "
+    "html legend li main menu nav object ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
+)
+NEVER = frozenset("head nav footer aside search button select option optgroup datalist label legend menu dialog svg canvas object audio video map input".split())
+#: Never main text, unless the content is inside.
+FORMS = frozenset("form fieldset".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+IN_HEAD = frozenset("title meta link script style base noscript template".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}}
-HOLDERS = frozenset("ul ol dl table tbody thead tfoot tr select article main section div body".split())
+#: Elements that a start tag closes, and those beyond which it does not look.
+CLOSES = {
+    "li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "option": ("option", "select"), "td": ("td th", "tr table"), "th": ("td th", "tr table"),
+    "tr": ("tr td th", "tbody thead tfoot table"), "tbody": ("tbody thead tfoot tr td th", "table"), "thead": ("tbody thead tfoot tr td th", "table"), "tfoot": ("tbody thead tfoot tr td th", "table"),
+}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words in a class or id that mark an element as no article text.
+#: Words of a class or id that name what is no main text, and words that may stand beside them.
 WORDS = frozenset(
-    "ad ads adv advert advertisement adbox adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead "
+    "ad ads adv advert adverts advertisement adbox adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead "
     "topbar toolbar comment comments disqus replies cookie cookies consent gdpr notice newsletter subscribe subscription signup login share sharing social related "
     "recommended recommendations popular trending widget modal popup overlay pagination pager skip hidden".split()
 )
+BESIDE = frozenset("a and area bar block body bottom box button buttons card container content form global group icons inner item items left link links list main media page panel post posts primary right secondary section site slot to top unit widget wrap wrapper".split())
+_CLOSES = {tag: (frozenset(a.split()), frozenset(b.split())) for tag, (a, b) in CLOSES.items()}
+_P = (frozenset({"p"}), frozenset("ul ol dl table tr td th article main section div body button".split()))
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>?|<[a-zA-Z][^<]*\Z|[^<]+|<""", re.S)
-_ATTR = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_OPENS = re.compile(r"""=\s*(["'])""")
+_ATTR = re.compile(r"""([^\s/>="']+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
-    """A block element: its label, whether it is never article text, and its texts and blocks in order."""
+    """A block element: its texts and blocks in order; whether it is no main text for good (never) or by a name or form around it (named)."""
 
-    __slots__ = ("label", "never", "parts", "tag", "wrap")
+    __slots__ = ("label", "links", "named", "never", "parts", "tag", "wrap")
 
-    def __init__(self, tag: str, label: str, never: bool) -> None:
-        self.tag, self.label, self.never = tag, label, never
+    def __init__(self, tag: str, label: str, never: bool = False, named: bool = False) -> None:
+        self.tag, self.label, self.never, self.named, self.links = tag, label, never, named, 0
         self.parts: list[str | Node] = []
         self.wrap: Wrapper | None = None
 
@@ -80,85 +104,141 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTR.finditer(raw)} if raw.strip(" /\n\t\r") else {}
 
 
-def _never(tag: str, attrs: dict[str, str]) -> bool:
-    if tag in NEVER or tag in RAW:
-        return True
-    if not attrs:
-        return False
-    if attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", ""):
-        return True
-    return any(w.lower() in WORDS for w in _PARTS.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}"))
+def _hidden(attrs: dict[str, str]) -> bool:
+    return attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")
 
 
-def _page_header(tag: str, attrs: dict[str, str], stack: list) -> bool:
-    """Headers are article text only inside an article or main element."""
-    if tag != "header" and "header" not in (w.lower() for w in _PARTS.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")):
-        return False
-    return not any(s[0] in ("article", "main") for s in stack)
+def _named(attrs: dict[str, str]) -> bool:
+    """Whether a class or id is made of known words only, one of them telling."""
+    for token in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        words = [w.lower() for w in _PARTS.findall(token) if not w.isdigit()]
+        if any(w in WORDS for w in words) and all(w in WORDS or w in BESIDE for w in words):
+            return True
+    return False
+
+
+def _tag_end(source: str, at: int, gone: set[str]) -> int:
+    """The place of the > that ends a tag, -1 if there is none; `gone` holds quotes that do not come again."""
+    end = source.find(">", at)
+    while end >= 0 and (m := _OPENS.search(source, at, end)) and m[1] not in gone:
+        close = source.find(m[1], m.end())
+        if close < 0:
+            gone.add(m[1])
+            break
+        at = close + 1
+        if close > end:
+            end = source.find(">", at)
+    return end
+
+
+class _Open:
+    """The open elements: (tag, block they are in, whether inline text is dropped, whether it is link text), and where each tag is."""
+
+    def __init__(self, root: Node) -> None:
+        self.stack: list[tuple[str, Node, bool, bool]] = [("#root", root, False, False)]
+        self.places: dict[str, list[int]] = {}
+        self.blocks = [0]
+
+    def push(self, tag: str, block: Node, dropped: bool, link: bool) -> None:
+        if tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, block, dropped, link))
+
+    def last(self, tags: frozenset[str]) -> int:
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def cut(self, at: int) -> None:
+        while len(self.stack) > at:
+            tag = self.stack.pop()[0]
+            self.places[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+
+    def close(self, tag: str) -> None:
+        """An end tag; that of an inline element does not reach out of its block."""
+        places = self.places.get(tag)
+        if places and (tag in BLOCK or places[-1] > self.blocks[-1]):
+            self.cut(places[-1])
+
+    def make_room(self, rule: tuple[frozenset[str], frozenset[str]]) -> None:
+        """Close the elements that a start tag closes, down to the lowest above the last barrier."""
+        closes, stops = rule
+        barrier = self.last(stops)
+        found = [p[k] for t in closes if (p := self.places.get(t)) and (k := bisect_right(p, barrier)) < len(p)]
+        if found:
+            self.cut(min(found))
 
 
 def parse(source: str) -> Node:
-    """The block tree of a page; never fails."""
-    root = Node("#root", "#root", False)
-    stack: list[tuple[str, Node, bool]] = [("#root", root, False)]  # open elements: tag, block they are in, whether inline text is dropped
+    """The block tree of a page, in time linear in its length; never fails."""
+    root = Node("#root", "#root")
+    opened, gone = _Open(root), set()
+    stack, places = opened.stack, opened.places
     at, n = 0, len(source)
+
+    def text(start: int, end: int) -> None:
+        if end > start:
+            _, block, dropped, link = stack[-1]
+            if not dropped:
+                piece = source[start:end]
+                block.parts.append(piece)
+                if link:
+                    block.links += len(piece)
+
     while at < n:
-        m = _TOKEN.match(source, at)
-        if m is None:
+        begin = source.find("<", at)
+        if begin < 0:
+            text(at, n)
             break
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            text = m[0]
-            if not text.startswith("<") or text == "<":
-                _, block, dropped = stack[-1]
-                if not dropped:
-                    block.parts.append(text)
-            continue
-        tag = tag.lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
+        text(at, begin)
+        m = _NAME.match(source, begin)
+        if m is None:
+            if source.startswith("<!--", begin):
+                end = source.find("-->", begin + 4)
+                at = end + 3 if end >= 0 else n
+            elif source.startswith(("<!", "<?", "</"), begin):
+                end = source.find(">", begin)
+                at = end + 1 if end >= 0 else n
+            else:
+                text(begin, begin + 1)
+                at = begin + 1
             continue
-        if tag == "br":
-            stack[-1][1].parts.append("\n")
+        end = _tag_end(source, m.end(), gone)
+        if end < 0:
+            break
+        at, tag = end + 1, m[1].lower()
+        if source[begin + 1] == "/":
+            opened.close(tag)
             continue
+        if places.get("head") and tag not in IN_HEAD and tag != "head":
+            opened.cut(places["head"][-1])
+        if tag in CLOSES_P and places.get("p"):
+            opened.make_room(_P)
         if tag in VOID:
+            if tag in ("br", "hr"):
+                stack[-1][1].parts.append("\n")
             continue
+        raw = source[m.end() : end]
         if tag in RAW:
-            end = re.compile(rf"</{tag}[\s/>]", re.I).search(source, at)
-            stop = source.find(">", end.start()) if end else -1
-            at = stop + 1 if stop >= 0 else n
+            found = re.compile(rf"</{tag}[\s/>]", re.I).search(source, at)
+            if found or not raw.endswith("/"):
+                stop = source.find(">", found.start()) if found else -1
+                at = stop + 1 if stop >= 0 else n
             continue
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    break
-                if stack[k][0] in HOLDERS:
-                    break
-        if tag in SIBLINGS:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in SIBLINGS[tag]:
-                    del stack[k:]
-                    break
-                if stack[k][0] in HOLDERS:
-                    break
-        attrs = _attributes(m[3])
-        never = _never(tag, attrs) or _page_header(tag, attrs, stack)
-        if tag in INLINE:
-            _, block, dropped = stack[-1]
-            stack.append((tag, block, dropped or never))
+        if tag in _CLOSES:
+            opened.make_room(_CLOSES[tag])
+        attrs = _attributes(raw)
+        never = tag in NEVER or (tag == "header" and not (places.get("article") or places.get("main"))) or (bool(attrs) and _hidden(attrs))
+        named = tag in FORMS or (bool(attrs) and tag not in ("html", "body") and _named(attrs))
+        _, block, dropped, link = stack[-1]
+        if tag in BLOCK:
+            never = never or dropped
+            node = Node(tag, f"{tag}.{attrs.get('class', '')}#{re.sub('[0-9]+', '0', attrs.get('id', ''))}" if attrs else tag, never, named)
+            block.parts.append(node)
+            opened.push(tag, node, False, link)
         else:
-            node = Node(tag, f"{tag}.{attrs.get('class', '')}#{re.sub('[0-9]+', '0', attrs.get('id', ''))}" if attrs else tag, never)
-            stack[-1][1].parts.append(node)
-            stack.append((tag, node, False))
-        if m[3].endswith("/") and tag not in INLINE:
-            stack.pop()
+            opened.push(tag, block, dropped or never or named, link or tag == "a")
     return root
 
 
@@ -171,165 +251,269 @@ def own_text(node: Node) -> str:
 
 
 class Wrapper:
-    """A node of the wrapper: label, children, how many pages it held a text in, and up to two of the texts."""
+    """A node of the wrapper: label, children, the pages that held a text in it, how many held which, and its link and other text."""
 
-    __slots__ = ("kids", "label", "pages", "texts")
+    __slots__ = ("chars", "kids", "label", "links", "pages", "texts")
 
     def __init__(self, label: str) -> None:
-        self.label = label
+        self.label, self.chars, self.links = label, 0, 0
         self.kids: list[Wrapper] = []
         self.pages: set[bytes] = set()
-        self.texts: set[int] = set()
+        self.texts: Counter[int] = Counter()
+
+    def template(self) -> bool:
+        repeated = sum(n for n in self.texts.values() if n > 1)
+        return repeated >= SUPPORT and 2 * repeated >= len(self.pages)
 
-    def constant(self) -> bool:
-        return len(self.texts) == 1 and len(self.pages) >= SUPPORT
+    def menu(self) -> bool:
+        return 2 * self.links > self.chars
 
 
 def _runs(nodes: list[Node]) -> list[list[Node]]:
     """Children of the nodes, equally labelled neighbours together."""
     out: list[list[Node]] = []
     for node in nodes:
-        for kid in node.kids():
-            if out and out[-1][0].label == kid.label:
-                out[-1].append(kid)
-            else:
-                out.append([kid])
+        for part in node.parts:
+            if type(part) is Node:
+                if out and out[-1][0].label == part.label:
+                    out[-1].append(part)
+                else:
+                    out.append([part])
     return out
 
 
-def match(wrap: Wrapper, nodes: list[Node], depth: int = 0) -> int:
+def _heaviest(pairs: list[tuple[int, int, int]], width: int) -> tuple[int, list[tuple[int, int]]]:
+    """The heaviest ordered mapping out of pairs (i, j, weight) sorted by i, with j under width: its weight and pairs."""
+    best: list[tuple[int, int]] = [(0, -1)] * (width + 1)  # a tree of prefix maxima: weight and last pair
+    back: list[int] = []
+    top = (0, -1)
+    at = 0
+    while at < len(pairs):
+        upto = at
+        while upto < len(pairs) and pairs[upto][0] == pairs[at][0]:
+            upto += 1
+        for k in range(upto - 1, at - 1, -1):  # j descends within an i, so an i is used once
+            _, j, weight = pairs[k]
+            held, q = (0, -1), j
+            while q:
+                held = max(held, best[q])
+                q -= q & -q
+            back.append(held[1])
+            found = (held[0] + weight, k)
+            top, q = max(top, found), j + 1
+            while q <= width:
+                best[q] = max(best[q], found)
+                q += q & -q
+        back[at:upto] = back[at:upto][::-1]
+        at = upto
+    chosen, k = [], top[1]
+    while k >= 0:
+        chosen.append(pairs[k][:2])
+        k = back[k]
+    return top[0], chosen[::-1]
+
+
+def _pairs(kids: list[Wrapper], runs: list[list[Node]]) -> list[tuple[int, int]] | None:
+    """All (i, j) with equal labels, in order; None if there are over PAIRS."""
+    places: dict[str, list[int]] = {}
+    for j, run in enumerate(runs):
+        places.setdefault(run[0].label, []).append(j)
+    if sum(len(places.get(k.label, ())) for k in kids) > PAIRS:
+        return None
+    return [(i, j) for i, kid in enumerate(kids) for j in places.get(kid.label, ())]
+
+
+def align(kids: list[Wrapper], runs: list[list[Node]], memo: dict) -> tuple[int, list[tuple[int, int]]]:
+    """Weight and pairs of the best mapping between a wrapper node's children and runs of a page's nodes."""
+    pairs = _pairs(kids, runs)
+    if pairs is not None:
+        return _heaviest([(i, j, match(kids[i], runs[j], memo)) for i, j in pairs], len(runs))
+    head, tail, most = 0, 0, min(len(kids), len(runs))
+    while head < most and kids[head].label == runs[head][0].label:
+        head += 1
+    while tail < most - head and kids[-1 - tail].label == runs[-1 - tail][0].label:
+        tail += 1
+    ends = [(k, k) for k in range(head)] + [(len(kids) - k, len(runs) - k) for k in range(tail, 0, -1)]
+    inner, outer = kids[head : len(kids) - tail], runs[head : len(runs) - tail]
+    middle = _pairs(inner, outer)
+    if middle is not None:
+        middle = _heaviest([(i, j, match(inner[i], outer[j], memo)) for i, j in middle], len(outer))[1]
+    else:
+        places: dict[str, list[int]] = {}
+        for i, kid in enumerate(inner):
+            places.setdefault(kid.label, []).append(i)
+        middle, last = [], -1
+        for j, run in enumerate(outer):
+            known = places.get(run[0].label, [])
+            k = bisect_right(known, last)
+            if k < len(known):
+                last = known[k]
+                middle.append((last, j))
+    chosen = ends[:head] + [(i + head, j + head) for i, j in middle] + ends[head:]
+    return sum(match(kids[i], runs[j], memo) for i, j in chosen), chosen
+
+
+def match(wrap: Wrapper, nodes: list[Node], memo: dict | None = None) -> int:
     """Simple tree matching: the most pairs of a common top-down, ordered mapping."""
-    if wrap.label != nodes[0].label:
-        return 0
-    runs = _runs(nodes) if depth < DEPTH else []
-    row = [0] * (len(runs) + 1)
-    for kid in wrap.kids if runs else ():
-        new = [0]
-        for j, run in enumerate(runs):
-            best = max(row[j + 1], new[j])
-            if kid.label == run[0].label:
-                best = max(best, row[j] + match(kid, run, depth + 1))
-            new.append(best)
-        row = new
-    return 1 + row[-1]
+    memo = {} if memo is None else memo
+    todo: list[tuple[Wrapper, list[Node]]] = [(wrap, nodes)]
+    while todo:  # children first, without recursion: trees may be of any depth
+        wrap_, run = todo[-1]
+        key = (id(wrap_), id(run[0]))
+        if key in memo:
+            todo.pop()
+            continue
+        if wrap_.label != run[0].label:
+            memo[key] = 0
+            todo.pop()
+            continue
+        runs = _runs(run)
+        needed = _needed(wrap_.kids, runs)
+        missing = [(a, b) for a, b in needed if (id(a), id(b[0])) not in memo]
+        if missing:
+            todo += missing
+            continue
+        memo[key] = 1 + align(wrap_.kids, runs, memo)[0]
+        todo.pop()
+    return memo[id(wrap), id(nodes[0])]
+
+
+def _needed(kids: list[Wrapper], runs: list[list[Node]]) -> list[tuple[Wrapper, list[Node]]]:
+    """The pairs whose weights align() asks for."""
+    pairs = _pairs(kids, runs)
+    if pairs is None:
+        pairs = align(kids, runs, _Ones())[1]
+    return [(kids[i], runs[j]) for i, j in pairs]
 
 
-def fold(wrap: Wrapper, nodes: list[Node], page: bytes, depth: int = 0) -> None:
+class _Ones(dict):
+    """Weights of 1 for all pairs."""
+
+    def __contains__(self, key: object) -> bool:
+        return True
+
+    def __getitem__(self, key: object) -> int:
+        return 1
+
+
+def fold(wrap: Wrapper, nodes: list[Node], page: bytes) -> None:
     """Lay a run of matched nodes onto the wrapper and grow it by what it lacks."""
-    for node in nodes:
-        node.wrap = wrap
-    text = " ".join(t for t in map(own_text, nodes) if t)
-    if text:
-        wrap.pages.add(page)
-        if len(wrap.texts) < 2:
-            wrap.texts.add(hash(text))
-    runs = _runs(nodes) if depth < DEPTH else []
-    if not runs:
-        return
-    labels = [k.label for k in wrap.kids]
-    if labels == [r[0].label for r in runs]:
-        pairs = list(enumerate(runs))
-        grown = wrap.kids
-    else:
-        a, b = len(wrap.kids), len(runs)
-        score = [[0] * (b + 1) for _ in range(a + 1)]
-        gain = {}
-        for i in range(a):
-            for j in range(b):
-                best = max(score[i][j + 1], score[i + 1][j])
-                if labels[i] == runs[j][0].label:
-                    gain[i, j] = score[i][j] + match(wrap.kids[i], runs[j], depth + 1)
-                    best = max(best, gain[i, j])
-                score[i + 1][j + 1] = best
-        taken, i, j = {}, a, b
-        while i and j:
-            if gain.get((i - 1, j - 1)) == score[i][j]:
-                taken[j - 1] = i - 1
-                i, j = i - 1, j - 1
-            elif score[i - 1][j] == score[i][j]:
-                i -= 1
-            else:
-                j -= 1
-        grown, done, pairs = [], 0, []
+    memo: dict = {}
+    todo = [(wrap, nodes)]
+    while todo:
+        wrap, nodes = todo.pop()
+        for node in nodes:
+            node.wrap = wrap
+        text = " ".join(t for t in map(own_text, nodes) if t)
+        if text and page not in wrap.pages:
+            wrap.pages.add(page)
+            wrap.texts[hash(text)] += 1
+            wrap.chars += sum(len(p) for n in nodes for p in n.parts if type(p) is str)
+            wrap.links += sum(n.links for n in nodes)
+        runs = _runs(nodes)
+        if not runs:
+            continue
+        if [k.label for k in wrap.kids] == [r[0].label for r in runs]:
+            todo += zip(wrap.kids, runs, strict=True)
+            continue
+        for a, b in _needed(wrap.kids, runs):
+            match(a, b, memo)
+        grown, done, taken = [], 0, {j: i for i, j in align(wrap.kids, runs, memo)[1]}
         for j, run in enumerate(runs):
             if j in taken:
                 grown += wrap.kids[done : taken[j] + 1]
                 done = taken[j] + 1
             else:
                 grown.append(Wrapper(run[0].label))
-            pairs.append((len(grown) - 1, run))
-        grown += wrap.kids[done:]
-        wrap.kids = grown
-    for i, run in pairs:
-        fold(grown[i], run, page, depth + 1)
+            todo.append((grown[-1], run))
+        wrap.kids = grown + wrap.kids[done:]
 
 
-def _walk(root: Node) -> Iterator[tuple[Node, int]]:
-    """The nodes that may be article text, with their depth, in page order."""
-    stack = [(root, 0)]
+def _walk(root: Node) -> Iterator[tuple[Node, Node | None, int, bool]]:
+    """Nodes that are not never, in page order: node, parent, named ones around it, whether it is inside an article."""
+    stack: list[tuple[Node, Node | None, int, bool]] = [(root, None, 0, False)]
     while stack:
-        node, depth = stack.pop()
+        node, up, names, inside = stack.pop()
         if node.never:
             continue
-        yield node, depth
-        stack += [(k, depth + 1) for k in reversed(node.kids())]
-
-
-def content_roots(root: Node) -> tuple[list[Node], list[Node]]:
-    """The elements whose slots are main text, and those by which pages are told apart."""
-    found: dict[str, list[Node]] = {"article": [], "main": []}
-    best, most = root, 0.0
+        yield node, up, names, inside
+        deeper = (names + node.named, inside or (node.tag == "article" and not node.named))
+        stack += [(k, node, *deeper) for k in reversed(node.kids())]
+
+
+def content(root: Node) -> tuple[list[Node], list[Node]]:
+    """The page's article or main elements, if any, and the elements by whose text pages are told apart.
+
+    The latter are the former if they hold half of the page's text, else the
+    element whose paragraphs hold most.  Names and forms are taken off the elements
+    around the former; without them, off those that hold most of the text.
+    """
+    walked = list(_walk(root))
+    parents = {id(node): up for node, up, _, _ in walked}
+    own = {id(node): max(0, sum(len(p) for p in node.parts if type(p) is str and not p.isspace()) - node.links) for node, _, _, _ in walked}
+    total, below = sum(own.values()), dict(own)
+    for node, up, _, _ in reversed(walked):
+        if up is not None:
+            below[id(up)] += below[id(node)]
+    roots: list[Node] = []
+    for tag in ("article", "main"):
+        found = [(names, node) for node, _, names, inside in walked if node.tag == tag and not node.named and not (inside and tag == "article")]
+        if found and not roots:
+            least = min(names for names, _ in found)
+            roots = [node for names, node in found if names == least]
+    for node in roots:
+        while (up := parents[id(node)]) is not None:
+            node, up.named = up, False
     held: dict[int, float] = {}
-    parents: dict[int, Node] = {}
-    inside: set[int] = set()
-    for node, _ in _walk(root):
-        if node.tag in found and id(node) not in inside:
-            found[node.tag].append(node)
-        for kid in node.kids():
-            parents[id(kid)] = node
-            if node.tag == "article" or id(node) in inside:
-                inside.add(id(kid))
-        if not found["article"]:
-            size = float(len(own_text(node)))
-            up = node if node.tag == "#root" else parents[id(node)]
-            for share in (1.0, 0.5):
-                held[id(up)] = held.get(id(up), 0.0) + share * size
-                if held[id(up)] > most:
-                    best, most = up, held[id(up)]
-                up = parents.get(id(up), up)
-    named = found["article"] or found["main"]
-    return named or [root], named or [best]
-
-
-def main_text(roots: list[Node]) -> str:
-    """Texts of the slots under the roots, in page order."""
+    best, most = root, 0.0
+    for node, up, _, _ in walked:
+        if not roots and node.named and 2 * below[id(node)] > total:
+            node.named = False
+        for near, share in ((up, 1.0), (parents.get(id(up)), 0.5)):
+            if near is not None:
+                held[id(near)] = held.get(id(near), 0.0) + share * own[id(node)]
+                if held[id(near)] > most:
+                    best, most = near, held[id(near)]
+    return roots, roots if roots and 2 * sum(below[id(node)] for node in roots) >= total else [best]
+
+
+def main_text(roots: list[Node], article: bool) -> str:
+    """Texts of the slots under the roots, in page order; repeated headings of articles with the text that they head."""
     blocks: list[str] = []
     for root in roots:
         held: list[str] = []
-        stack: list[str | Node | tuple[()]] = [root]
-        keep = [True]
+        heads: list[str] = []
+        open_: list[Node] = []
+        stack: list[str | Node | None] = [root]
 
-        def close(held=held, keep=keep) -> None:
+        def close(held=held, heads=heads, open_=open_) -> None:
             text = tidy("".join(held))
             held.clear()
-            if text and keep[-1]:
+            if not text:
+                return
+            node = open_[-1]
+            if node.wrap is None or not (node.wrap.template() or (not article and node.wrap.menu() and node.tag not in HEADINGS and node.tag not in ("p", "pre"))):
+                blocks.extend(heads)
                 blocks.append(text)
+                heads.clear()
+            elif article and node.tag in HEADINGS:
+                heads.append(text)
+            else:
+                heads.clear()
 
         while stack:
             part = stack.pop()
             if type(part) is str:
                 held.append(part)
-            elif type(part) is tuple:
-                close()
-                keep.pop()
-            elif not part.never or part is root:
+                continue
+            if open_:
                 close()
-                keep.append(not (part.wrap and part.wrap.constant()))
-                stack.append(())
+            if part is None:
+                open_.pop()
+            elif part is root or not (part.never or part.named):
+                open_.append(part)
+                stack.append(None)
                 stack += reversed(part.parts)
-            else:
-                close()
-        close()
     return " ".join(blocks)
 
 
@@ -341,19 +525,24 @@ def extract_group(pages: list[str]) -> list[str]:
             trees[source] = parse(source)
     wrap, roots = Wrapper("#root"), {}
     for source, tree in trees.items():
-        roots[source], told = content_roots(tree)
-        fold(wrap, [tree], hashlib.md5(main_text(told).encode()).digest())
-    texts = {source: main_text(r) for source, r in roots.items()}
-    return [texts.get(source, "") for source in pages]
+        roots[source], told = content(tree)
+        fold(wrap, [tree], hashlib.md5(main_text(told, True).encode()).digest())
+    texts = {source: main_text(found, True) if found else "" for source, found in roots.items()}
+    return [(texts[source] or main_text([trees[source]], False)) if source else "" for source in pages]
 
 
 def _extractor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    group: list[tuple[int | None, str, str]] = []
+    """Sorted rows (host, salt, page_id, url, html) to texts; of equal pages in a group one is held."""
+    group: list[tuple[int | None, str, int]] = []
+    sources: dict[str, int] = {}
     key: tuple | None = None
 
-    def done() -> pa.RecordBatch:
-        texts = extract_group([g[2] for g in group])
-        return pa.RecordBatch.from_arrays([pa.array([g[0] for g in group], pa.int64()), pa.array([g[1] for g in group], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+    def done() -> Iterator[pa.RecordBatch]:
+        texts = extract_group(list(sources))
+        for low in range(0, len(group), 256):
+            some = group[low : low + 256]
+            found = [texts[g[2]] for g in some]
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in some], pa.int64()), pa.array([g[1] for g in some], pa.string()), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     for batch in batches:
         for part in slices(batch, "html"):
@@ -361,11 +550,11 @@ def _extractor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for host, salt, page_id, url, source in rows:
                 if key != (host, salt):
                     if group:
-                        yield done()
-                    key, group = (host, salt), []
-                group.append((page_id, url, source or ""))
+                        yield from done()
+                    key, group, sources = (host, salt), [], {}
+                group.append((page_id, url, sources.setdefault(source or "", len(sources))))
     if group:
-        yield done()
+        yield from done()
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -376,5 +565,6 @@ def extract(pages: DataFrame) -> DataFrame:
     groups = settle(rows.groupBy("host").agg(F.ceil(F.count("*") / GROUP).alias("groups")).where("groups > 1"), "hosts")
     if groups.count() <= BROADCAST_HOSTS:
         groups = F.broadcast(groups)
-    dealt = rows.join(groups, "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", F.lit(3)), F.coalesce("groups", F.lit(1)))).drop("groups")
+    deal = F.when(F.col("page_id").isNotNull(), F.xxhash64("page_id", F.lit(3))).otherwise(F.xxhash64("url", "html"))
+    dealt = rows.join(groups, "host", "left").withColumn("salt", F.pmod(deal, F.coalesce("groups", F.lit(1)))).drop("groups")
     return dealt.repartition("host", "salt").sortWithinPartitions("host", "salt", "page_id").mapInArrow(_extractor, "page_id long, url string, text string, n_chars long")

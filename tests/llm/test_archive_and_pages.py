@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import time
 
 import pyarrow as pa
 import pyarrow.fs
@@ -90,13 +91,82 @@ def test_what_is_never_article_text():
     assert W.extract_group([page(body)]) == ["Title Text one link. Item one Item two cell cell two Quote a b"]
 
 
-def test_constant_node_inside_article_goes_but_copies_stay():
-    fixed = [page(f"<article><p class='x'>Read our terms.</p><p>Story {i} runs on.</p></article>") for i in range(8)]
-    assert W.extract_group(fixed) == [f"Story {i} runs on." for i in range(8)]
+def test_constant_node_inside_article_goes_but_copies_and_headings_stay():
+    fixed = [page(f"<article><p class='x'>Read our terms.</p><h2>Introduction</h2><p>Story {i} runs on.</p><h2>Conclusion</h2><div>It ends, {i}.</div><h3>More</h3><div class='z'>Call us today.</div></article>") for i in range(8)]
+    assert W.extract_group(fixed) == [f"Introduction Story {i} runs on. Conclusion It ends, {i}." for i in range(8)]
     copies = [page("<article><h1>Same</h1><p>All alike.</p></article>", f"<nav>{i}</nav>") for i in range(30)]
     assert W.extract_group(copies) == ["Same All alike."] * 30
 
 
+def test_names_and_forms_around_the_text_do_not_take_it():
+    text = "<h1>Title</h1><p>Words of the text.</p><p class='social-policy'>On policy.</p><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math>.</p>"
+    want = "Title Words of the text. On policy. Let x=2."
+    for around in ("<body class='has-sidebar'>{}</body>", "<body class=sidebar><div id=comments>{}</div></body>", "<form method=post><div class='nav'>{}</div><input value=go><button>Go</button></form>", "<div class=ad><section class='share related'>{}</section></div>"):
+        for tag in ("article", "main", "div"):
+            source = around.format(f"<{tag}>{text}</{tag}><div class='sidebar-widget'>Side</div>")
+            assert W.extract_group([source]) == [want], source
+
+
+def plain_site(n, seed=5):
+    """Pages of one host without telling elements or names: (html, main text)."""
+    r = random.Random(seed)
+    word = lambda k: " ".join("".join(r.choice("abdegiklmnorstu") for _ in range(r.randint(2, 8))) for _ in range(k))
+    slogans, teasers = [word(6) for _ in range(4)], [word(8) for _ in range(5)]
+    out = []
+    for i in range(n):
+        paras = [word(r.randint(8, 40)) for _ in range(r.randint(1, 6))]
+        links = "".join(f"<li><a href=/{k}>{word(2)}</a>" for k in range(60 if i % 5 == 0 else r.randint(1, 6)))
+        title = word(4)
+        html = (
+            f"<html><head><title>{title}</title></head><body><div class=a1><div>{r.choice(slogans)}</div><ul>{links}</ul></div><div class=b2><h1>{title}</h1>" + "".join(f"<p>{p}" for p in paras)
+            + f"</div><div class=c3><span>{r.choice(teasers)}</span></div><div class=d4>All rights kept by the site. <a href=/t>Terms</a></div></body></html>"
+        )
+        out.append((html, " ".join([title, *paras])))
+    return out
+
+
+def test_site_without_telling_elements(monkeypatch):
+    site = plain_site(48)
+    assert W.extract_group([h for h, _ in site]) == [t for _, t in site]
+    monkeypatch.setattr(W, "SUPPORT", 10**9)  # without the wrapper nothing tells slogans and teasers from text
+    assert all(got != t and t in got for got, (_, t) in zip(W.extract_group([h for h, _ in site]), site, strict=True))
+
+
+def test_article_elements_count_only_where_they_vary():
+    rows = [f"<article><p>Our promise: always the best.</p></article><div><p>News number {i} of the day, at length.</p></div>" for i in range(6)]
+    assert W.extract_group(rows) == [f"News number {i} of the day, at length." for i in range(6)]
+
+
+def test_site_over_tables(spark):
+    site = plain_site(400)
+    rows = [(i if i % 7 else None, f"http://User@Plain.example:80/{i}", h) for i, (h, _) in enumerate(site)] + [(None, None, None)] * 300 + [(5, "http://plain.example/5", site[5][0])] * 300
+    got = W.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = {f"http://User@Plain.example:80/{i}": t for i, (_, t) in enumerate(site)}
+    assert len(got) == 1000 and sum(r.text == "" for r in got) == 300
+    assert all(r.text == want[r.url] for r in got if r.url in want) and all(r.text == site[5][1] for r in got if r.url and r.url.endswith("/5"))
+
+
+MEGA = 1 << 20
+
+
+@pytest.mark.parametrize(
+    "source",
+    ["<b " * (MEGA // 3), "<a x=\"" * (MEGA // 6), "<div>" * (MEGA // 20), "<div>" * (MEGA // 20) + "</x>" * (MEGA // 8), "<i><div>" + "<b>" * (MEGA // 6) + "</i>" * (MEGA // 8), "<" * MEGA, "<!" * MEGA, "<p " + "x='1' " * (MEGA // 6) + ">t", "<tr><td>x" * (MEGA // 20)],
+)
+def test_parser_takes_linear_time(source):
+    began = time.monotonic()
+    W.extract_group([source, source + "<p>end"])
+    assert time.monotonic() - began < 30
+
+
+def test_wide_pages():
+    r = random.Random(3)
+    began = time.monotonic()
+    wide = ["".join(f"<div class=c{i + k}>w{i}</div>" for i in range(10_000)) for k in (0, 7)] + ["".join(f"<div class=c{r.randrange(6)}>v{k}</div>" for k in range(10_000)) for _ in range(2)]
+    got = W.extract_group(wide)
+    assert [len(t.split()) for t in got] == [10_000] * 4 and time.monotonic() - began < 30
+
+
 def brute_match(a, b):
     """Simple tree matching on plain trees (label, kids), by its definition."""
     if a[0] != b[0]:
@@ -121,7 +191,7 @@ def test_simple_tree_matching():
         return (r.choice("abc"), kids)
 
     def node(t):
-        n = W.Node(t[0], t[0], False)
+        n = W.Node(t[0], t[0])
         n.parts = [node(k) for k in t[1]]
         return n
 

@@ -13,10 +13,15 @@ followed at once, to the first offset beyond the split; between splits pointer
 jumping doubles the reach in each round.  Every split then has at most one true
 entry, from which its records are read in order.
 
+A header is parsed line by line up to the first line that is no field, and lines
+that several candidates share are parsed once, so payloads of nothing but magic
+or header lines cost linear time.  No header is longer than the longest that the
+files' writer reports.
+
 Cases: a null html is an empty payload; repeated rows of one page_id are alike,
-all responses or all revisits; a null page_id is written as null and refers to
-nothing; an empty table makes no file and an empty result; further columns are
-ignored.
+all responses or all revisits; a null page_id is written as null and revisits
+the largest page_id of its payload, and where that has none all are responses;
+an empty table makes no file and an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,8 +45,9 @@ FILE_BYTES = 256 << 20
 SPLIT_BYTES = 4 << 20
 #: How much of a file is read for a header at first.
 HEAD_BYTES = 4096
+MANIFEST = "file string, size long, head long"
 
-_FIELD = re.compile(rb"([A-Za-z0-9-]+):[ \t]*([^\r\n]*)")
+_FIELD = re.compile(rb"([A-Za-z0-9-]+):[ \t]*([^\r\n]*)\r\n")
 
 
 def _base32(sha1: bytes) -> str:
@@ -63,29 +69,30 @@ def record(page_id: int | None, url: str, payload: bytes | None, size: int, dige
 def _writer(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = pa.fs.FileSystem.from_uri(path)
-        out, name, size, done = None, "", 0, []
+        out, name, size, longest, done = None, "", 0, 0, []
         for batch in batches:
             for page_id, url, html, n_bytes, sha1, head in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is not None and size >= FILE_BYTES:
                     out.close()
-                    done.append((name, size))
+                    done.append((name, size, longest))
                     out = None
                 if out is None:
-                    name, size = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc", 0
+                    name, size, longest = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc", 0, 0
                     out = store.open_output_stream(f"{root}/{name}")
                 raw = record(page_id, url, None if html is None else html.encode(), n_bytes, _base32(bytes.fromhex(sha1)), head)
                 out.write(raw)
                 size += len(raw)
+                longest = max(longest, raw.index(b"\r\n\r\n") + 4)
         if out is not None:
             out.close()
-            done.append((name, size))
-        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], names=["file", "size"])
+            done.append((name, size, longest))
+        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), *(pa.array([d[k] for d in done], pa.int64()) for k in (1, 2))], names=["file", "size", "head"])
 
     return run
 
 
 def write(pages: DataFrame, path: str, min_bytes: int = 0) -> DataFrame:
-    """Write pages (page_id, url, html) as WARC files under path; gives the files (file, size)."""
+    """Write pages (page_id, url, html) as WARC files under path; gives the files: name, size and longest header."""
     spark = pages.sparkSession
     prepare(spark)
     store, root = pa.fs.FileSystem.from_uri(path)
@@ -95,9 +102,9 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0) -> DataFrame:
     rows = rows.withColumn("n_bytes", F.octet_length("html").cast("long")).withColumn("sha1", F.sha1(F.col("html").cast("binary")))
     heads = rows.where(F.col("n_bytes") >= min_bytes).groupBy("sha1").agg(F.max("page_id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     heads = settle(heads, "heads")  # written: the join may then be split where one payload has many rows
-    joined = rows.join(heads, "sha1", "left").withColumn("head", F.when(F.col("page_id") != F.col("head"), F.col("head")))
+    joined = rows.join(heads, "sha1", "left").withColumn("head", F.when(~F.col("page_id").eqNullSafe(F.col("head")), F.col("head")))
     ready = joined.select("page_id", "url", F.when(F.col("head").isNull(), F.col("html")).alias("html"), "n_bytes", "sha1", "head")
-    return settle(ready.mapInArrow(_writer(path), "file string, size long"), "manifest")
+    return settle(ready.mapInArrow(_writer(path), MANIFEST), "manifest")
 
 
 class _File:
@@ -111,22 +118,48 @@ class _File:
     def read(self, at: int, n: int) -> bytes:
         return self.file.read_at(max(0, min(n, self.size - at)), at)
 
-    def header(self, at: int, have: bytes = b"") -> tuple[dict[bytes, bytes], int] | None:
-        """(fields, offset of the block) of the record at `at`; None if there is no header."""
+    def header(self, at: int) -> tuple[dict[bytes, bytes], int]:
+        """(fields, offset of the block) of the record at `at`, where there is one."""
         n = HEAD_BYTES
-        while (end := have.find(b"\r\n\r\n")) < 0:
-            if len(have) >= self.size - at or not have.startswith(MAGIC[: len(have)]):
-                return None
-            have, n = self.read(at, n), n * 4
-        if not have.startswith(MAGIC):
-            return None
-        fields = {}
-        for line in have[len(MAGIC) : end].split(b"\r\n"):
-            m = _FIELD.fullmatch(line)
-            if not m:
-                return None
-            fields[m[1].lower()] = m[2]
-        return (fields, at + end + 4) if fields.get(b"content-length", b"").isdigit() else None
+        have = self.read(at, n)
+        while (end := have.find(b"\r\n\r\n")) < 0 and len(have) < self.size - at:
+            n *= 4
+            have = self.read(at, n)
+        if end < 0 or not have.startswith(MAGIC):
+            raise ValueError(f"no record at {at}")
+        return {m[1].lower(): m[2] for m in _FIELD.finditer(have, len(MAGIC), end + 2)}, at + end + 4
+
+
+def successors(data: bytes, upto: int, head: int) -> dict[int, int]:
+    """For every header of up to `head` bytes that begins before `upto`, the place behind its record.
+
+    `known` holds, for every line start that was looked at, the place behind the
+    header's blank line and its last Content-Length, or None where a line is no field.
+    """
+    known: dict[int, tuple[int, int] | None] = {}
+    after: dict[int, int] = {}
+    p = data.find(MAGIC, 0, upto + len(MAGIC) - 1)
+    while p >= 0:
+        line, seen = p + len(MAGIC), []
+        while line not in known:
+            if data.startswith(b"\r\n", line):
+                known[line] = (line + 2, -1)
+                break
+            m = _FIELD.match(data, line)
+            if m is None:
+                known[line] = None
+                break
+            seen.append((line, m))
+            line = m.end()
+        found = known[line]
+        for start, m in reversed(seen):
+            if found and found[1] < 0 and m[1].lower() == b"content-length" and m[2].isdigit():
+                found = (found[0], int(m[2]))
+            known[start] = found
+        if found and found[1] >= 0 and found[0] - p <= head:
+            after[p] = found[0] + found[1] + 4
+        p = data.find(MAGIC, p + 1, upto + len(MAGIC) - 1)
+    return after
 
 
 def _candidates(path: str):
@@ -134,15 +167,8 @@ def _candidates(path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("file", "lo", "hi")), strict=True):
-                f = _File(path, name)
-                data = f.read(lo, hi - lo + len(MAGIC) - 1)
-                after, p = {}, data.find(MAGIC)
-                while p >= 0:
-                    found = f.header(lo + p, data[p : p + HEAD_BYTES])
-                    if found:
-                        after[lo + p] = found[1] + int(found[0][b"content-length"]) + 4
-                    p = data.find(MAGIC, p + 1)
+            for name, lo, hi, head in zip(*(batch.column(c).to_pylist() for c in ("file", "lo", "hi", "head")), strict=True):
+                after = {lo + c: lo + j for c, j in successors(_File(path, name).read(lo, hi - lo + head), hi - lo, head).items()}
                 leads: dict[int, int] = {}
                 for c in sorted(after, reverse=True):
                     nxt = after[c] if after[c] >= hi else leads.get(after[c])
@@ -161,10 +187,7 @@ def _records(path: str):
             for name, hi, at in zip(*(batch.column(c).to_pylist() for c in ("file", "hi", "entry")), strict=True):
                 f, rows = _File(path, name), []
                 while at < hi:
-                    found = f.header(at)
-                    if found is None:
-                        raise ValueError(f"{name}: no record at {at}")
-                    fields, start = found
+                    fields, start = f.header(at)
                     block = f.read(start, int(fields[b"content-length"]))
                     http, _, payload = block.partition(b"\r\n\r\n")
                     size = int(re.search(rb"Content-Length: (\d+)", http)[1])
@@ -183,8 +206,8 @@ def _records(path: str):
 
 
 def read(spark, path: str, files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """The records of files (file, size) under path: page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to."""
-    splits = files.where("size > 0").select("file", "size", F.explode(F.sequence(F.lit(0), F.expr(f"(size - 1) div {split_bytes}"))).alias("split"))
+    """The records of files (file, size, head) under path: page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to."""
+    splits = files.where("size > 0").select("file", "size", "head", F.explode(F.sequence(F.lit(0), F.expr(f"(size - 1) div {split_bytes}"))).alias("split"))
     splits = splits.withColumn("lo", F.col("split") * split_bytes).withColumn("hi", F.least("size", F.col("lo") + split_bytes))
     most, n = splits.agg(F.max("split"), F.count("*")).first()
     spread = splits.repartition(max(1, min(n, 10_000)), "file", "split")

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import re
 import time
 
 import pyarrow as pa
@@ -17,7 +18,7 @@ EVIL = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\
 def pages():
     r = random.Random(4)
     rows = [(i, f"http://h{i % 3}.example/{i}", r.choice(("same", "twin é", EVIL * 3, "".join(r.choice("ab \r\nWARC/1.") for _ in range(r.randint(0, 3000))), EVIL + str(i)))) for i in range(200)]
-    return [*rows, (500, None, None), (501, "bad\r\nurl", ""), (502, "x", "y" * 200_000), (500, None, None), (None, "n", "null id"), (None, "n", "same")]
+    return [*rows, (500, None, None), (501, "bad\r\nurl", ""), (502, "x", "y" * 200_000), (500, None, None), (None, "n", "null id"), (None, "n", "null id"), (None, "n", "same"), (503, "u" * 9000, "long address")]
 
 
 def brute(rows, least):
@@ -32,7 +33,7 @@ def brute(rows, least):
     out = []
     for i, _, h in rows:
         h = (h or "").encode()
-        to = top.get(h) if i is not None and top.get(h) != i else None
+        to = top.get(h) if top.get(h) != i else None
         out.append((i, len(h), digest(h), "response" if to is None else "revisit", to))
     return sorted(out, key=str)
 
@@ -49,13 +50,48 @@ def test_round_trip(spark, monkeypatch, least, split, size):
     assert all(r.payload is None if r.record_type == "revisit" else len(r.payload) == r.payload_bytes for r in rows)
 
 
+def naive_successors(data, upto, head):
+    """Headers found by trying every place."""
+    out = {}
+    for p in range(upto):
+        if data.startswith(A.MAGIC, p) and (end := data.find(b"\r\n\r\n", p)) >= 0 and end + 4 - p <= head:
+            lines = data[p + len(A.MAGIC) : end].split(b"\r\n")
+            fields = dict(line.split(b":", 1) for line in lines if b":" in line)
+            if all(re.fullmatch(rb"[A-Za-z0-9-]+:[^\r\n]*", x) for x in lines) and fields.get(b"Content-Length", b"").strip().isdigit():
+                out[p] = end + 8 + int(fields[b"Content-Length"])
+    return out
+
+
+def test_successors_against_every_place():
+    r = random.Random(6)
+    for _ in range(300):
+        data = b"".join(r.choice((b"WARC/1.1\r\n", b"WARC/1.1\r\n", b"A: b\r\n", b"X: WARC/1.1\r\n", b"Content-Length: 7\r\n", b"Content-Length: 12\r\n", b"\r\n", b"junk", b"\r\n\r\n")) for _ in range(r.randint(0, 60)))
+        upto, head = r.randint(0, len(data)), r.choice((30, 60, 10_000))
+        data = data[: upto + head]
+        assert A.successors(data, upto, head) == naive_successors(data, upto, head)
+
+
+@pytest.mark.parametrize("line", [b"WARC/1.1\r\n", b"X: WARC/1.1\r\n", b"WARC/1.1\r\nContent-Length: 3\r\n", b"WARC/1.1\r\nA: b\r\nC: d\r\n", EVIL.encode()])
+def test_headers_cost_linear_time(line):
+    data = line * ((4 << 20) // len(line))
+    began = time.monotonic()
+    A.successors(data, len(data), len(data))
+    assert time.monotonic() - began < 20
+
+
+def test_payloads_of_magic(spark):
+    rows = [(i, "u", line * ((1 << 20) // len(line))) for i, line in enumerate(("WARC/1.1\r\n", "X: WARC/1.1\r\n", EVIL))]
+    got = {(r.page_id, r.payload_bytes, r.record_type) for r in A.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {(i, len(h), "response") for i, _, h in rows}
+
+
 def test_empty_and_damaged(spark):
     frame = spark.createDataFrame(pages()[:20], "page_id long, url string, html string")
     assert A.round_trip(frame.limit(0)).count() == 0
     path = new_path(spark, "warc")
     files = A.write(frame.coalesce(1), path)
     store, root = pa.fs.FileSystem.from_uri(path)
-    for name, _ in files.collect():
+    for name, *_ in files.collect():
         with store.open_input_file(f"{root}/{name}") as f:
             raw = f.read()
         with store.open_output_stream(f"{root}/{name}") as f:

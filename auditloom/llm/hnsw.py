@@ -1,28 +1,32 @@
 """Approximate nearest neighbours by inner product: one hierarchical small-world graph per shard.
 
-Rows are dealt to shards by a hash of their id.  Each shard's graph is built by
-one task and kept as flat arrays in a table: nodes in the order of their levels,
-so that every layer is a prefix, and per layer one block of neighbour numbers.
-For inner products, vectors get one more component that gives all of them the
-same length; the nearest by angle is then the largest inner product.
+Rows are dealt to shards by a hash of id and vector.  Each shard's graph is built
+by one task over its distinct vectors and kept as flat arrays in a table: nodes in
+the order of their levels, so that every layer is a prefix, per layer one block of
+neighbour numbers, and per node the rows that have its vector.  For inner products,
+vectors get one more component that gives all of them the same length; the nearest
+by angle is then the largest inner product.
 
 Nodes join in batches.  A batch searches the graph that stands, its members are
 also held against each other, and links are chosen by the usual rule: a
 candidate is linked unless it is nearer to one already linked.  All searches of
 a batch advance together, several nodes at a time, as array operations.
 
-Queries go to every shard in blocks of at most about QUERY_BLOCK; the candidates
-that a shard returns are scored in double precision on the original vectors, and
-the best of all shards are ranked, ties to the smaller id.
+The query vectors are written as a table once.  A task that holds a shard reads
+them from there in batches, so neither graphs nor queries are shuffled; it gives
+the k best candidates of its shard by their inner products, summed in double
+precision in the order of the components.  The best of all shards are ranked, ties
+to the smaller id.
 
-Every row is indexed.  MIN_SHARDS and SHARD_ROWS set the number of shards; a
-shard of SHARD_ROWS rows fits one task.
+Every row is indexed.  A shard has at most about SHARD_ROWS rows and SHARD_BYTES
+of vectors, so it fits one task and one row of the table.
 
 Cases: a vector that is null or zero, or has a null or non-finite component, and
 a row without id take no part; vectors of different lengths are searched apart;
-of rows that share an id one counts, that with the least vector; a query with
-fewer than k candidates gets all of them; an empty table gives an empty result;
-further columns are ignored.
+rows that share an id are candidates each, equal ones as often as they occur; of
+queries that share an id one counts, that with the least vector, and the row with
+its id and vector is its own; a query with fewer than k candidates gets all of
+them; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,14 +35,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import prepare, settle
+from .common import checked, new_path, prepare, settle
 
-MIN_SHARDS, SHARD_ROWS, QUERY_BLOCK = 16, 100_000, 4096
-LINKS, BUILD_WIDTH, SEARCH_WIDTH, BEAM = 16, 96, 160, 8
+MIN_SHARDS, SHARD_ROWS, SHARD_BYTES = 16, 50_000, 128 << 20
+LINKS, BUILD_WIDTH, SEARCH_WIDTH, BEAM = 16, 96, 256, 8
+#: Query components in one batch of a search.
+BATCH = 1 << 20
+INDEX = "dim int, shard int, ids binary, copies binary, first binary, vectors binary, layers array<binary>, sizes array<int>"
 
 _U = np.uint64
 
@@ -121,16 +129,20 @@ def _choose(vectors: np.ndarray, own: np.ndarray, cands: np.ndarray, sims: np.nd
     return out
 
 
+def points_of(vectors: np.ndarray) -> np.ndarray:
+    """The vectors with one more component, all of length 1."""
+    length = np.linalg.norm(vectors, axis=1)
+    rest = np.sqrt(np.maximum(length.max() ** 2 - length**2, 0))
+    return (np.concatenate([vectors, rest[:, None]], axis=1) / max(float(length.max()), 1e-300)).astype(np.float32)
+
+
 def build(vectors: np.ndarray, ids: np.ndarray) -> tuple[Graph, np.ndarray]:
     """(graph, order): the graph over vectors[order]; levels come from hashes of the ids."""
     n = len(vectors)
     level = np.floor(-np.log(K.unit(K.mix64(ids.view(_U) + _U(9)))) / np.log(LINKS)).astype(int)
     order = np.lexsort((K.mix64(ids.view(_U) + _U(99)), -level))
     level = level[order]
-    length = np.linalg.norm(vectors, axis=1)
-    rest = np.sqrt(np.maximum(length.max() ** 2 - length**2, 0))
-    points = np.concatenate([vectors, rest[:, None]], axis=1)[order].astype(np.float32)
-    points /= max(float(length.max()), 1e-30)
+    points = points_of(vectors)[order]
     sizes = [int((level >= k).sum()) for k in range(int(level[0]) + 1)]
     widths = [2 * LINKS, *[LINKS] * (len(sizes) - 1)]
     graph = Graph(points, [np.full((s, w), -1, dtype=np.int32) for s, w in zip(sizes, widths, strict=True)], sizes)
@@ -194,23 +206,36 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim)
 
 
+def _packed(vectors: np.ndarray) -> bytes:
+    """Vectors in four bytes a component where those hold them exactly, else in eight."""
+    short = vectors.astype(np.float32)
+    return (short if (short.astype(np.float64) == vectors).all() else vectors).tobytes()
+
+
+def _unpacked(raw: bytes, n: int, dim: int) -> np.ndarray:
+    return np.frombuffer(raw, dtype=np.float32 if len(raw) == 4 * n * dim else np.float64).reshape(n, dim).astype(np.float64)
+
+
 def _builder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (dim, shard, vec_id, v) to one row per shard with its flat arrays."""
+    """Sorted rows (dim, shard, vec_id, v, copies) to one row per shard with its flat arrays."""
     held: list[pa.RecordBatch] = []
     key = None
 
     def done() -> pa.RecordBatch:
         dim, shard = key
-        ids = np.concatenate([b.column("vec_id").to_numpy() for b in held])
+        ids, copies = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("vec_id", "copies"))
         vectors = np.concatenate([_matrix(b.column("v"), dim) for b in held])
-        by = np.lexsort((*vectors.T[::-1], ids))
-        by = by[np.concatenate([[True], ids[by][1:] != ids[by][:-1]])]
-        ids, vectors = ids[by], vectors[by]
-        graph, order = build(vectors, ids)
-        raw = [ids[order].tobytes(), vectors[order].tobytes(), graph.vectors.tobytes()]
+        by = np.lexsort((ids, *vectors.T[::-1]))
+        ids, copies, vectors = ids[by], copies[by], vectors[by]
+        start = np.flatnonzero(np.concatenate([[True], (vectors[1:] != vectors[:-1]).any(axis=1)]))
+        graph, order = build(vectors[start], ids[start])
+        length = np.diff(np.append(start, len(ids)))[order]
+        first = np.concatenate([[0], np.cumsum(length)])
+        rows = np.repeat(start[order] - first[:-1], length) + np.arange(len(ids))
+        raw = [ids[rows].tobytes(), copies[rows].tobytes(), first.tobytes(), _packed(vectors[start][order])]
         return pa.RecordBatch.from_arrays(
             [pa.array([dim], pa.int32()), pa.array([shard], pa.int32()), *(pa.array([r], pa.binary()) for r in raw), pa.array([[x.tobytes() for x in graph.layers]], pa.list_(pa.binary())), pa.array([graph.sizes], pa.list_(pa.int32()))],
-            names=["dim", "shard", "ids", "vectors", "points", "layers", "sizes"])
+            names=["dim", "shard", "ids", "copies", "first", "vectors", "layers", "sizes"])
 
     for batch in batches:
         dims, shards = batch.column("dim").to_numpy(), batch.column("shard").to_numpy()
@@ -237,54 +262,75 @@ def valid(rows: DataFrame) -> DataFrame:
 
 
 def build_index(rows: DataFrame) -> DataFrame:
-    """One row per shard: ids, vectors (double), points (float, one component more), neighbour blocks and layer sizes."""
+    """One row per shard: ids and copies of its rows, the first row of each node, node vectors, neighbour blocks and layer sizes."""
     prepare(rows.sparkSession)
     rows = valid(rows)
-    shards = max(MIN_SHARDS, -(-rows.count() // SHARD_ROWS))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).repartition("dim", "shard").sortWithinPartitions("dim", "shard")
-    schema = "dim int, shard int, ids binary, vectors binary, points binary, layers array<binary>, sizes array<int>"
-    return settle(dealt.select("dim", "shard", "vec_id", "v").mapInArrow(_builder, schema), "graphs")
-
-
-def _searcher(k: int, width: int):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if left.num_rows and right.num_rows:
-            dim = left.column("dim")[0].as_py()
-            ids = np.frombuffer(left.column("ids")[0].as_py(), dtype=np.int64)
-            vectors = np.frombuffer(left.column("vectors")[0].as_py()).reshape(-1, dim)
-            points = np.frombuffer(left.column("points")[0].as_py(), dtype=np.float32).reshape(-1, dim + 1)
-            sizes = left.column("sizes")[0].as_py()
-            graph = Graph(points, [np.frombuffer(x, dtype=np.int32).reshape(s, -1) for x, s in zip(left.column("layers")[0].as_py(), sizes, strict=True)], sizes)
-            asked = right.column("vec_id").to_numpy()
-            queries = _matrix(right.column("v").combine_chunks(), dim)
-            by = np.lexsort((*queries.T[::-1], asked))
-            by = by[np.concatenate([[True], asked[by][1:] != asked[by][:-1]])]
-            asked, queries = asked[by], queries[by]
-            found = graph.search(np.concatenate([queries, np.zeros((len(queries), 1))], axis=1).astype(np.float32), max(width, k + 1))
-            for q in range(len(asked)):
-                near = found[q][found[q] >= 0]
-                near = near[ids[near] != asked[q]]
-                score = vectors[near] @ queries[q]
-                best = np.lexsort((ids[near], -score))[:k]
-                out["query_id"].append(np.full(len(best), asked[q]))
-                out["vec_id"].append(ids[near][best])
-                out["score"].append(score[best])
-        empty = {"query_id": np.int64, "vec_id": np.int64, "score": np.float64}
-        return pa.table({c: np.concatenate([np.zeros(0, dtype=empty[c]), *v]) for c, v in out.items()})
+    room = F.least(F.lit(SHARD_ROWS), F.greatest(F.lit(1), F.floor(F.lit(SHARD_BYTES) / (8 * F.col("dim")))))
+    shards = settle(rows.groupBy("dim").agg(F.count("*").alias("n")).select("dim", F.greatest(F.lit(MIN_SHARDS), F.ceil(F.col("n") / room)).cast("int").alias("shards")), "shards")
+    total = shards.agg(F.sum("shards")).first()[0] or 1
+    distinct = rows.groupBy("dim", "vec_id", "v").agg(F.count("*").alias("copies")).join(checked(shards), "dim")
+    dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), "shards").cast("int")).repartition(min(total, 100_000), "dim", "shard").sortWithinPartitions("dim", "shard")
+    return settle(dealt.select("dim", "shard", "vec_id", "v", "copies").mapInArrow(_builder, INDEX), "graphs")
+
+
+class Shard:
+    """One row of the index, ready for searches."""
+
+    def __init__(self, row: dict) -> None:
+        self.ids, self.copies, self.first = (np.frombuffer(row[c], dtype=np.int64) for c in ("ids", "copies", "first"))
+        self.dim, n = row["dim"], len(self.first) - 1
+        self.vectors = _unpacked(row["vectors"], n, self.dim)
+        self.graph = Graph(points_of(self.vectors), [np.frombuffer(x, dtype=np.int32).reshape(s, -1) for x, s in zip(row["layers"], row["sizes"], strict=True)], row["sizes"])
+
+    def nearest(self, asked: np.ndarray, queries: np.ndarray, k: int, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Per query, ids and scores of the k best rows that the graph leads to, best first."""
+        points = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1)
+        points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-300)
+        found = self.graph.search(points.astype(np.float32), max(width, k + 1))
+        for q, nodes in enumerate(found):
+            nodes = nodes[nodes >= 0]
+            score = np.cumsum(self.vectors[nodes] * queries[q], axis=1)[:, -1]  # in the order of the components
+            best = np.argsort(-score, kind="stable")[: k + 1]
+            edge = score[best[-1]] if len(best) else 0.0
+            best = np.flatnonzero(score >= edge)
+            many = np.minimum(np.diff(self.first)[nodes[best]], k + 1)  # of rows with one vector the k + 1 least ids do
+            rows = np.repeat(self.first[nodes[best]] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+            ids, copies, scores = self.ids[rows], self.copies[rows].copy(), np.repeat(score[best], many)
+            own = np.flatnonzero(ids == asked[q])
+            own = own[[np.array_equal(self.vectors[np.searchsorted(self.first, rows[o], side="right") - 1], queries[q]) for o in own]] if len(own) else own
+            copies[own] -= 1
+            copies = np.minimum(copies, k)
+            order = np.lexsort((ids, -scores))
+            order = np.repeat(order, copies[order])[:k]
+            yield ids[order], scores[order]
+
+
+def _searcher(path: str, k: int, width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.dataset
+
+        store, root = pa.fs.FileSystem.from_uri(path)
+        for batch in batches:
+            for at in range(batch.num_rows):
+                shard = Shard({c: batch.column(c)[at].as_py() for c in batch.schema.names})
+                wanted = pa.dataset.field("dim") == shard.dim
+                for part in pa.dataset.dataset(root, filesystem=store, format="parquet").to_batches(columns=["vec_id", "v"], filter=wanted, batch_size=max(1, BATCH // shard.dim)):
+                    if not part.num_rows:
+                        continue
+                    asked = part.column("vec_id").to_numpy()
+                    near = list(shard.nearest(asked, _matrix(part.column("v"), shard.dim), k, width))
+                    ids = np.repeat(asked, [len(i) for i, _ in near])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([i for i, _ in near])), pa.array(np.concatenate([s for _, s in near]))], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def search(index: DataFrame, rows: DataFrame, queries: DataFrame, k: int = 20, width: int = SEARCH_WIDTH) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 20, width: int = SEARCH_WIDTH) -> DataFrame:
     """The k nearest rows found for each query: query_id, rank, vec_id, score."""
-    prepare(rows.sparkSession)
-    queries = valid(queries)
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    shards = index.agg(F.coalesce(F.max("shard"), F.lit(0))).first()[0]
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards))))
-    graphs = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    key = ("dim", "shard", "block")
-    found = graphs.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(_searcher(k, width), "query_id long, vec_id long, score double")
+    spark = queries.sparkSession
+    prepare(spark)
+    path = new_path(spark, "queries")
+    valid(queries).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")).write.parquet(path)
+    found = index.mapInArrow(_searcher(path, k, width), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

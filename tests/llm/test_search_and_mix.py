@@ -17,50 +17,84 @@ def vectors(n, dim, seed):
     return (centers[rng.integers(0, 20, n)] + 0.6 * rng.normal(size=(n, dim))) * rng.uniform(0.5, 2, (n, 1))
 
 
+def inner(a, b):
+    """The inner product, summed in the order of the components."""
+    total = 0.0
+    for x, y in zip(a, b, strict=True):
+        total += x * y
+    return total
+
+
 def brute(rows, queries, k):
-    known = {}
-    for i, v in sorted(((i, v) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)), reverse=True, key=lambda r: (r[0], r[1])):
-        known[i] = v
+    rows = [(i, v) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    own = {}
+    for i, v in queries:
+        if (i, v) in rows:
+            own[i] = min(own.get(i, v), v)
     out = {}
-    for q in {i for i, _ in queries if i in known}:
-        near = sorted(((-float(np.dot(known[i], known[q])), i) for i in known if i != q and len(known[i]) == len(known[q])))[:k]
-        out[q] = [(i, -s) for s, i in near]
+    for q, asked in own.items():
+        near = sorted((-inner(v, asked), i) for i, v in rows if len(v) == len(asked))
+        near.remove((-inner(asked, asked), q))
+        out[q] = [(i, -s) for s, i in near[:k]]
     return out
 
 
-@pytest.mark.parametrize("block", [4096, 20])
-def test_recall_and_order(spark, monkeypatch, block):
-    monkeypatch.setattr(H, "QUERY_BLOCK", block)
-    rows = [(i, v.tolist()) for i, v in enumerate(vectors(3000, 24, 1))]
-    rows += [(4000 + i, rows[20][1]) for i in range(40)]  # equal vectors
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    asked = frame.where("vec_id % 20 = 0")
+def found_by(frame, asked, k=20):
     found = defaultdict(list)
-    for r in H.search(H.build_index(frame), frame, asked, 20).orderBy("query_id", "rank").collect():
+    for r in H.search(H.build_index(frame), asked, k).orderBy("query_id", "rank").collect():
         assert r.rank == len(found[r.query_id]) + 1
         found[r.query_id].append((r.vec_id, r.score))
+    return dict(found)
+
+
+def test_recall_and_order(spark):
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors(6000, 24, 1))]
+    rows += [(7000 + i, rows[20][1]) for i in range(40)]  # equal vectors
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = found_by(frame, frame.where("vec_id % 20 = 0"))
     want = brute(rows, [r for r in rows if r[0] % 20 == 0], 20)
     assert set(found) == set(want)
     known = dict(rows)
     hits = 0
     for q, near in found.items():
         assert len(near) == 20 and len({i for i, _ in near}) == 20
-        assert near == sorted(near, key=lambda x: (-x[1], x[0]))
-        assert all(math.isclose(s, float(np.dot(known[i], known[q])), rel_tol=1e-12) for i, s in near)
-        hits += sum(s >= want[q][-1][1] - 1e-12 for _, s in near)
+        assert near == sorted(near, key=lambda x: (-x[1], x[0])) and all(s == inner(known[i], known[q]) for i, s in near)
+        hits += sum(s >= want[q][-1][1] for _, s in near)
     assert hits / (20 * len(want)) > 0.95
+    assert found[20] == want[20] and found[7000] == want[7000]  # ties in order of the ids
+
+
+@pytest.mark.parametrize(("dim", "count"), [(64, 19), (64, 4000), (257, 300)])
+def test_ties_are_exact(spark, dim, count):
+    """Equal vectors have equal scores, in shards of any size, so their ranks are those of their ids."""
+    r = np.random.default_rng(dim + count)
+    one, two = r.normal(size=dim).tolist(), r.normal(size=dim).astype(np.float32).astype(float).tolist()
+    rows = [(i * 7 % 100_003, one if i % 3 else two) for i in range(count)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = [x for x in rows if x[0] % 20 == 0][:40]
+    assert found_by(frame, spark.createDataFrame(asked, frame.schema)) == brute(rows, asked, 20)
 
 
 def test_odd_vectors(spark):
     inf, nan = float("inf"), float("nan")
     rows = [(0, [1.0, 0.0]), (20, [0.5, 0.5]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, []), (None, [1.0, 1.0]), (40, [1.0, 2.0, 3.0]), (9, [2.0, 2.0, 2.0]), (20, [0.5, 0.5]), (60, None), (11, [-1.0, 4.0]), (11, [9.0, 9.0])]
+    rows += [(80, [3.0, 3.0]), (80, [2.0, 8.0])] + [(90, [1.0, 1.5])] * 30
     frame = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, rank int")
-    got = defaultdict(list)
-    for r in H.search(H.build_index(frame), frame, frame.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.vec_id, r.score))
-    assert dict(got) == brute(rows, [r for r in rows if r[0] is not None and r[0] % 20 == 0], 20)
+    for k in (1, 3, 20, 60):
+        assert found_by(frame, frame.where("vec_id % 20 = 0"), k) == brute(rows, [r for r in rows if r[0] is not None and r[0] % 20 == 0], k)
     none = frame.limit(0)
-    assert H.search(H.build_index(none), none, none).count() == 0
+    assert found_by(none, none) == {} and found_by(frame, none) == {} and found_by(none, frame) == {}
+
+
+def test_shards_by_rows_and_bytes(spark, monkeypatch):
+    monkeypatch.setattr(H, "MIN_SHARDS", 1)
+    monkeypatch.setattr(H, "SHARD_ROWS", 200)
+    monkeypatch.setattr(H, "SHARD_BYTES", 8 * 300 * 50)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors(600, 8, 2))] + [(1000 + i, v.tolist()) for i, v in enumerate(vectors(300, 300, 3))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index = H.build_index(frame)
+    assert {(r.dim, r["count"]) for r in index.groupBy("dim").count().collect()} == {(8, 3), (300, 6)}
+    assert found_by(frame, frame.where("vec_id % 20 = 0")) == brute(rows, [r for r in rows if r[0] % 20 == 0], 20)
 
 
 def brute_targets(sizes):

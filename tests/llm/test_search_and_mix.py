@@ -124,7 +124,8 @@ def corpus(n, seed):
     for i in range(n):
         s = names[0] if r.random() < 0.5 else r.choice(names[:-1])
         rows.append((i, " ".join("w" * r.randint(1, 3) for _ in range(r.choice((0, 1, 5, 40, 200)))), s))
-    rows += [(5000, "one", "tiny"), (5001, None, "tiny"), (1, rows[1][1], rows[1][2]), (1, rows[1][1], rows[1][2]), (None, "no id", "a")]
+    rows += [(5000, "one", "tiny"), (5001, None, "tiny"), (1, rows[1][1], rows[1][2]), (1, rows[1][1], rows[1][2]), (None, "no id", "a"), (1, "other text here", rows[1][2])]
+    rows += [(None, "same words " * 9, "b")] * 120 + [(None, f"different words {i} " * 3, "b") for i in range(60)]
     return rows
 
 
@@ -170,6 +171,22 @@ def test_schedule_is_evenly_spread(spark):
             assert abs(sum(x < upto for x in slots) - upto * r.target / total) < 5
 
 
+def test_many_sources(spark):
+    r = random.Random(9)
+    rows = [(i, "w " * r.randint(1, 30), f"s{r.randrange(700):x}" if i % 3 else "hot") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = M.taken(docs).collect()
+    sizes, mass = defaultdict(int), defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += len(words_of(t))
+    want = brute_targets(sizes)
+    assert len(got) == len(rows) and len(want) > 600
+    for x in got:
+        assert math.isclose(x.target, want[x.source], rel_tol=1e-9) and x.source_size == sizes[x.source] and 0 <= x.taken <= 3 * x.size
+        mass[x.source] += x.taken
+    assert all(abs(mass[s] - t) <= 6 for s, t in want.items())
+
+
 def test_small(spark):
     schema = "doc_id long, text string, source string"
     for rows, want in (([], []), ([(1, None, None)], [(1, 0, 0, 0.0, 0)]), ([(1, "a b c", None)], [(1, 3, 3, 3.0, 3)])):

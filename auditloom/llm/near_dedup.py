@@ -15,10 +15,13 @@ standard deviations under the threshold; all others are decided on full sets.
 
 Two passes keep pairs from being written out.  The first joins bucket mates
 with enough equal registers into groups, giving only links of a spanning forest.
-The second searches each group breadth first, holding every member it reaches
-against those not yet reached, by size, then estimate, then full sets; again it
-gives only spanning links.  Large buckets and groups are split into blocks, and
-each pair of blocks is one unit of work, so no group has to fit one task.
+The second holds members against each other by size, then estimate, then full
+sets, and searches breadth first, so that again it gives only spanning links.  A
+group of up to GROUP_BYTES of text is one unit of work.  In a larger one all are
+first held against the group's least member; those that link to it are in one
+component already, and only the others are then held against each other and
+against the rest, in blocks of GROUP_BYTES, each pair of blocks being one unit.
+Large buckets are split into blocks likewise, so nothing has to fit one task.
 
 Cases: null and blank texts have empty sets and stay alone; a text with fewer
 than w words is one shingle, its whole sequence; rows that share an id are one
@@ -32,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
@@ -44,8 +47,10 @@ BASE = 1.001
 RATE = 20.0
 LIMIT = 65535
 MARGIN = 5.0
-#: Rows of a bucket or group in one block; groups of up to SMALL rows are held against each other all at once.
-BUCKET_BLOCK, GROUP_BLOCK, SMALL = 512, 128, 8
+#: Rows of a bucket in one block, bytes of text of a group in one block; buckets of up to SMALL rows are held against each other all at once.
+BUCKET_BLOCK, GROUP_BYTES, SMALL = 8192, 8 << 20, 8
+#: So many bytes of the groups' least members may be broadcast.
+ROOT_BYTES = 64 << 20
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
@@ -115,7 +120,7 @@ def _sketcher(width: int):
                     total = np.zeros(len(sizes), dtype=_U)
                     np.add.at(total, doc, K.mix64(shingles ^ _U(salt)))
                     marks.append(pa.array(K.mix64(total + sizes.astype(_U)).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(sizes), *marks, _binary(registers(bounds, shingles))], names=["doc_id", "n_shingles", "f1", "f2", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("mark"), pa.array(sizes), *marks, _binary(registers(bounds, shingles))], names=["doc_id", "mark", "n_shingles", "f1", "f2", "sketch"])
 
     return run
 
@@ -290,10 +295,7 @@ def _verifier(width: int, percent: int):
                     ask_of = estimated_over(floor, sk[i : i + 1], sk[y], np.full(len(y), float(sz[i])), sz[y].astype(float))
                     own = grams[at[i] : at[i + 1]]
                     for k in np.flatnonzero(ask_of).tolist():
-                        other = grams[at[y[k]] : at[y[k] + 1]]
-                        place = np.searchsorted(own, other)
-                        both = int((own[np.minimum(place, len(own) - 1)] == other).sum())
-                        ask_of[k] = 100 * both >= percent * (len(own) + len(other) - both)
+                        ask_of[k] = _similar(own, grams[at[y[k]] : at[y[k] + 1]], percent)
                     good[ask] = ask_of
                     return good
 
@@ -305,20 +307,86 @@ def _verifier(width: int, percent: int):
     return run
 
 
-def _dealt(rows: DataFrame, key: str, count: str, size: int) -> DataFrame:
-    """Split each group of `count` rows into blocks of about `size`; a row goes to every pair of blocks that has its own."""
-    n = F.ceil(F.col(count) / size).cast("int")
+def _against_root(width: int, percent: int):
+    """Rows of large groups beside their group's least member: adds whether they link to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in K.slices(batch, "text"):
+                at, grams = shingle_sets(part.column("text"), width)
+                sizes = np.diff(at)
+                hit, roots = np.zeros(part.num_rows, dtype=bool), {}
+                for i, grp in enumerate(part.column("grp").to_pylist()):
+                    if grp not in roots:
+                        roots[grp] = shingle_sets(pa.array([part.column("root")[i].as_py()], pa.string()), width)[1]
+                    own = roots[grp]
+                    if 100 * min(sizes[i], len(own)) >= percent * max(sizes[i], len(own)):
+                        hit[i] = _similar(own, grams[at[i] : at[i + 1]], percent)
+                columns = [part.column(c) for c in ("grp", "rep", "n_shingles", "sketch", "text")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(hit)], names=["grp", "rep", "n_shingles", "sketch", "text", "hit"])
+
+    return run
+
+
+def _similar(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    place = np.searchsorted(one, two)
+    both = int((one[np.minimum(place, len(one) - 1)] == two).sum())
+    return 100 * both >= percent * (len(one) + len(two) - both)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Bucket rows (key, n, rep, ...) to blocks; a row goes to every pair of blocks that has its own."""
+    n = F.ceil(F.col("n") / BUCKET_BLOCK).cast("int")
     rows = rows.withColumn("block", F.when(n > 1, F.pmod(F.xxhash64("rep", F.lit(7)), n)).otherwise(0).cast("int"))
-    rows = rows.withColumn("_j", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("bi", F.least("block", "_j")).withColumn("bj", F.greatest("block", "_j")).drop("_j", count)
-    return rows.repartition(key, "bi", "bj").sortWithinPartitions(key, "bi", "bj")
+    rows = rows.withColumn("_j", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("bi", F.least("block", "_j")).withColumn("bj", F.greatest("block", "_j")).drop("_j", "n")
+    return rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+
+
+def _verified(whole: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that span the graph of group mates; whole has (grp, rep, n_shingles, sketch, text)."""
+    columns = ["grp", "rep", "n_shingles", "sketch", "text"]
+    bytes_ = F.coalesce(F.octet_length("text").cast("long"), F.lit(0)) + 64
+    sums = settle(whole.groupBy("grp").agg(F.sum(bytes_).alias("bytes")), "bytes")
+    large = sums.where(F.col("bytes") > GROUP_BYTES).select("grp")
+    search = lambda rows: rows.repartition("grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj").mapInArrow(_verifier(width, percent), "a long, b long")
+    zero = F.lit(0)
+    if large.isEmpty():
+        return search(whole.select("*", zero.alias("bi"), zero.alias("bj"), zero.alias("block")))
+    large = checked(settle(large, "large"))
+    links = search(whole.join(large, "grp", "left_anti").select("*", zero.alias("bi"), zero.alias("bj"), zero.alias("block")))
+    inside = whole.join(large, "grp", "left_semi")
+    roots = settle(inside.where("rep = grp").select("grp", F.col("text").alias("root")), "roots")
+    known = roots.agg(F.sum(F.octet_length("root"))).first()[0] or 0
+    beside = inside.where("rep <> grp").join(F.broadcast(roots) if known <= ROOT_BYTES else roots, "grp")
+    held = settle(beside.mapInArrow(_against_root(width, percent), "grp long, rep long, n_shingles long, sketch binary, text string, hit boolean"), "held")
+    links = links.union(held.where("hit").select("rep", "grp"))
+    left = held.groupBy("grp").agg(F.sum(F.when(F.col("hit"), 0).otherwise(bytes_)).alias("out"), F.sum(F.when(F.col("hit"), bytes_).otherwise(0)).alias("in"))
+    left = checked(settle(left.where("out > 0").select("grp", *(F.greatest(F.lit(1), F.ceil(F.col(c) / GROUP_BYTES)).cast("int").alias(f"n_{c}") for c in ("out", "in"))), "left"))
+    rows = held.join(left, "grp").withColumn("hash", F.xxhash64("rep", F.lit(7)))
+    # blocks of the others are numbered from 0, those of the linked ones after them
+    others = rows.where("NOT hit").withColumn("block", F.pmod("hash", "n_out").cast("int")).withColumn("_j", F.explode(F.sequence(zero, F.col("n_out") + F.col("n_in") - 1)))
+    linked = rows.where("hit").withColumn("block", (F.pmod("hash", "n_in") + F.col("n_out")).cast("int")).withColumn("_j", F.explode(F.sequence(zero, F.col("n_out") - 1)))
+    pairs = others.unionByName(linked).withColumn("bi", F.least("block", "_j")).withColumn("bj", F.greatest("block", "_j"))
+    return links.union(search(pairs.select(*columns, "bi", "bj", "block")))
+
+
+def _mark() -> Column:
+    """What tells the texts of rows with one id apart."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id and kept."""
+    return _labelled(docs, width, percent).drop("mark")
+
+
+def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """near_duplicates() with the rows' marks."""
     spark = docs.sparkSession
     prepare(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = settle(texts.mapInArrow(_sketcher(width), "doc_id long, n_shingles long, f1 long, f2 long, sketch binary"), "sets")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _mark().alias("mark"))
+    sets = settle(texts.mapInArrow(_sketcher(width), "doc_id long, mark long, n_shingles long, f1 long, f2 long, sketch binary"), "sets")
     classes = settle(
         sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
     known = classes.select("rep", "n_shingles", "sketch")
@@ -328,34 +396,33 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     rows = classes.select("rep", F.expr(f"explode(transform(sequence(0, {bands - 1}), k -> {key}))").alias("key"))
     counts = settle(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "counts")  # written: the join may then be split at large keys
     shared = settle(rows.join(counts, "key"), "shared")
-    mates = _dealt(shared.join(known, "rep"), "key", "n", BUCKET_BLOCK).select("key", "bi", "bj", "block", "rep", "n_shingles", "sketch").mapInArrow(_grouper(percent), "a long, b long")
+    mates = _dealt(shared.join(known, "rep")).select("key", "bi", "bj", "block", "rep", "n_shingles", "sketch").mapInArrow(_grouper(percent), "a long, b long")
     group = components(mates)
 
     group = settle(group.union(group.select("root", "root").distinct()).toDF("rep", "grp"), "groups")
-    sized = group.join(settle(group.groupBy("grp").agg(F.count("*").alias("n")), "counts"), "grp").join(known, "rep")
-    asked = texts.withColumnRenamed("doc_id", "rep").join(checked(group.select("rep")), "rep", "left_semi")
-    whole = settle(sized.join(asked, "rep"), "texts")
-    links = _dealt(whole, "grp", "n", GROUP_BLOCK).select("grp", "bi", "bj", "block", "rep", "n_shingles", "sketch", "text").mapInArrow(_verifier(width, percent), "a long, b long")
-    label = components(links)
+    asked = texts.select(F.col("doc_id").alias("rep"), "text").join(checked(group.select("rep")), "rep", "left_semi")
+    whole = settle(group.join(known, "rep").join(asked, "rep").select("grp", "rep", "n_shingles", "sketch", "text"), "texts")
+    label = components(_verified(whole, width, percent))
 
     member = classes.select("f1", "f2", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("root", "rep").alias("root"))
     root = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
-    return sets.drop("sketch").join(member, ["f1", "f2"], "left").select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept"))
+    return sets.drop("sketch").join(member, ["f1", "f2"], "left").select("doc_id", "mark", "n_shingles", root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that near_duplicates() keeps, one per id, with all their columns.
+    """The rows of docs that near_duplicates() keeps, with all their columns.
 
-    Of rows that share an id, one with the least hash of its text stays; rows
-    without id all stay.
+    Of rows alike in id and text one stays; rows that share an id and differ in
+    text are judged apart; rows without id all stay.
     """
-    gone = settle(near_duplicates(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias("__loom_gone")).distinct(), "gone")
-    rest = docs.join(checked(gone), F.col("doc_id").cast("long") == F.col("__loom_gone"), "left_anti")
-    twice = docs.groupBy(F.col("doc_id").cast("long").alias("__loom_id")).agg(F.count("*").alias("__loom_n"), F.min(F.xxhash64("text")).alias("__loom_first"))
-    twice = settle(twice.where("__loom_n > 1 AND __loom_id IS NOT NULL"), "twice")
+    labelled = settle(_labelled(docs, width, percent).groupBy("doc_id", "mark").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("doc_id IS NOT NULL AND (NOT kept OR n > 1)"), "labelled")
+    key = {"__loom_id": F.col("doc_id").cast("long"), "__loom_mark": _mark()}
+    on = [c == F.col(n) for n, c in key.items()]
+    gone = settle(labelled.where("NOT kept").toDF("__loom_id", "__loom_mark", "__loom_k", "__loom_n").drop("__loom_k", "__loom_n"), "gone")
+    rest = docs.join(checked(gone), on, "left_anti")
+    twice = settle(labelled.where("kept").toDF("__loom_id", "__loom_mark", "__loom_k", "__loom_n").drop("__loom_k"), "twice")
     if twice.isEmpty():
         return rest
-    held = rest.join(checked(twice), F.col("doc_id").cast("long") == F.col("__loom_id"), "left")
+    held = rest.join(checked(twice), on, "left")
     single = held.where("__loom_id IS NULL").select(*docs.columns)
-    repeated = held.where("__loom_id IS NOT NULL AND xxhash64(text) = __loom_first").select(*docs.columns).dropDuplicates(["doc_id"])
-    return single.unionByName(repeated)
+    return single.unionByName(held.where("__loom_id IS NOT NULL").dropDuplicates(["__loom_id", "__loom_mark"]).select(*docs.columns))

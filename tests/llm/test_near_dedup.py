@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from auditloom.llm import near_dedup as N
 from auditloom.llm import textkernel as K
@@ -67,12 +68,37 @@ def corpus(n, seed):
 @pytest.mark.parametrize(("width", "percent", "block"), [(3, 85, 512), (5, 80, 512), (3, 85, 4)])
 def test_against_brute_force(spark, monkeypatch, width, percent, block):
     monkeypatch.setattr(N, "BUCKET_BLOCK", block)
-    monkeypatch.setattr(N, "GROUP_BLOCK", block)
+    monkeypatch.setattr(N, "GROUP_BYTES", 4000 * block)
+    monkeypatch.setattr(N, "ROOT_BYTES", block * 20)
     rows = [*corpus(250, width), (900, None), (901, ""), (902, " \t\n"), (903, "w1"), (904, "W1 "), (905, "a b"), (906, "A  b"), (907, "long " * 30000)]
     got = {tuple(r) for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width, percent).collect()}
     assert got == brute(rows, width, percent)
 
 
+@pytest.mark.parametrize("changed", [3, 14, 60])
+def test_large_groups(spark, monkeypatch, changed):
+    """A group of which all, some or no members link, in many blocks."""
+    monkeypatch.setattr(N, "BUCKET_BLOCK", 16)
+    monkeypatch.setattr(N, "GROUP_BYTES", 8000)
+    r = random.Random(changed)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for d in range(120):
+        w = list(base)
+        for k in r.sample(range(200), r.randint(0, changed)):
+            w[k] = f"x{r.randrange(10**6)}"
+        rows.append((500 - d, " ".join(w)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {tuple(x) for x in N.near_duplicates(frame, 3, 85).collect()}
+    assert got == brute(sorted(rows), 3, 85)
+
+
+def test_rows_are_copied_a_bounded_number_of_times(spark):
+    """Every row of a bucket or a group goes to one unit, as long as the group is in bounds."""
+    rows = spark.range(8000).select(F.lit(1).alias("key"), F.lit(8000).alias("n"), F.col("id").alias("rep"))
+    assert N._dealt(rows).count() == 8000
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, kept int, n_shingles int")
     assert N.near_duplicates(empty).count() == 0
@@ -82,6 +108,10 @@ def test_edges(spark):
     assert got == [(4, 2, 4, True), (9, 2, 4, False), (9, 2, 4, False), (None, 2, None, True), (None, 2, None, True)]
     kept = N.deduplicate(docs)
     assert kept.columns == docs.columns and sorted((r.doc_id for r in kept.collect()), key=str) == [4, None, None]
+    other = "one two three four five six seven"
+    rows = [(4, "a b c d e f"), (9, "a b c d e f"), (9, other), (9, other), (3, "z y x w v u"), (3, "q q q q q q q")]
+    kept = N.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect())) == [(3, "q q q q q q q"), (3, "z y x w v u"), (4, "a b c d e f"), (9, other)]
 
 
 def test_estimate_tracks_similarity():

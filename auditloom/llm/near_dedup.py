@@ -48,7 +48,7 @@ RATE = 20.0
 LIMIT = 65535
 MARGIN = 5.0
 #: Rows of a bucket in one block, bytes of text of a group in one block; buckets of up to SMALL rows are held against each other all at once.
-BUCKET_BLOCK, GROUP_BYTES, SMALL = 8192, 8 << 20, 8
+BUCKET_BLOCK, GROUP_BYTES, SMALL = 8192, 2 << 20, 8
 #: So many bytes of the groups' least members may be broadcast.
 ROOT_BYTES = 64 << 20
 

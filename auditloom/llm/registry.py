@@ -92,6 +92,14 @@ g AS (SELECT * FROM e WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfini
 p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v) AS score FROM g q JOIN g c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0)
 SELECT query_id, (row_number() OVER w)::int AS rank, vec_id, score FROM p WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20"""
 
+#: Five hex digits of the digest are four characters of base 32.
+OP8_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b)::bigint AS payload_bytes, b, sha1(b) AS h FROM p),
+f AS (SELECT *, list_transform(range(0, 8), lambda i: ('0x' || h[i * 5 + 1:i * 5 + 5])::int) AS v FROM d),
+t AS (SELECT page_id, payload_bytes, b, array_to_string(list_transform(v, lambda x: array_to_string(list_transform([15, 10, 5, 0], lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((x >> k) & 31) + 1]), '')), '') AS payload_digest, max(page_id) OVER (PARTITION BY b) AS head FROM f)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS DISTINCT FROM head AND head IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id IS DISTINCT FROM head THEN head END AS refers_to FROM t"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_html_extraction": OP3_SQL, "op4_minhash_near_dedup": OP4_SQL, "op6_chat_formatting": OP6_SQL, "op9_nearest_neighbours": OP9_SQL}
+    return {"op3_html_extraction": OP3_SQL, "op4_minhash_near_dedup": OP4_SQL, "op6_chat_formatting": OP6_SQL, "op8_warc": OP8_SQL, "op9_nearest_neighbours": OP9_SQL}

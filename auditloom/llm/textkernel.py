@@ -81,7 +81,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[base : bounds[-1] if len(bounds) else 0], bounds - base
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 * SEGMENT) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 2 * SEGMENT) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of whole rows with about `limit` text bytes each."""
     if not batch.num_rows:
         return

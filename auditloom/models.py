@@ -91,7 +91,10 @@ class RuleExtractor:
         rows = sections.select("doc_id", "section_no", "heading", "page_start", F.posexplode(X.sentences(F.regexp_replace("text", "\n", " "))).alias("item_no", "quote")).where(X.has_obligation(F.col("quote")))
         level = F.when(F.col("quote").rlike(X.OBLIGATION_GROUPS["prohibition"]), "prohibited").when(F.col("quote").rlike(X.OBLIGATION_GROUPS["duty"]), "mandatory").otherwise("recommended")
         timeframe = F.nullif(F.regexp_extract("quote", r"(?i)\bwithin \d+ (?:business |calendar )?days\b", 0), F.lit(""))
-        return rows.select("doc_id", "section_no", "item_no", F.format_string("Does the P&P state that %s?", F.rtrim("quote", F.lit("."))).alias("text"), F.format_string("%s, page %d", "heading", "page_start").alias("reference"), level.alias("obligation_level"), timeframe.alias("timeframe"), F.col("quote").alias("exact_quote"), F.col("heading").alias("section_heading"))
+        kind = F.coalesce(*(F.when(c, name) for name, c in X.obligation_classes(F.col("quote")).items()))
+        condition = F.nullif(F.regexp_extract("quote", r"(?i)\b(?:if|when|unless|upon)\s[^,.;]+", 0), F.lit(""))
+        action = F.nullif(F.regexp_extract("quote", r"(?i)\b(?:must|shall|should|required to|responsible for)\s+(?:not\s+)?([^,.;]+)", 1), F.lit(""))
+        return rows.select("doc_id", "section_no", "item_no", F.format_string("Does the P&P state that %s?", F.rtrim("quote", F.lit("."))).alias("text"), F.format_string("%s, page %d", "heading", "page_start").alias("reference"), kind.alias("obligation_type"), level.alias("obligation_level"), action.alias("action_required"), condition.alias("condition"), timeframe.alias("timeframe"), F.col("quote").alias("exact_quote"), F.col("heading").alias("section_heading"))
 
 
 class RuleEvaluator:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,15 +75,22 @@ def parse(lines: DataFrame) -> DataFrame:
 
 
 def trees(parsed: DataFrame) -> DataFrame:
-    """The roots of each list as nested JSON; one list is one row."""
-
-    @F.udf("string")
-    def nest(rows):
-        nodes = {r.node_no: {"marker": r.marker, "text": r.text, "level": r.level, "path": r.path, "children": []} for r in rows}
-        for r in rows:
-            if r.parent_no is not None:
-                nodes[r.parent_no]["children"].append(nodes[r.node_no])
-        return json.dumps([nodes[r.node_no] for r in rows if r.is_root], ensure_ascii=False)
+    """The roots of each list as nested JSON; one list is one row.
 
+    Nodes come in order, each after its parent, so a node opens its object and
+    what follows tells how many end after it.
+    """
     rows = parsed.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("node_no", "parent_no", "is_root", "marker", "text", "level", "path"))).alias("r"))
-    return rows.select("doc_id", nest("r").alias("tree"))
+    first = F.get("r", F.lit(0))["node_no"]
+    # depth of every node below its root, 0 where there is none
+    deep = lambda s, x: F.concat(s, F.array(F.when(x["is_root"], 1).otherwise(F.coalesce(F.nullif(F.get(s, x["parent_no"] - first), F.lit(0)) + 1, F.lit(0)))))
+    rows = rows.withColumn("d", F.aggregate("r", F.array().cast("array<int>"), deep))
+    kept = F.filter(F.arrays_zip("r", "d"), lambda x: x["d"] > 0)
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"(?s)^\[|\]$", "")
+
+    def piece(x: Column, i: Column) -> Column:
+        r, after = x["r"], F.get("k", i + 1)["d"]
+        ends = F.when(after.isNull(), F.repeat(F.lit("]}"), x["d"])).when(after > x["d"], F.lit("")).otherwise(F.concat(F.repeat(F.lit("]}"), x["d"] - after + 1), F.lit(", ")))
+        return F.concat(F.lit('{"marker": '), quoted(r["marker"]), F.lit(', "text": '), quoted(r["text"]), F.lit(', "level": '), r["level"].cast("string"), F.lit(', "path": '), quoted(r["path"]), F.lit(', "children": ['), ends)
+
+    return rows.withColumn("k", kept).select("doc_id", F.concat(F.lit("["), F.array_join(F.transform("k", piece), ""), F.lit("]")).alias("tree"))

@@ -10,64 +10,73 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.shared import shared_path
 
 TOP_K, DUPLICATE = 10, 0.90
-BLOCK = 1024
+#: Rows of a block in a join, queries in a batch, and corpus rows that a batch is held against at once.
+BLOCK, CORPUS_BLOCK = 1024, 16_384
 
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def _blocks(df: DataFrame, n_blocks: int, id_: str) -> DataFrame:
-    return df.withColumn("_b", F.pmod(F.xxhash64(id_), F.lit(n_blocks)).cast("int"))
-
-
 def _matrix(table: pa.Table) -> np.ndarray:
     v = table.column("vec").combine_chunks()
     return v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
 
 
-def _count_blocks(df: DataFrame) -> int:
-    return max(1, -(-df.count() // BLOCK))
-
-
-def _paired(left: DataFrame, right: DataFrame, run, schema: str) -> DataFrame:
-    """Hold blocks of left against blocks of right, one pair of blocks a task, never a pair of rows a row.
-
-    left and right have columns id and vec.
-    """
-    nl, nr = _count_blocks(left), _count_blocks(right)
-    a = _blocks(left, nl, "id").withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))))
-    b = _blocks(right, nr, "id").withColumn("_o", F.col("_b")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(nl - 1))))
-    return a.groupBy("_b", "_o").cogroup(b.groupBy("_b", "_o")).applyInArrow(run, schema)
-
-
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, drop_self: bool = False) -> DataFrame:
     """(query_id, rank, id, similarity): the k most similar rows, ties to the smaller id.
 
-    Each pair of blocks gives k candidates a query by one matrix product; the
-    window then ranks these few.
+    Queries are written once; the tasks of the corpus read them in batches, so
+    neither side is copied or shuffled.  Each block of corpus rows gives k
+    candidates a query by matrix products, and the window ranks these few.
     """
+    path = shared_path(queries.sparkSession, "queries")
+    queries.select("id", "vec").write.parquet(path)
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
-        qi, ci = left.column("id").to_numpy(), right.column("id").to_numpy()
-        score = np.round(_matrix(left) @ _matrix(right).T, 5) + 0.0
+    def best(asked: np.ndarray, vectors: np.ndarray, ids: np.ndarray, block: np.ndarray) -> pa.RecordBatch:
+        score = np.round(vectors @ block.T, 5) + 0.0
         if drop_self:
-            score[qi[:, None] == ci[None, :]] = -np.inf
-        n = min(k, len(ci))
-        best = np.lexsort((np.broadcast_to(ci, score.shape), -score), axis=1)[:, :n]
-        flat = np.take_along_axis(score, best, axis=1).ravel()
-        keep = flat > -np.inf
-        return pa.table({"query_id": np.repeat(qi, n)[keep], "id": ci[best].ravel()[keep], "similarity": flat[keep]})
-
-    found = _paired(queries, corpus, run, "query_id long, id long, similarity double")
+            score[asked[:, None] == ids[None, :]] = -np.inf
+        n = min(k, len(ids))
+        edge = -np.partition(-score, n - 1, axis=1)[:, n - 1 : n]
+        q, c = np.nonzero((score >= edge) & (score > -np.inf))
+        order = np.lexsort((ids[c], -score[q, c], q))
+        q, c = q[order], c[order]
+        keep = np.arange(len(q)) - np.searchsorted(q, q) < n
+        q, c = q[keep], c[keep]
+        return pa.RecordBatch.from_arrays([pa.array(asked[q]), pa.array(ids[c]), pa.array(score[q, c])], names=["query_id", "id", "similarity"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.dataset
+
+        store, root = pa.fs.FileSystem.from_uri(path)
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            block = pa.Table.from_batches(held)
+            ids, matrix = block.column("id").to_numpy(), _matrix(block)
+            for part in pa.dataset.dataset(root, filesystem=store, format="parquet").to_batches(columns=["id", "vec"], batch_size=BLOCK):
+                if part.num_rows:
+                    yield best(part.column("id").to_numpy(), _matrix(pa.Table.from_batches([part])), ids, matrix)
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= CORPUS_BLOCK:
+                yield from flush()
+                held.clear()
+        if held:
+            yield from flush()
+
+    found = corpus.select("id", "vec").mapInArrow(run, "query_id long, id long, similarity double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "similarity")
 

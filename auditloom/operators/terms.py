@@ -121,13 +121,23 @@ def define(terms: DataFrame, queries: DataFrame) -> DataFrame:
     return branches[0].union(branches[1]).union(branches[2]).distinct()
 
 
+# Header words of each requirement field.
+REQUIREMENT_FIELDS = {"tx": ("requirement", "description", "obligation", "control"), "ac": ("owner", "responsible", "party", "actor", "role"), "tf": ("deadline", "frequency", "timeframe", "period"), "ev": ("evidence", "documentation", "artifact")}
+
+
 def requirement_rows(sections: DataFrame) -> DataFrame:
     """requirements from tables that name a requirement column; one row per table line."""
-    # Header words of each requirement field.
-    fields = {"tx": ("requirement", "description", "obligation", "control"), "ac": ("owner", "responsible", "party", "actor", "role"), "tf": ("deadline", "frequency", "timeframe", "period"), "ev": ("evidence", "documentation", "artifact")}
     df = pipe_tables(sections)
-    for name, words in fields.items():
+    for name, words in REQUIREMENT_FIELDS.items():
         df = df.withColumn(name, X.column_index(F.col("header"), words, -1))
     df = df.where((F.col("tx") >= 0) & (F.size("cells") > F.col("tx"))).withColumn("exact_quote", F.get("cells", F.col("tx")))
     pick: dict[str, Column] = {n: F.when(F.col(c) >= 0, F.get("cells", F.col(c))) for n, c in (("actor", "ac"), ("timeframe", "tf"), ("evidence_needed", "ev"))}
     return df.select("doc_id", "section_no", "table_no", "row_no", F.format_string("Does the P&P state that %s?", "exact_quote").alias("text"), "exact_quote", F.format_string("%s, page %d", "heading", "page_start").alias("reference"), *(c.alias(n) for n, c in pick.items()), F.col("heading").alias("section_heading"))
+
+
+def unmapped_tables(sections: DataFrame) -> DataFrame:
+    """tables without a requirement column as sections of their own, for the extractor; each line is a sentence."""
+    df = sections.select("doc_id", "section_no", "heading", "page_start", F.posexplode("tables").alias("table_no", "table")).withColumn("header", X.table_header(F.col("table")))
+    df = df.where((F.size("header") > 0) & (X.column_index(F.col("header"), REQUIREMENT_FIELDS["tx"], -1) < 0))
+    lines = F.transform(F.slice(X.table_lines(F.col("table")), F.lit(2), F.greatest(F.size(X.table_lines(F.col("table"))) - 1, F.lit(0))), lambda line: F.concat(F.array_join(X.table_cells(line), ", "), F.lit(".")))
+    return df.select("doc_id", "section_no", "table_no", "heading", F.lit(2).alias("level"), F.array_join(lines, "\n").alias("text"), F.array("table").alias("tables"), "page_start", F.col("page_start").alias("page_end"))

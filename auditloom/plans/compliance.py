@@ -10,9 +10,10 @@ from ..functions import text as X
 from ..operators import lines, review, similarity, terms, xref
 from ..operators.lines import Window, joined
 from ..sources.shared import settle
-from . import derived
+from . import derived, manual_queries
 
-OPTIONAL = ["exact_quote", "obligation_level", "timeframe", "actor", "evidence_needed"]
+#: The fields that count for completeness.
+OPTIONAL = ["exact_quote", "obligation_type", "obligation_level", "actor", "action_required", "condition", "timeframe", "evidence_needed", "risk_area"]
 
 
 def extract(marked: DataFrame, extractor: models.Extractor | None = None, threshold: float = similarity.DUPLICATE) -> DataFrame:
@@ -25,9 +26,15 @@ def extract(marked: DataFrame, extractor: models.Extractor | None = None, thresh
     sections = lines.sub_split(lines.merge_empty(lines.segment(marked)))
     sections = settle(sections.withColumn("section_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("section_no", "piece_no"))).drop("piece_no"), "sections")
     kept = lines.flag_obligations(sections).where("kept")
-    found = (extractor or models.RuleExtractor()).extract(kept).withColumn("kind", F.lit(0)).withColumn("a", F.lit(0)).withColumnRenamed("item_no", "b")
+    model = extractor or models.RuleExtractor()
+    found = model.extract(kept).withColumn("kind", F.lit(0)).withColumn("a", F.lit(0)).withColumnRenamed("item_no", "b")
+    # a table without a requirement column is a section of its own; its number rides along as the section's
+    wide = F.struct("section_no", "table_no")
+    other = model.extract(terms.unmapped_tables(kept).withColumn("section_no", wide).drop("table_no")).withColumnRenamed("item_no", "b").withColumn("kind", F.lit(1))
+    other = other.withColumn("a", F.col("section_no.table_no")).withColumn("section_no", F.col("section_no.section_no"))
     tables = terms.requirement_rows(kept).withColumn("kind", F.lit(1)).withColumnRenamed("table_no", "a").withColumnRenamed("row_no", "b")
-    both = found.unionByName(tables, allowMissingColumns=True)
+    both = found.unionByName(tables, allowMissingColumns=True).unionByName(other, allowMissingColumns=True)
+    both = both.select("*", *(F.lit(None).cast("string").alias(c) for c in OPTIONAL if c not in both.columns))
     both = settle(both.withColumn("id", F.row_number().over(Window.partitionBy("doc_id").orderBy("section_no", "kind", "a", "b")).cast("long")), "requirements")
     clusters = similarity.leaders(models.embed(both.select("doc_id", "id", "text"), "text").select("doc_id", "id", "vec"), threshold, "doc_id")
     keyed = both.select("doc_id", "id", "text", "reference", "section_heading", *OPTIONAL)
@@ -60,6 +67,24 @@ def search(queries: DataFrame, corpus: DataFrame, top_k: int = similarity.TOP_K,
     return queries.select("id").join(made, "id", "left").withColumn("result", F.coalesce("result", F.lit("No relevant passages found in the policy corpus.")))
 
 
+def define_terms(queries: DataFrame, known: DataFrame, top_k: int = 3, embedder: models.Embedder | None = None) -> DataFrame:
+    """Queries (query) with one formatted text each: exact matches, else the top_k nearest terms, else that there are none.
+
+    known are stored terms: those of terms.term_rows() with their fields.
+    """
+    asked = queries.select("query").distinct().withColumn("id", F.xxhash64("query"))
+    stored = settle(known.withColumn("key", F.xxhash64("id")), "terms")
+    exact = terms.define(stored, asked.select("query")).withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("id")))
+    left = settle(asked.join(exact.select("query").distinct(), "query", "left_anti"), "asked")
+    vectors = models.embed(stored.select(F.col("key").alias("id"), "document"), "document", embedder).select("id", "vec")
+    near = similarity.top_k(models.embed(left, "query", embedder).select("id", "vec"), vectors, top_k)
+    near = near.select(F.col("query_id").alias("_q"), "rank", F.col("id").alias("key")).join(stored, "key").join(left.select(F.col("id").alias("_q"), "query"), "_q")
+    shown = X.definition_text(F.col("term"), F.col("abbreviation"), F.col("definition"), F.col("source_file"), F.col("page_number"), F.col("section_heading"))
+    both = exact.select("query", "rank", shown.alias("_t")).unionByName(near.select("query", "rank", shown.alias("_t")))
+    made = both.groupBy("query").agg(joined("rank", "_t", "\n---\n").alias("result"))
+    return asked.select("query").join(made, "query", "left").withColumn("result", F.coalesce("result", F.format_string("No definition found for '%s'.", "query")))
+
+
 def evaluate_citation(rows: DataFrame, embedder: models.Embedder | None = None, yes: float = 0.5, partial: float = 0.25) -> DataFrame:
     """Rows (requirement, passage) with a verdict by the similarity of both texts."""
     both = models.embed(models.embed(rows, "requirement", embedder, "_r"), "passage", embedder, "_p")
@@ -76,4 +101,8 @@ def section_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contexts(derived.lines(spark, sf_dir))
 
 
-QUERIES = {"extract_requirements": (extract_requirements, None), "section_contexts": (section_contexts, None)}
+RENDERED = manual_queries.QUERIES["render_section"][1].split("SELECT doc_id, section_no, ")[-1].split(" AS rendered")[0]
+CONTEXT = manual_queries.QUERIES["ref_context"][1].split("SELECT doc_id, section_no, ")[-1].split(" AS context")[0]
+CONTEXTS_SQL = f"""{manual_queries.WITH}, {manual_queries.REFS_SQL}, cx AS (SELECT doc_id, section_no, {CONTEXT} AS context FROM resolved GROUP BY ALL)
+SELECT doc_id, section_no, {RENDERED} || coalesce(chr(10) || context, '') AS text FROM merged LEFT JOIN cx USING (doc_id, section_no)"""
+QUERIES = {"extract_requirements": (extract_requirements, None), "section_contexts": (section_contexts, CONTEXTS_SQL)}

@@ -374,7 +374,10 @@ SELECT doc_id, batch_no, string_agg('[SECTION_START heading=''' || heading || ''
     "list_items": (list_items, f"{LISTS_SQL} SELECT doc_id, node_no, indent, marker, display, text, kind FROM ityped"),
     "list_levels": (list_levels, f"{LISTS_SQL} SELECT doc_id, node_no, level FROM lev"),
     "list_paths": (list_paths, f"{LISTS_SQL} SELECT l.doc_id, l.node_no, t.parent_no, l.level = 1 AS is_root, l.level, t.path, l.display AS marker, l.text FROM lev l JOIN tree t ON t.doc_id = l.doc_id AND t.node_no = l.node_no"),
-    "list_trees": (list_trees, None),
+    "list_trees": (list_trees, f"""{LISTS_SQL}, tn AS (SELECT l.doc_id, l.node_no, l.level, l.display, l.text, t.path, len(t.stack) AS d, t.stack[1].n AS top FROM lev l JOIN tree t ON t.doc_id = l.doc_id AND t.node_no = l.node_no),
+rt AS (SELECT tn.*, lead(d) OVER (PARTITION BY tn.doc_id ORDER BY tn.node_no) AS nd FROM tn JOIN lev x ON x.doc_id = tn.doc_id AND x.node_no = tn.top WHERE x.level = 1),
+js AS (SELECT doc_id, string_agg('{{"marker": ' || to_json(display) || ', "text": ' || to_json(text) || ', "level": ' || level || ', "path": ' || to_json(path) || ', "children": [' || CASE WHEN nd IS NULL THEN repeat(']}}', d) WHEN nd > d THEN '' ELSE repeat(']}}', d - nd + 1) || ', ' END, '' ORDER BY node_no) AS body FROM rt GROUP BY ALL)
+SELECT doc_id, '[' || coalesce(body, '') || ']' AS tree FROM (SELECT DISTINCT doc_id FROM lev) LEFT JOIN js USING (doc_id)"""),
     "review_form_questions": (review_form_questions, rf"""{WITH}, tx AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS text FROM lines GROUP BY ALL), q AS (SELECT doc_id, unnest(regexp_extract_all(text, '{X.CHECKLIST_QUESTION}', 1)) AS id, unnest(regexp_extract_all(text, '{X.CHECKLIST_QUESTION}', 2)) AS q, unnest(regexp_extract_all(text, '{X.CHECKLIST_QUESTION}', 3)) AS r FROM tx)
 SELECT doc_id, id::int AS id, trim(regexp_replace(regexp_replace(q, '(?i)\([^)]*(?:P&P may|examples provided|list below)[^)]*\)\s*$', ''), '\s+', ' ', 'g')) AS text, trim(r) AS reference FROM q"""),
     "hierarchy": (hierarchy, f"""{WITH}, lvs AS (SELECT doc_id, heading, arg_max(level, section_no) AS level FROM merged GROUP BY ALL), rq AS (SELECT doc_id, section_no, row_number() OVER (PARTITION BY doc_id ORDER BY section_no) AS id, l.level FROM merged m JOIN lvs l USING (doc_id, heading))

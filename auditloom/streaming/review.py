@@ -5,11 +5,9 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import review
 
@@ -31,8 +29,10 @@ def review_stream(rows: DataFrame, evaluate: Callable[[DataFrame], DataFrame], c
     query.awaitTermination()
     evaluations = spark.read.option("basePath", f"{path}/evaluations").parquet(f"{path}/evaluations")
     total = evaluations.count()
-    seq = F.row_number().over(review.Window.orderBy("requirement_id"))
-    numbered = evaluations.drop("batch").withColumn("seq", seq)
+    # numbered inside each micro-batch; only the batches' sizes, one row each, are summed in one task
+    sizes = evaluations.groupBy("batch").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(review.Window.orderBy("batch").rowsBetween(review.Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    place = F.row_number().over(review.Window.partitionBy("batch").orderBy("requirement_id"))
+    numbered = evaluations.join(F.broadcast(sizes), "batch").withColumn("seq", (place + F.col("_before")).cast("int")).drop("batch", "_before")
     payload = F.to_json(F.struct(F.struct(*[c for c in numbered.columns if c != "seq"]).alias("evaluation"), F.col("seq").alias("progress"), F.lit(total).alias("total")))
     events = numbered.select("seq", F.lit("evaluation").alias("event"), payload.alias("data"))
     reviewed = critic(numbered)
@@ -54,32 +54,9 @@ def progress_events(steps: list[tuple[str, Callable[[], str]]]) -> Iterator[dict
     yield {"type": "complete", "step": "complete", "step_number": total, "total_steps": total, "detail": ""}
 
 
-class LatestRow(StatefulProcessor):
-    """Keeps a key's latest row (by seq) and how many have come."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("latest", "seq long, value double, n long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        best, n = None, 0
-        if self.state.exists():
-            seq, value, n = self.state.get()
-            best = (seq, value)
-        for frame in rows:
-            n += len(frame)
-            top = frame.loc[frame["seq"].idxmax()]
-            if best is None or top["seq"] >= best[0]:
-                best = (int(top["seq"]), float(top["value"]))
-        self.state.update((best[0], best[1], n))
-        yield pd.DataFrame({"key": [key[0]], "seq": [best[0]], "value": [best[1]], "n": [n]})
-
-    def close(self) -> None:
-        pass
-
-
 def latest_by_key(stream: DataFrame) -> DataFrame:
-    """stream (key, seq, value) to updates (key, seq, value, n), the latest of each key so far."""
-    return stream.groupBy("key").transformWithStateInPandas(statefulProcessor=LatestRow(), outputStructType="key string, seq long, value double, n long", outputMode="update", timeMode="none")
+    """Stream (key, seq, value) to updates (key, seq, value, n), the latest of each key so far and how many came."""
+    return stream.groupBy("key").agg(F.max("seq").alias("seq"), F.max_by("value", "seq").alias("value"), F.count("*").alias("n"))
 
 
 def drain(updates: DataFrame, path: str, mode: str = "update") -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.shared import settle
 
 HEADER_ZONE, FOOTER_ZONE = 0.12, 0.12
 MIN_FRACTION, MIN_PAGES = 0.55, 3
+#: So many repeated signatures may be broadcast: under 100 MB.
+BROADCAST_MARKS = 1_000_000
 
 
 def _needed(pages):
@@ -25,6 +28,24 @@ def repeated_signatures(rows: DataFrame, doc: str = "doc_id", page: str = "page_
     return found.join(counts, doc).where((F.col("n_pages") >= 2) & (F.col("pages") >= _needed(F.col("n_pages")))).select(doc, "signature", "pages")
 
 
+def signature_marks(text: Column) -> Column:
+    """Two 64-bit hashes of a text's signature, null for an empty one: what lines are counted and matched by."""
+    return X.let(X.signature(text), lambda s: F.when(s != "", F.struct(F.xxhash64(s).alias("a"), F.xxhash64(F.lit(1), s).alias("b"))))
+
+
+def repeated_marks(lines: DataFrame, doc: str, page: str, least: int = MIN_PAGES) -> DataFrame:
+    """(doc, mark) of signatures on at least `least` pages of a document; only hashes are shuffled."""
+    marks = lines.select(doc, page, signature_marks(F.col("line")).alias("mark")).where("mark IS NOT NULL").distinct()
+    return marks.groupBy(doc, "mark").agg(F.count("*").alias("pages")).where(F.col("pages") >= least)
+
+
+def without_repeated(lines: DataFrame, doc: str, page: str, least: int = MIN_PAGES) -> DataFrame:
+    """F45 over a corpus: lines without those of repeated signatures, which stay where they are if the repeated ones may be broadcast."""
+    known = settle(repeated_marks(lines, doc, page, least).select(doc, "mark"), "marks")
+    known = F.broadcast(known) if known.count() <= BROADCAST_MARKS else known
+    return lines.withColumn("mark", signature_marks(F.col("line"))).join(known, [doc, "mark"], "left_anti").drop("mark")
+
+
 def zone_of(y0, y1, height):
     """header, footer or null; the header zone wins."""
     return F.when(y0 / height < HEADER_ZONE, "header").when(y1 / height > 1 - FOOTER_ZONE, "footer")

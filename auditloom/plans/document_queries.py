@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import headers, pack, review
 from ..operators.lines import to_lines
 from ..sources import corpus, store
+from ..sources.shared import read_table
 
 SPLIT_LINES = "unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i"
 #: DuckDB: trim of all white space.
@@ -20,7 +21,7 @@ pages_ AS (SELECT * FROM pg WHERE trim(text, {STRIP}) <> '')"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name)
 
 
 def page_scan(spark, sf_dir):
@@ -122,8 +123,7 @@ def repeated_headers(spark, sf_dir):
 
 def strip_headers(spark, sf_dir):
     """lines left per document without its source's repeated signatures."""
-    rows = _source_lines(spark, sf_dir).withColumn("signature", X.signature(F.col("line")))
-    left = rows.join(repeated_headers(spark, sf_dir).select("source", "signature"), ["source", "signature"], "left_anti")
+    left = headers.without_repeated(_source_lines(spark, sf_dir), "source", "doc_id")
     return left.groupBy("doc_id").agg(F.count("*").alias("lines_left"), F.sum(F.length("line")).alias("chars_left"))
 
 

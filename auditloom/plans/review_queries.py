@@ -9,17 +9,18 @@ from .. import schemas
 from ..functions import llmjson
 from ..functions import text as X
 from ..operators import metrics, review
+from ..sources.shared import read_table
 
 N_REQUIREMENTS = 64
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return read_table(spark, sf_dir, "orders")
 
 
 def requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All parts as requirements, from 3: the first two that evaluations name are missing."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part = read_table(spark, sf_dir, "part")
     return part.select((F.col("p_partkey") + 2).cast("int").alias("id"), F.concat(F.lit("Does the P&P cover "), "p_name", F.lit("?")).alias("text"), F.concat(F.lit("APL "), F.col("p_size").cast("string")).alias("reference"), F.col("p_type").alias("category"))
 
 
@@ -137,7 +138,7 @@ def count_variance(spark, sf_dir):
 
 
 def transient_errors(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = read_table(spark, sf_dir, "events")
     message = F.concat(F.lit("error "), (F.col("event_id") % 600).cast("string"), F.when(F.col("event_id") % 4 == 0, " Quota hit").otherwise(" other"))
     return e.select("event_id", X.transient(message).alias("transient"), X.transient_agent(message).alias("transient_agent"))
 

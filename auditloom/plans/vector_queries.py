@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import metrics, similarity
 from ..operators.lines import joined
+from ..sources.shared import read_table
 
 #: No two vectors of the shipped table are closer than about 0.5, so queries ask for this.
 THRESHOLD = 0.35
@@ -15,7 +16,7 @@ OPTIONAL = ["actor", "timeframe"]
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    e = read_table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), "label")
 
 

@@ -34,3 +34,14 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A table of one split is dealt out if it holds so many bytes.
+SPREAD_BYTES = 2 << 20
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of Parquet files; one that is a single split is dealt to all cores, others are read as they are."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SPREAD_BYTES
+    return df if small or df.rdd.getNumPartitions() > 1 else df.repartition(spark.sparkContext.defaultParallelism)

@@ -1,15 +1,11 @@
 import random
 from collections import Counter
 
-import numpy as np
-import pyarrow as pa
-
 import corpus_pipeline
 from auditloom.llm import mixing, pieces
-from auditloom.llm import quality as Q
 
 from .test_near_dedup import brute
-from .test_text_filters import brute_rules
+from .test_text_filters import brute_rules, brute_selection
 
 
 def fixture(tmp_path, spark):
@@ -33,21 +29,6 @@ def fixture(tmp_path, spark):
     return rows, labels
 
 
-def brute_quality(rows, sample):
-    """Ids that the classifier keeps, from counts kept in dicts."""
-    of = {i: Q.features(pa.array([t], pa.string()))[1].tolist() for i, t in rows}
-    raw, target = Counter(), Counter()
-    for i, grams in of.items():
-        raw.update(grams)
-        if sample.get(i) == 1:
-            target.update(grams)
-    share = sum(target.values()) / sum(raw.values())
-    key = {i: sum(np.log((target[b] + Q.PRIOR) / (raw[b] * share + Q.PRIOR)) for b in g) + Q.gumbel(pa.array([i]))[0] for i, g in of.items() if g}
-    held = sorted(key[i] for i in key if sample.get(i) == 2)
-    cut = held[int((1 - Q.RECALL) * len(held))]
-    return {i for i, k in key.items() if k >= cut - 1e-9}
-
-
 def test_against_brute_force(tmp_path, spark):
     rows, labels = fixture(tmp_path, spark)
     docs, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
@@ -59,8 +40,7 @@ def test_against_brute_force(tmp_path, spark):
         seen.append(docs)
     text = {r[0]: r[1] for r in rows}
     ids = [{r.doc_id for r in s.collect()} for s in seen]
-    sample = {r.doc_id: r.target for r in Q.labelled(spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()}
-    assert ids[0] == brute_quality([(i, t) for i, t in text.items()], sample)
+    assert ids[0] == brute_selection(list(text.items()), labels)[1]
     assert not any(i % 7 == 0 for i in ids[0])
     assert ids[1] == {r[0] for r in brute_rules([(i, text[i]) for i in sorted(ids[0])], labels) if r[-1]}
     assert ids[2] == {r[0] for r in brute([(i, text[i]) for i in sorted(ids[1])], 5, 80) if r[3]} and len(ids[2]) < len(ids[1])
@@ -70,3 +50,11 @@ def test_against_brute_force(tmp_path, spark):
     assert Counter((r.doc_id, r.text) for r in back) == Counter((r.doc_id, r.text) for r in seen[3].collect())
     again = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(str, again.collect())) == sorted(map(str, seen[4].collect()))
+
+
+def test_empty_documents(tmp_path, spark):
+    fixture(tmp_path, spark)
+    none = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
+    none.write.mode("overwrite").parquet(f"{tmp_path}/none/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/labels.parquet").write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0

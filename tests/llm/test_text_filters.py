@@ -166,12 +166,8 @@ def brute_buckets(text, buckets):
     return out + [mixed((shape[i] << 25 | shape[j] << 1 | (h[i] == h[j])) ^ 0x165667B19E3779F9) % buckets for i, j in pairs]
 
 
-def test_selection_against_brute_force(spark):
-    """Hashes, models, tempered weights, k and the choice, by plain Python."""
-    rows, labels = corpus(80)
-    rows += [(900, None), (901, "a"), (902, "é é 日本 A1 b-"), (903, " ")]
-    labels += [(8, 1, 1), (901, 1, 1), (10, 0, 0), (None, 1, 0), (902, None, 0)]
-    docs, labs = frames(spark, rows, labels)
+def brute_selection(rows, labels):
+    """({id: (n_grams, log weight, key)}, ids kept) by plain Python: hashes, models, tempered weights, k and the choice."""
     quality = {}
     for i, q, t in labels:
         if i is not None and q is not None:
@@ -185,17 +181,25 @@ def test_selection_against_brute_force(spark):
             raw[b] = raw.get(b, 0) + 1
             target[b] = target.get(b, 0) + (i in train)
     share = sum(target.values()) / sum(raw.values())
-    keys = {}
-    got = {x.doc_id: x for x in Q.resample(docs, labs).collect()}
+    found = {}
     for i, g in of.items():
         weight = sum(math.log((target[b] + Q.PRIOR) / (raw[b] * share + Q.PRIOR)) for b in g) * Q.PASSAGE / (Q.PASSAGE + len(g))
         uniform = ((mixed((i * 0x9E3779B97F4A7C15 + 0xC2B2AE3D27D4EB4F) & M64) >> 11) + 0.5) / 2**53
-        keys[i] = weight - math.log(-math.log(uniform))
-        assert got[i].n_grams == len(g) and math.isclose(got[i].log_weight, weight, abs_tol=1e-9) and math.isclose(got[i].key, keys[i], abs_tol=1e-9)
-    ranked = sorted((i for i in of if of[i]), key=lambda i: -keys[i])
+        found[i] = (len(g), weight, weight - math.log(-math.log(uniform)))
+    ranked = sorted((i for i in of if of[i]), key=lambda i: -found[i][2])
     known = [i for i in ranked if i in good]
-    k = math.ceil(len(ranked) * sum(good[i] for i in known) / len(known))
-    assert {i for i, x in got.items() if x.kept} == set(ranked[:k]) and 0 < k < len(ranked)
+    return found, set(ranked[: math.ceil(len(ranked) * sum(good[i] for i in known) / len(known))])
+
+
+def test_selection_against_brute_force(spark):
+    rows, labels = corpus(80)
+    rows += [(900, None), (901, "a"), (902, "é é 日本 A1 b-"), (903, " ")]
+    labels += [(8, 1, 1), (901, 1, 1), (10, 0, 0), (None, 1, 0), (902, None, 0)]
+    want, kept = brute_selection(rows, labels)
+    got = {x.doc_id: x for x in Q.resample(*frames(spark, rows, labels)).collect()}
+    for i, (n, weight, key) in want.items():
+        assert got[i].n_grams == n and math.isclose(got[i].log_weight, weight, abs_tol=1e-9) and math.isclose(got[i].key, key, abs_tol=1e-9)
+    assert {i for i, x in got.items() if x.kept} == kept and 0 < len(kept) < len(rows)
 
 
 def test_noise_matters_between_good_documents(spark):

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import compliance, document_queries, flagship, manual_queries, review_queries, stream_queries, vector_queries
+from .plans import compliance, document_queries, flagship, manual_queries, narrative, review_queries, stream_queries, vector_queries
 
-MODULES = (compliance, document_queries, manual_queries, review_queries, vector_queries, stream_queries, flagship)
+MODULES = (compliance, document_queries, manual_queries, narrative, review_queries, vector_queries, stream_queries, flagship)
 FLAGSHIP = flagship.flagship_review
 
 

@@ -13,6 +13,8 @@ from ..functions import text as X
 from ..operators.lines import joined
 
 LINES_PER_PAGE = 40
+#: The error of a file that can be read but holds no text.
+NO_TEXT = "no text"
 
 
 def text_pages(docs: DataFrame, lines_per_page: int = LINES_PER_PAGE) -> DataFrame:
@@ -65,7 +67,7 @@ def parse_files(files: DataFrame, reader: Callable[[bytes], list[str]] = plain_t
                 name = f"{folder}/{file}"
                 try:
                     pages = [(name, i, t.strip(), None) for i, t in enumerate(reader(content), 1) if t.strip()]
-                    rows += pages or [(name, None, None, "no text")]
+                    rows += pages or [(name, None, None, NO_TEXT)]
                 except Exception as e:  # any reader's error belongs to its file
                     rows.append((name, None, None, f"{type(e).__name__}: {e}"))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 4, (pa.string(), pa.int32(), pa.string(), pa.string()), strict=True)], names=["source_file", "page_number", "text", "error"])

@@ -7,7 +7,8 @@ upsert never overwrites what a running query reads.
 from __future__ import annotations
 
 import uuid
-from datetime import datetime
+from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,6 +17,8 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions import text as X
+from ..operators import review
+from . import corpus
 
 CACHE_VERSION = "v1"
 
@@ -96,7 +99,7 @@ class Sessions:
     """Review sessions with their requirements and evaluations."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark = spark
+        self.spark, self.path = spark, path.rstrip("/")
         self.sessions = Table(spark, f"{path}/sessions", schemas.SESSION, "id")
         child = lambda s: T.StructType([T.StructField("session_id", T.StringType()), T.StructField("seq", T.LongType()), T.StructField("key", T.StringType()), *s.fields])
         self.requirements = Table(spark, f"{path}/requirements", child(schemas.REQUIREMENT), "key")
@@ -109,6 +112,47 @@ class Sessions:
         self.sessions.upsert(self.spark.createDataFrame([(session, filename, doc_type, created_at, "extracting", 0)], schemas.SESSION))
         return session
 
+    def _file(self, session: str) -> tuple:
+        """The Hadoop file system and path of a session's document."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/uploads/{session}.pdf")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def receive(self, filename: str, content: bytes, reader: Callable[[bytes], list[str]] = corpus.pdf_text) -> dict:
+        """Save an uploaded document under a new id, count its pages, route it and register its session.
+
+        More pages with text than review.PAGE_THRESHOLD make it a compliance
+        document, else it is narrative; one without text has nothing to extract
+        and is ready for review.  A document that cannot be read is removed again.
+        """
+        if not filename.lower().endswith(".pdf"):
+            raise ValueError("only .pdf files are taken")
+        session = uuid.uuid4().hex
+        fs, path = self._file(session)
+        out = fs.create(path)
+        try:
+            out.write(bytearray(content))
+        finally:
+            out.close()
+        try:
+            pages = corpus.parse_files(corpus.corpus_files(self.spark, path.toString()), reader)
+            seen = pages.agg(F.count("text").alias("n"), F.max(F.when(F.col("error") != corpus.NO_TEXT, F.col("error"))).alias("error")).first()
+            if seen["error"]:
+                raise ValueError(seen["error"])
+            doc_type = "compliance" if seen["n"] > review.PAGE_THRESHOLD else "narrative"
+            status = "extracting" if seen["n"] else "reviewing"
+            self.sessions.upsert(self.spark.createDataFrame([(session, filename, doc_type, datetime.now(UTC), status, 0)], schemas.SESSION))
+        except Exception as e:
+            fs.delete(path, False)
+            raise ValueError(f"could not process {filename}: {e}") from e
+        return {"session_id": session, "filename": filename, "doc_type": doc_type, "extraction_status": "processing" if seen["n"] else "complete", "requirements": []}
+
+    def document(self, session: str) -> DataFrame:
+        """The saved document of a session as a row of corpus_files(); KeyError where there is none."""
+        fs, path = self._file(session)
+        if not fs.exists(path):
+            raise KeyError(session)
+        return corpus.corpus_files(self.spark, path.toString())
+
     def get(self, session: str) -> DataFrame:
         found = self.sessions.read().where(F.col("id") == session).limit(1)
         if found.isEmpty():

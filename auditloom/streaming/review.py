@@ -1,8 +1,9 @@
-"""Reviews as streams of requirement files, with events and a latest-answer view."""
+"""Reviews as streams of requirement files, with events and a latest-answer view."""
 
 from __future__ import annotations
 
 import json
+import threading
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
@@ -54,6 +55,41 @@ def progress_events(steps: list[tuple[str, Callable[[], str]]]) -> Iterator[dict
     yield {"type": "complete", "step": "complete", "step_number": total, "total_steps": total, "detail": ""}
 
 
+def mock_stream(evaluations: DataFrame, on_event: Callable[[dict], None], order: str = "requirement_id", period: str = "600 milliseconds") -> int:
+    """Hand one stored evaluation a period to on_event, then the phases critic and complete; gives how many there were.
+
+    A micro-batch is one tick and holds one row, so nothing grows in the driver;
+    an error of on_event ends the stream and is raised.
+    """
+    spark = evaluations.sparkSession
+    place = F.row_number().over(review.Window.orderBy(order)) - 1  # a mock is one reviewer's session, so one task orders it
+    rows = evaluations.withColumn("_tick", place.cast("long")).persist()
+    total, ended = rows.count(), threading.Event()
+
+    def one(batch: DataFrame, number: int) -> None:
+        for row in batch.collect():
+            seen = row.asDict()
+            tick = seen.pop("_tick")
+            on_event({"event": "evaluation", "evaluation": seen, "completed": tick + 1, "total": total})
+            if tick + 1 == total:
+                ended.set()
+
+    try:
+        if total:
+            ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1).load()
+            query = ticks.select(F.col("value").alias("_tick")).join(rows, "_tick").writeStream.foreachBatch(one).trigger(processingTime=period).start()
+            while query.isActive and not ended.wait(0.05):
+                pass
+            if query.exception():
+                raise query.exception()
+            query.stop()
+    finally:
+        rows.unpersist()
+    for phase in ("critic", "complete"):
+        on_event({"event": "phase", "phase": phase})
+    return total
+
+
 def latest_by_key(stream: DataFrame) -> DataFrame:
     """Stream (key, seq, value) to updates (key, seq, value, n), the latest of each key so far and how many came."""
     return stream.groupBy("key").agg(F.max("seq").alias("seq"), F.max_by("value", "seq").alias("value"), F.count("*").alias("n"))

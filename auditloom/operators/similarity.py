@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..sources.shared import shared_path
+from ..sources.shared import settle, shared_path
 
 TOP_K, DUPLICATE = 10, 0.90
 #: Rows of a block in a join, queries in a batch, and corpus rows that a batch is held against at once.
@@ -84,13 +84,13 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, drop_self: bool
 def pairs(rows: DataFrame, threshold: float = DUPLICATE, key: str | None = None) -> DataFrame:
     """(key,) a, b, similarity of rows (id, vec[, key]) at least `threshold` alike, a < b.
 
-    With a key only rows of one key are held against each other; every key is cut
-    into blocks by its own size.  Only pairs that pass are written out.
+    With a key only rows of one key are held against each other (null is a key);
+    every key is cut into blocks by its own size.  Only pairs that pass are written out.
     """
     by = key or "_k"
     df = rows if key else rows.withColumn("_k", F.lit(0))
-    sizes = df.groupBy(by).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_n"))
-    df = df.join(sizes, by).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    sizes = df.groupBy(F.col(by).alias("_by")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_n"))
+    df = df.join(sizes, F.col(by).eqNullSafe(F.col("_by"))).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     df = df.withColumn("_lo", F.least("_b", "_j")).withColumn("_hi", F.greatest("_b", "_j")).select(by, "_lo", "_hi", "_b", "id", "vec")
     kind = dict(df.dtypes)[by]
 
@@ -111,6 +111,29 @@ def pairs(rows: DataFrame, threshold: float = DUPLICATE, key: str | None = None)
 def leaders(rows: DataFrame, threshold: float = DUPLICATE, key: str = "label") -> DataFrame:
     """A10: (key, id, leader): in order of id, a row not yet absorbed leads and absorbs all later rows alike enough to it.
 
+    Rows of equal vectors have the same leader: whoever absorbs the first of them
+    comes before all and absorbs all, else the first leads the others.  So one row
+    stands for its copies (told by 128-bit hashes), and a large group of copies
+    gives no edges.  A vector not alike to itself (zero) has no copies.
+    """
+    digest = [F.xxhash64("vec").alias("_h"), F.xxhash64(F.lit(1), "vec").alias("_g")]
+    held = settle(rows.select(key, "id", "vec", *digest, (F.round(dot(F.col("vec"), F.col("vec")), 5) >= threshold).alias("_alike")), "vectors")
+    copied = held.where("_alike").groupBy(key, "_h", "_g").agg(F.min("id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    copied = settle(copied.select(F.col(key).alias("_key"), "_h", "_g", "_first"), "copies")
+    same = held[key].eqNullSafe(copied["_key"]) & (held["_h"] == copied["_h"]) & (held["_g"] == copied["_g"]) & held["_alike"]
+    tagged = held.join(copied, same, "left").select(key, "id", "vec", "_first")
+    alone = _fold(tagged.where("_first IS NULL OR _first = id").select(key, "id", "vec"), threshold, key)
+    alone = settle(alone, "leaders")
+    firsts = alone.select(F.col(key).alias("_key"), F.col("id").alias("_id"), "leader")
+    firsts = firsts.join(copied.select(F.col("_key").alias("_k2"), "_first"), F.col("_key").eqNullSafe(F.col("_k2")) & (F.col("_id") == F.col("_first")), "left_semi")
+    others = tagged.where("_first <> id").select(key, "id", "_first")
+    others = others.join(firsts, others[key].eqNullSafe(firsts["_key"]) & (others["_first"] == firsts["_id"])).select(key, "id", "leader")
+    return alone.unionByName(others)
+
+
+def _fold(rows: DataFrame, threshold: float, key: str) -> DataFrame:
+    """leaders() of rows without copies.
+
     The similarity join is blocked; only its edges, usually few, meet in one
     ordered fold per key, which streams over the sorted edges.
     """

@@ -1,7 +1,7 @@
-"""Tables of the engine: keyed upserts into snapshots, artifact caches, sessions.
+"""Tables of the engine: keyed upserts as parts, artifact caches, sessions.
 
-A store is a folder of snapshots; a reader takes the newest complete one, so an
-upsert never overwrites what a running query reads.
+A store is a folder of parts that never change, so an upsert never overwrites
+what a running query reads.
 """
 
 from __future__ import annotations
@@ -30,32 +30,97 @@ def latest_by_key(old: DataFrame, new: DataFrame, key: str, version: str) -> Dat
 
 
 class Table:
-    """A keyed table under a path; created on first use, empty until then."""
+    """A keyed table under a path; created on first use, empty until then.
+
+    The table is a sequence of parts.  An upsert writes one part of its own rows;
+    a reader lays the later parts over the first, so two writers lose nothing, and
+    no part is changed once it is there.  When PARTS of them stand, they are
+    merged into one that names what it covers: all but the first while they are
+    small beside it, so a large first part is rewritten seldom.
+    """
+
+    PARTS, REWRITE = 16, 4
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: str) -> None:
         self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
 
-    def _snapshots(self) -> list[str]:
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _fs(self, *names: str) -> tuple:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *names)))
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _parts(self) -> tuple[list[str], set[str]]:
+        """Names of the complete parts in order of writing, and of those that a merged part covers."""
+        fs, root = self._fs()
         if not fs.exists(root):
-            return []
-        names = [s.getPath() for s in fs.listStatus(root)]
-        done = [p.getName() for p in names if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(done)
+            return [], set()
+        done, covered = [], set()
+        for status in fs.listStatus(root):
+            name = status.getPath().getName()
+            inside = {f.getPath().getName() for f in fs.listStatus(status.getPath())}
+            if "_SUCCESS" in inside:
+                done.append(name)
+            if "_covers" in inside:
+                stream = fs.open(self._fs(name, "_covers")[1])
+                covered.update(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split())
+                stream.close()
+        return sorted(done), covered
+
+    def _live(self) -> list[str]:
+        done, covered = self._parts()
+        return [name for name in done if name not in covered]
+
+    def _load(self, parts: list[str]) -> DataFrame:
+        """The parts laid over each other; the first stays in place but for the keys of later ones."""
+        if not parts:
+            return self.spark.createDataFrame([], self.schema)
+        first, *later = (self.spark.read.schema(self.schema).parquet(f"{self.path}/{name}") for name in parts)
+        if not later:
+            return first
+        new = later[0].withColumn("_v", F.lit(0))
+        for n, part in enumerate(later[1:], 1):
+            new = new.unionByName(part.withColumn("_v", F.lit(n)))
+        new = new if len(later) == 1 else new.withColumn("_n", F.row_number().over(Window.partitionBy(self.key).orderBy(F.desc("_v")))).where("_n = 1").drop("_n")
+        keys = new.select(F.col(self.key).alias("_key"))
+        return first.join(keys, F.col(self.key).eqNullSafe(F.col("_key")), "left_anti").unionByName(new.drop("_v"))
 
     def read(self) -> DataFrame:
-        known = self._snapshots()
-        if not known:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{known[-1]}")
+        return self._load(self._live())
 
     def upsert(self, rows: DataFrame) -> None:
         """Idempotent: rows replace those of equal keys; of equal keys among rows one stays."""
-        new = schemas.conform(rows, self.schema).withColumn("_v", F.lit(1))
-        merged = latest_by_key(self.read().withColumn("_v", F.lit(0)), new, self.key, "_v").drop("_v")
-        merged.write.parquet(f"{self.path}/{len(self._snapshots()):08d}-{uuid.uuid4().hex}")
+        live = self._live()
+        number = int(live[-1].split("-")[0]) + 1 if live else 0
+        schemas.conform(rows, self.schema).dropDuplicates([self.key]).write.parquet(f"{self.path}/{number:08d}-{uuid.uuid4().hex}")
+        self._compact()
+
+    def _bytes(self, name: str) -> int:
+        fs, path = self._fs(name)
+        return fs.getContentSummary(path).getLength()
+
+    def _compact(self) -> None:
+        """Merge parts where PARTS stand; until its list is there the merged part only repeats the others."""
+        live = self._live()
+        if len(live) < self.PARTS:
+            return
+        first, *later = live
+        whole = self._bytes(first) <= self.REWRITE * sum(map(self._bytes, later))
+        merged = live if whole else later
+        name = f"{merged[-1].split('-')[0]}-{uuid.uuid4().hex}"
+        self._load(merged).write.parquet(f"{self.path}/{name}")
+        fs, draft = self._fs(name, "_covers.draft")
+        out = fs.create(draft)
+        out.write(bytearray("\n".join(merged).encode()))
+        out.close()
+        fs.rename(draft, self._fs(name, "_covers")[1])
+
+    def vacuum(self) -> int:
+        """Delete the covered parts, oldest first, and give their number; for times when no reader is at work."""
+        done, covered = self._parts()
+        gone = [name for name in done if name in covered]
+        for name in gone:
+            fs, path = self._fs(name)
+            fs.delete(path, True)
+        return len(gone)
 
     def count(self) -> int:
         return self.read().count()

@@ -63,6 +63,28 @@ def test_leaders_are_not_transitive(spark, monkeypatch):
         assert {(r.a, r.b) for r in similarity.pairs(v.select("id", "vec"), 0.9).collect()} == {(1, 2), (2, 3)}
 
 
+def test_leaders_of_copies(spark):
+    rng = np.random.default_rng(5)
+    distinct = [unit(*x) for x in rng.normal(size=(12, 2))] + [[0.0, 0.0]]
+    rows = [(i, distinct[int(j)], k) for k in ("p", None) for i, j in enumerate(rng.integers(0, 13, 150))]
+    v = spark.createDataFrame(rows, "id long, vec array<double>, label string")
+    want = {}
+    for k in ("p", None):
+        mine = [(i, np.array(x)) for i, x, label in rows if label == k]
+        for at, (i, x) in enumerate(mine):
+            if want.setdefault((k, i), i) == i:
+                for j, y in mine[at + 1 :]:
+                    if round(float(x @ y), 5) >= 0.9:
+                        want.setdefault((k, j), i)
+    got = similarity.leaders(v, 0.9).collect()
+    assert len(got) == len(rows) and {(r.label, r.id): r.leader for r in got if r.label} == {k: x for k, x in want.items() if k[0]}
+    nulls = {r.id: r.leader for r in got if r.label is None}
+    assert nulls == {i: x for (k, i), x in want.items() if k is None}
+    assert similarity.leaders(v.limit(0), 0.9).collect() == []
+    copies = spark.range(50_000).select("id", F.array(F.lit(0.6), F.lit(0.8)).alias("vec"), F.lit("k").alias("label"))
+    assert [tuple(r) for r in similarity.leaders(copies).groupBy("leader").count().collect()] == [(0, 50_000)]
+
+
 def test_top_k_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(similarity, "BLOCK", 50)
     rng = np.random.default_rng(3)
@@ -103,6 +125,39 @@ def test_store(spark, tmp_path):
     assert {r.id: r.payload for r in t.read().collect()} == {"a": "1", "b": "2", "c": "2"}
 
 
+def test_store_merges_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store.Table, "PARTS", 3)
+    spec = schemas.struct("id string, payload string")
+    t = store.Table(spark, f"file://{tmp_path}/t", spec, "id")
+    frame = lambda rows: spark.createDataFrame(rows, spec)
+    want = {}
+    for n, rewrite in enumerate((4, 4, 4, 0, 0, 0, 4, 4)):  # merged whole, then all but the first
+        monkeypatch.setattr(store.Table, "REWRITE", rewrite)
+        rows = [(None, f"{n}"), ("a", f"{n}"), (f"k{n % 3}", f"{n}"), (f"only{n}", f"{n}")]
+        t.upsert(frame(rows))
+        want |= dict(rows)
+        assert {r.id: r.payload for r in t.read().collect()} == want and t.count() == len(want)
+        assert len(t._live()) < 3
+    held = t.read()
+    before = {r.id: r.payload for r in held.collect()}
+    assert t.vacuum() > 0 and t.vacuum() == 0
+    assert {r.id: r.payload for r in t.read().collect()} == before
+    t.upsert(frame([]))
+    assert {r.id: r.payload for r in t.read().collect()} == before
+
+
+def test_store_of_two_writers(spark, tmp_path, monkeypatch):
+    spec = schemas.struct("id string, payload string")
+    one, two = (store.Table(spark, f"file://{tmp_path}/t", spec, "id") for _ in range(2))
+    one.upsert(spark.createDataFrame([("a", "0")], spec))
+    seen = two._live()
+    one.upsert(spark.createDataFrame([("b", "1")], spec))
+    with monkeypatch.context() as m:
+        m.setattr(two, "_live", lambda: seen)  # began before the other's rows were there
+        two.upsert(spark.createDataFrame([("c", "2")], spec))
+    assert {r.id: r.payload for r in one.read().collect()} == {"a": "0", "b": "1", "c": "2"}
+
+
 def test_cache(spark, tmp_path):
     cache = store.Cache(spark, f"file://{tmp_path}/c")
     asked = spark.createDataFrame([("k1",), ("k2",)], "cache_key string")

@@ -126,6 +126,40 @@ class Table:
         return self.read().count()
 
 
+# The distances a collection may have; the second is that of one which names none.
+DISTANCES = ("cosine", "l2")
+
+
+class Collections:
+    """Named tables of vectors under a path, each with the distance it was made with."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+        self.known = Table(spark, f"{self.path}/_collections", schemas.struct("name string, distance string"), "name")
+
+    def get(self, name: str, schema: T.StructType, key: str = "id", distance: str | None = None) -> Table:
+        """The collection of that name, made where there is none; one that exists keeps its distance, and asking for another raises."""
+        if distance not in (None, *DISTANCES):
+            raise ValueError(f"{distance} is none of {', '.join(DISTANCES)}")
+        held = self.distance(name)
+        if held is None:
+            self.known.upsert(self.spark.createDataFrame([(name, distance or DISTANCES[1])], self.known.schema))
+        elif distance not in (None, held):
+            raise ValueError(f"collection {name} has the distance {held}")
+        return Table(self.spark, f"{self.path}/{name}", schema, key)
+
+    def distance(self, name: str) -> str | None:
+        row = self.known.read().where(F.col("name") == name).first()
+        return row and row["distance"]
+
+    def measure(self, name: str, similarity: Column) -> Column:
+        """The collection's distance of vectors of unit length from their inner product."""
+        held = self.distance(name)
+        if held is None:
+            raise KeyError(name)
+        return 1 - similarity if held == "cosine" else 2 - 2 * similarity
+
+
 class Cache(Table):
     """Artifacts by version, document and section hash; a switched-off cache misses and keeps nothing."""
 

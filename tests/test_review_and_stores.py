@@ -125,6 +125,23 @@ def test_store(spark, tmp_path):
     assert {r.id: r.payload for r in t.read().collect()} == {"a": "1", "b": "2", "c": "2"}
 
 
+def test_collections(spark, tmp_path):
+    made = store.Collections(spark, f"file://{tmp_path}/c")
+    spec = schemas.struct("id string, payload string")
+    made.get("policies", spec, distance="cosine").upsert(spark.createDataFrame([("a", "1")], spec))
+    made.get("terms", spec)
+    again = store.Collections(spark, f"file://{tmp_path}/c")
+    assert again.get("policies", spec).count() == 1 and again.get("terms", spec).count() == 0
+    assert (again.distance("policies"), again.distance("terms"), again.distance("none")) == ("cosine", "l2", None)
+    for distance in ("l2", "taxi"):
+        with pytest.raises(ValueError, match="distance|none of"):
+            again.get("policies", spec, distance=distance)
+    one = spark.createDataFrame([(0.75,)], "s double").select(again.measure("policies", F.col("s")).alias("p"), again.measure("terms", F.col("s")).alias("t")).first()
+    assert (one.p, one.t) == (0.25, 0.5)
+    with pytest.raises(KeyError):
+        again.measure("none", F.col("s"))
+
+
 def test_store_merges_parts(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(store.Table, "PARTS", 3)
     spec = schemas.struct("id string, payload string")

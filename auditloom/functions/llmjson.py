@@ -10,6 +10,8 @@ from . import text as X
 
 REQUIREMENTS = "array<struct<id:string,text:string,reference:string,category:string>>"
 COMPLIANCE = "array<struct<text:string,reference:string,category:string,obligation_type:string,obligation_level:string,actor:string,action_required:string,condition:string,timeframe:string,evidence_needed:string,risk_area:string,exact_quote:string,section_heading:string>>"
+#: So many sections of batches may be broadcast: some MB.
+BROADCAST_SECTIONS = 20_000
 #: JSON values that do not set a flag.
 FALSE = ("null", "false", "0", "0.0", '""', "[]", "{}")
 
@@ -74,18 +76,28 @@ def batch(df: DataFrame, sections: DataFrame, raw: str = "raw") -> DataFrame:
     sections has (batch_no, section_no, heading).  The same heading counts, else
     the first that contains the given one or is contained in it; case counts.  Of
     sections with equal headings the last is meant.  A batch has few sections, so
-    its headings ride along as an array.
+    its headings ride along as an array; where all of them may be broadcast, answers
+    stay where they are, however few batches they belong to.  An answer is read
+    and matched in one expression, so nothing of it is computed twice.
     """
-    known = sections.groupBy("batch_no").agg(F.sort_array(F.collect_list(F.struct("section_no", "heading"))).alias("_s"))
+    place = F.struct("section_no", "heading")
+    known = sections.where("heading IS NOT NULL").groupBy("batch_no", "heading").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    known = known.groupBy("batch_no").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("_s"))
+    known = F.broadcast(known) if sections.count() <= BROADCAST_SECTIONS else known
     schema = f"struct<sections:array<struct<heading:string,requirements:{COMPLIANCE}>>>"
-    rows = df.withColumn("_j", F.from_json(outermost(unfenced(F.col(raw)), "{", "}"), schema)).join(known, "batch_no")
-    rows = rows.select("batch_no", "_s", F.posexplode("_j.sections").alias("answer_no", "a")).withColumn("_g", X.strip(F.coalesce(F.col("a.heading"), F.lit(""))))
-    names = F.transform("_s", lambda s: s["heading"])
-    near = F.get(F.filter(names, lambda h: (F.col("_g") != "") & (F.contains(h, F.col("_g")) | F.contains(F.col("_g"), h))), F.lit(0))
-    rows = rows.withColumn("_n", F.when(F.array_contains(names, F.col("_g")), F.col("_g")).otherwise(near))
-    rows = rows.withColumn("_m", F.get(F.reverse(F.filter("_s", lambda s: s["heading"] == F.col("_n"))), F.lit(0))).where("_m IS NOT NULL")
-    rows = rows.select("batch_no", "answer_no", "_m", F.posexplode("a.requirements").alias("item_no", "r")).where("r.text IS NOT NULL")
-    return rows.select("batch_no", "answer_no", "item_no", F.col("_m.section_no").alias("section_no"), F.col("_m.heading").alias("section_heading"), F.col("r.text").alias("text"), F.col("r.actor").alias("actor"), F.col("r.timeframe").alias("timeframe"))
+
+    def meant(given: Column) -> Column:
+        same = F.filter("_s", lambda s: s["last"]["heading"] == given)
+        near = F.filter("_s", lambda s: (given != "") & (F.contains(s["last"]["heading"], given) | F.contains(given, s["last"]["heading"])))
+        return F.coalesce(F.get(same, F.lit(0)), F.get(near, F.lit(0)))["last"]
+
+    def found(answer: Column, n: Column) -> Column:
+        row = lambda m: lambda r, i: F.struct(n.alias("answer_no"), i.alias("item_no"), m["section_no"].alias("section_no"), m["heading"].alias("section_heading"), r["text"].alias("text"), r["actor"].alias("actor"), r["timeframe"].alias("timeframe"))
+        return X.let(X.let(X.strip(F.coalesce(answer["heading"], F.lit(""))), meant), lambda m: F.when(m.isNotNull(), F.transform(answer["requirements"], row(m))))
+
+    text = X.let(unfenced(F.col(raw)), lambda t: outermost(t, "{", "}"))
+    made = X.let(F.from_json(text, schema)["sections"], lambda s: F.flatten(F.filter(F.transform(s, found), lambda x: x.isNotNull())))
+    return df.join(known, "batch_no").select("batch_no", F.inline(F.filter(made, lambda x: x["text"].isNotNull())))
 
 
 def verdicts(df: DataFrame, raw: str = "raw") -> DataFrame:

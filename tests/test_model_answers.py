@@ -23,3 +23,12 @@ def test_answer_fallbacks(spark):
     assert [(r.answer, r.needs_human_review, r.reasoning) for r in got] == [
         ("no", True, "Parse error: not JSON"), ("no", True, "Parse error: no answer"), ("no", True, "Parse error: 'unsure' is no answer"), ("no", True, "Parse error: confidence is not between 0 and 1"), ("partial", False, "")]
     assert (got[4].confidence, got[4].page_number) == (0.5, 7)
+
+
+def test_answers_of_few_batches_stay_in_place(spark):
+    sections = spark.createDataFrame([(0, 0, "Intake"), (0, 1, None), (1, 0, "Scope"), (1, 1, None)], "batch_no long, section_no int, heading string")
+    raw = '{"sections": [null, {"heading": null, "requirements": [{"text": "x"}]}, {"heading": "Intake", "requirements": null}, {"heading": "Intake", "requirements": [{"text": "a"}, null, {"actor": "b"}, {"text": "c"}]}]}'
+    rows = spark.range(0, 4000, 1, 8).selectExpr("id % 3 AS batch_no", f"CASE WHEN id % 2 = 0 THEN '{raw}' ELSE 'none' END AS raw")
+    found = llmjson.batch(rows, sections).selectExpr("*", "spark_partition_id() AS p").groupBy("batch_no", "answer_no", "item_no", "section_no", "section_heading", "text").agg({"*": "count", "p": "approx_count_distinct"}).collect()
+    assert sorted(tuple(r)[:6] for r in found) == [(0, 3, 0, 0, "Intake", "a"), (0, 3, 3, 0, "Intake", "c")]
+    assert all(r["count(1)"] == 667 and r["approx_count_distinct(p)"] == 8 for r in found)

@@ -18,8 +18,12 @@ from ..functions import text as X
 from ..sources.shared import settle, shared_path
 
 TOP_K, DUPLICATE = 10, 0.90
-#: Rows of a block in a join, queries in a batch, and corpus rows that a batch is held against at once.
-BLOCK, CORPUS_BLOCK = 1024, 16_384
+#: Rows of a block in a join, queries in a batch, corpus rows that a batch is held against, and those of one product.
+BLOCK, BATCH, CORPUS_BLOCK, TILE = 4096, 1024, 16_384, 4096
+#: So many bytes of vectors are held at once, whatever their width.
+HELD_BYTES = 64 << 20
+#: So many keys of several blocks may be broadcast, and so many tasks a core share the pairs of blocks.
+BROADCAST_KEYS, TASKS_PER_CORE = 100_000, 8
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -31,48 +35,72 @@ def _matrix(table: pa.Table) -> np.ndarray:
     return v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
 
 
+def _stored(store: pa.fs.FileSystem, root: str, columns: list[str], rows: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a stored table in batches: one file and one row group at a time, nothing read ahead."""
+    import pyarrow.parquet
+
+    for info in sorted(store.get_file_info(pa.fs.FileSelector(root)), key=lambda i: i.path):
+        if info.path.endswith(".parquet"):
+            with store.open_input_file(info.path) as f, pyarrow.parquet.ParquetFile(f) as table:
+                yield from (batch for batch in table.iter_batches(rows, columns=columns, use_threads=False) if batch.num_rows)
+
+
+def _scores(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Inner products to five places, in one array."""
+    score = left @ right.T
+    np.round(score, 5, out=score)
+    score += 0.0
+    return score
+
+
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, drop_self: bool = False) -> DataFrame:
     """(query_id, rank, id, similarity): the k most similar rows, ties to the smaller id.
 
     Queries are written once; the tasks of the corpus read them in batches, so
     neither side is copied or shuffled.  Each block of corpus rows gives k
-    candidates a query by matrix products, and the window ranks these few.
+    candidates a query by matrix products, and the window ranks these few.  A
+    task holds one block, one batch and one product of a batch and a tile of the
+    block, however many rows there are.
     """
     path = shared_path(queries.sparkSession, "queries")
     queries.select("id", "vec").write.parquet(path)
 
-    def best(asked: np.ndarray, vectors: np.ndarray, ids: np.ndarray, block: np.ndarray) -> pa.RecordBatch:
-        score = np.round(vectors @ block.T, 5) + 0.0
+    def tile(asked: np.ndarray, vectors: np.ndarray, ids: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        score = _scores(vectors, block)
         if drop_self:
             score[asked[:, None] == ids[None, :]] = -np.inf
         n = min(k, len(ids))
-        edge = -np.partition(-score, n - 1, axis=1)[:, n - 1 : n]
+        edge = score.max(axis=1, keepdims=True) if n == 1 else np.partition(score, len(ids) - n, axis=1)[:, len(ids) - n : len(ids) - n + 1]
         q, c = np.nonzero((score >= edge) & (score > -np.inf))
-        order = np.lexsort((ids[c], -score[q, c], q))
-        q, c = q[order], c[order]
-        keep = np.arange(len(q)) - np.searchsorted(q, q) < n
-        q, c = q[keep], c[keep]
-        return pa.RecordBatch.from_arrays([pa.array(asked[q]), pa.array(ids[c]), pa.array(score[q, c])], names=["query_id", "id", "similarity"])
+        return first(q, ids[c], score[q, c])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.dataset
+    def first(q: np.ndarray, ids: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((ids, -score, q))
+        q, ids, score = q[order], ids[order], score[order]
+        keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return q[keep], ids[keep], score[keep]
+
+    def best(asked: np.ndarray, vectors: np.ndarray, ids: np.ndarray, block: np.ndarray) -> pa.RecordBatch:
+        found = [tile(asked, vectors, ids[at : at + TILE], block[at : at + TILE]) for at in range(0, len(ids), TILE)]
+        q, c, score = first(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array(asked[q]), pa.array(c), pa.array(score)], names=["query_id", "id", "similarity"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = pa.fs.FileSystem.from_uri(path)
-        held: list[pa.RecordBatch] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            block = pa.Table.from_batches(held)
-            ids, matrix = block.column("id").to_numpy(), _matrix(block)
-            for part in pa.dataset.dataset(root, filesystem=store, format="parquet").to_batches(columns=["id", "vec"], batch_size=BLOCK):
-                if part.num_rows:
-                    yield best(part.column("id").to_numpy(), _matrix(pa.Table.from_batches([part])), ids, matrix)
+            ids, matrix = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            for part in _stored(store, root, ["id", "vec"], BATCH):
+                yield best(part.column("id").to_numpy(), _matrix(pa.Table.from_batches([part])), ids, matrix)
 
         for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-            if sum(b.num_rows for b in held) >= CORPUS_BLOCK:
-                yield from flush()
-                held.clear()
+            for at in range(0, batch.num_rows, TILE):
+                part = pa.Table.from_batches([batch.slice(at, TILE)])
+                held.append((part.column("id").to_numpy(), _matrix(part)))
+                if sum(len(ids) for ids, _ in held) >= CORPUS_BLOCK or sum(m.nbytes for _, m in held) >= HELD_BYTES:
+                    yield from flush()
         if held:
             yield from flush()
 
@@ -81,31 +109,84 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, drop_self: bool
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "similarity")
 
 
+def _alike(a: np.ndarray, left: np.ndarray, b: np.ndarray, right: np.ndarray, threshold: float, both: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (smaller id, larger id, similarity) between two blocks, or with `both` false inside one, a tile at a time."""
+    for i in range(0, len(a), BATCH):
+        for j in range(0, len(b), TILE):
+            x, y = a[i : i + BATCH], b[j : j + TILE]
+            score = _scores(left[i : i + BATCH], right[j : j + TILE])
+            p, q = np.nonzero(score >= threshold)
+            p, q, found = x[p], y[q], score[p, q]
+            keep = p != q if both else p < q
+            yield np.minimum(p, q)[keep], np.maximum(p, q)[keep], found[keep]
+
+
 def pairs(rows: DataFrame, threshold: float = DUPLICATE, key: str | None = None) -> DataFrame:
     """(key,) a, b, similarity of rows (id, vec[, key]) at least `threshold` alike, a < b.
 
-    With a key only rows of one key are held against each other (null is a key);
-    every key is cut into blocks by its own size.  Only pairs that pass are written out.
+    With a key only rows of one key are held against each other (null is a key).
+    The rows of a key of up to BLOCK meet in one task.  Larger keys are cut into
+    blocks by their own size, which are written once as files; a task reads the
+    two blocks of each of its pairs, so no row is copied or shuffled more than
+    once.  Only pairs that pass are written out.
     """
     by = key or "_k"
-    df = rows if key else rows.withColumn("_k", F.lit(0))
-    sizes = df.groupBy(F.col(by).alias("_by")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_n"))
-    df = df.join(sizes, F.col(by).eqNullSafe(F.col("_by"))).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    df = df.withColumn("_lo", F.least("_b", "_j")).withColumn("_hi", F.greatest("_b", "_j")).select(by, "_lo", "_hi", "_b", "id", "vec")
+    df = (rows if key else rows.withColumn("_k", F.lit(0))).select(by, "id", "vec")
     kind = dict(df.dtypes)[by]
+    schema = f"`{by}` {kind}, a long, b long, similarity double"
+    large = df.groupBy(F.col(by).alias("_by")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_n")).where("_n > 1")
+    large = settle(large.withColumn("_g", F.row_number().over(Window.orderBy("_n", "_by"))), "keys")
+    n_large, n_pairs = large.agg(F.count("*"), F.sum(F.col("_n").cast("long") * (F.col("_n") + 1) / 2).cast("long")).first()
+    known = F.broadcast(large) if n_large <= BROADCAST_KEYS else large
+    same = F.col(by).eqNullSafe(F.col("_by"))
+
+    def within(group: pa.Table) -> pa.Table:
+        ids, m = group.column("id").to_numpy(), _matrix(group)
+        a, b, score = (np.concatenate(x) for x in zip(*_alike(ids, m, ids, m, threshold, False), strict=True))
+        return pa.table({by: pa.repeat(group.column(by)[0], len(a)), "a": a, "b": b, "similarity": score})
+
+    found = []
+    if n_large:
+        found.append(_between(df.join(known, same), large, by, schema, threshold, n_pairs))
+    if key or not n_large:
+        small = df.join(known, same, "left_anti") if n_large else df
+        found.append(small.groupBy(by).applyInArrow(within, schema))
+    out = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    return out if key else out.drop("_k")
+
+
+def _between(rows: DataFrame, large: DataFrame, by: str, schema: str, threshold: float, n_pairs: int) -> DataFrame:
+    """pairs() of the large keys (_by, _n blocks, number _g), rows with their key's number and blocks."""
+    spark = rows.sparkSession
+    path = shared_path(spark, "blocks")
+    dealt = rows.withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int")).select("_g", "_b", "id", "vec").repartition("_g", "_b")
+    dealt.write.partitionBy("_g", "_b").parquet(path)
+    low = large.withColumn("_lo", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    work = low.withColumn("_hi", F.explode(F.sequence("_lo", F.col("_n") - 1))).select(F.col("_by").alias(by), "_g", "_lo", "_hi")
+    order = ("_g", "_lo", "_hi")
+    work = work.repartitionByRange(min(n_pairs, TASKS_PER_CORE * spark.sparkContext.defaultParallelism), *order).sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = pa.fs.FileSystem.from_uri(path)
+        held: tuple[tuple[int, int] | None, tuple[np.ndarray, np.ndarray] | None] = (None, None)
 
-    def run(group: pa.Table) -> pa.Table:
-        name, lo, hi = (group.column(c)[0] for c in (by, "_lo", "_hi"))
-        ids, block, m = group.column("id").to_numpy(), group.column("_b").to_numpy(), _matrix(group)
-        score = np.round(m @ m.T, 5) + 0.0
-        ok = (score >= threshold) & (ids[:, None] < ids[None, :])
-        if lo.as_py() != hi.as_py():
-            ok &= block[:, None] != block[None, :]
-        i, j = np.nonzero(ok)
-        return pa.table({by: pa.array([name.as_py()] * len(i), group.schema.field(by).type), "a": ids[i], "b": ids[j], "similarity": score[i, j]})
-
-    found = df.groupBy(by, "_lo", "_hi").applyInArrow(run, f"`{by}` {kind}, a long, b long, similarity double")
-    return found if key else found.drop("_k")
+        def block(g: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+            folder = f"{root}/_g={g}/_b={b}"
+            if store.get_file_info(folder).type == pa.fs.FileType.NotFound:  # no id fell into it
+                return np.zeros(0, dtype=np.int64), np.zeros((0, 0))
+            table = pa.Table.from_batches(list(_stored(store, folder, ["id", "vec"], BLOCK)))
+            return table.column("id").to_numpy(), _matrix(table)
+
+        for batch in batches:
+            for at, (g, lo, hi) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_g", "_lo", "_hi")), strict=True)):
+                if held[0] != (g, lo):
+                    held = ((g, lo), block(g, lo))
+                first, second = held[1], held[1] if lo == hi else block(g, hi)
+                if len(first[0]) and len(second[0]):
+                    for a, b, score in _alike(*first, *second, threshold, lo != hi):
+                        yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(by)[at], len(a)), pa.array(a), pa.array(b), pa.array(score)], names=[by, "a", "b", "similarity"])
+
+    return work.mapInArrow(run, schema)
 
 
 def leaders(rows: DataFrame, threshold: float = DUPLICATE, key: str = "label") -> DataFrame:

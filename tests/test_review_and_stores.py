@@ -1,8 +1,10 @@
 import json
+import tracemalloc
 from datetime import datetime
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +100,48 @@ def test_top_k_against_brute_force(spark, monkeypatch):
     assert got == {q: sorted(range(230), key=lambda i: (-s[q, i], i))[:5] for q in range(70)}
 
 
+def test_rows_of_a_large_key_are_not_copied(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 16)
+    monkeypatch.setattr(similarity, "TILE", 7)
+    monkeypatch.setattr(similarity, "BATCH", 5)
+    m = np.random.default_rng(4).normal(size=(120, 3))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    keys = [("p", None, "few")[0 if i < 70 else 1 if i < 110 else 2] for i in range(120)]
+    v = spark.createDataFrame([(i, x.tolist(), k) for i, (x, k) in enumerate(zip(m, keys, strict=True))], "id long, vec array<double>, label string")
+    s = np.round(m @ m.T, 5)
+    want = {(i, j): s[i, j] for i in range(120) for j in range(i + 1, 120) if s[i, j] >= 0.7}
+    found = similarity.pairs(v.select("id", "vec"), 0.7)
+    assert "vec" not in found._jdf.queryExecution().optimizedPlan().toString()
+    rows = found.collect()
+    assert len(rows) == len(want) and {(r.a, r.b): r.similarity for r in rows} == pytest.approx(want)
+    rows = similarity.pairs(v, 0.7, "label").collect()
+    assert sorted((r.label or "", r.a, r.b) for r in rows) == sorted((keys[i] or "", i, j) for i, j in want if keys[i] == keys[j])
+
+
+def test_search_memory_is_bounded(spark):
+    class Corpus:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return spark.createDataFrame([], schema)
+
+    vectors = np.random.default_rng(6).normal(size=(40_000, 8))
+    asked = spark.createDataFrame(pd.DataFrame({"id": range(1500), "vec": vectors[:1500].tolist()}), "id long, vec array<double>").coalesce(1)
+    corpus_rows = Corpus()
+    similarity.top_k(asked, corpus_rows, 3)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(40_000)), pa.ListArray.from_arrays(pa.array(np.arange(40_001, dtype=np.int32) * 8), pa.array(vectors.ravel()))], names=["id", "vec"])
+    tracemalloc.start()
+    found = pa.Table.from_batches(list(corpus_rows.run(iter([batch])))).to_pandas()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+    top = found.sort_values(["query_id", "similarity", "id"], ascending=[True, False, True]).groupby("query_id").head(3)
+    s = np.round(vectors[:1500] @ vectors.T, 5)
+    assert top.similarity.to_numpy().reshape(-1, 3) == pytest.approx(-np.sort(-s, axis=1)[:, :3])
+
+
 def test_search_and_citations(spark):
     texts = ["members receive care management services", "billing codes for claims", "appeals and grievances of members"]
     c = models.embed(spark.createDataFrame([(i, t, f"f{i}.pdf", i) for i, t in enumerate(texts)], "id long, text string, source_file string, page_number int"), "text")

@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from auditloom.functions import text as X
@@ -194,3 +196,18 @@ def test_extraction_end_to_end(spark):
     got = compliance.extract(marked(spark, text)).orderBy("id").collect()
     assert [(r.id, r.parent_id, r.exact_quote, r.actor) for r in got] == [(1, None, "The plan must report.", None), (2, None, "Staff shall keep records.", None), (3, 2, "keep a log", "Compliance")]
     assert got[0].reference == "Duties, page 1; Detail, page 1"
+
+
+def test_signature_of_all_white_space(spark):
+    texts = ["".join(f"A{c}{d}9 " for d in X.SPACE[1:-1]) + "Ä  12\t　x" for c in X.SPACE[1:-1]] + [" 1 . 2 ", " # ", "", None, "Page  1 of 22"]
+    got = [r.s for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(X.signature(F.col("t")).alias("s")).collect()]
+    space = re.compile(f"{X.SPACE}+")
+    want = [None if t is None else space.sub(" ", re.sub(r"[0-9]+", "#", t.strip(X.SPACE[1:-1]).lower())) for t in texts]
+    assert got == [w if w is None or re.sub(r"[#.,|\-/\\ ]", "", w) else "" for w in want]
+
+
+def test_lines_are_matched_by_their_marks_alone(spark):
+    rows = spark.createDataFrame([(0, p, t) for p in range(4) for t in (f"Page {p}", f"text {'x' * p}", "12")], "doc int, page int, line string")
+    marked = headers.with_marks(rows).select("doc", "page", F.length("line").alias("chars"), "mark")
+    left = headers.without_repeated(marked, "doc", "page").collect()
+    assert sorted((r.page, r.chars) for r in left) == sorted([(p, 5 + p) for p in range(4)] + [(p, 2) for p in range(4)])

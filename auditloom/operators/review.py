@@ -102,16 +102,20 @@ def display_rows(requirements: DataFrame, evaluations: DataFrame) -> DataFrame:
     return df.select("id", "text", empty("reference"), empty("answer"), F.coalesce(shown, F.lit("")).alias("confidence_text"), empty("citation_text"), F.coalesce("status", F.lit("pending")).alias("status"), F.when(F.col("confidence").isNotNull(), X.confidence_tier(F.col("confidence"), F.col("needs_human_review"))).alias("tier"))
 
 
-def hierarchy(requirements: DataFrame, sections: DataFrame) -> DataFrame:
+def hierarchy(requirements: DataFrame, sections: DataFrame, n_parts: int | None = None) -> DataFrame:
     """Requirements (doc_id, seq, section_heading, ...) with id and parent_id.
 
     A requirement of level 3 or deeper has the last one of level 2 or less before
     it as parent; an unknown heading counts as 0; of equal headings the last counts.
+    Headings, some per document, are never broadcast; with n_parts, rows are dealt
+    into so many in every step.
     """
-    level = sections.groupBy("doc_id", F.col("heading").alias("section_heading")).agg(F.max_by("level", "section_no").alias("_level"))
-    df = requirements.withColumn("section_heading", F.coalesce("section_heading", F.lit(""))).join(level, ["doc_id", "section_heading"], "left").withColumn("level", F.coalesce("_level", F.lit(0))).drop("_level")
+    dealt = lambda df, *keys: df.repartition(n_parts, *keys) if n_parts else df
+    at = ("doc_id", "section_heading")
+    level = dealt(sections.select("doc_id", F.col("heading").alias("section_heading"), "level", "section_no"), *at).groupBy(*at).agg(F.max_by("level", "section_no").alias("_level"))
+    df = dealt(requirements.withColumn("section_heading", F.coalesce("section_heading", F.lit(""))), *at).join(level.hint("merge"), list(at), "left").withColumn("level", F.coalesce("_level", F.lit(0))).drop("_level")
     seq = Window.partitionBy("doc_id").orderBy("seq")
-    df = df.withColumn("id", F.row_number().over(seq))
+    df = dealt(df, "doc_id").withColumn("id", F.row_number().over(seq))
     top = F.last(F.when(F.col("level") <= 2, F.col("id")), ignorenulls=True).over(seq.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return df.withColumn("parent_id", F.when(F.col("level") >= 3, top))
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..sources.shared import settle, shared_path
+from ..sources.shared import ROW_BYTES, parts, parts_of, settle, shared_path
 
 TOP_K, DUPLICATE = 10, 0.90
 #: Rows of a block in a join, queries in a batch, corpus rows that a batch is held against, and those of one product.
@@ -121,14 +121,15 @@ def _alike(a: np.ndarray, left: np.ndarray, b: np.ndarray, right: np.ndarray, th
             yield np.minimum(p, q)[keep], np.maximum(p, q)[keep], found[keep]
 
 
-def pairs(rows: DataFrame, threshold: float = DUPLICATE, key: str | None = None) -> DataFrame:
+def pairs(rows: DataFrame, threshold: float = DUPLICATE, key: str | None = None, n_parts: int | None = None) -> DataFrame:
     """(key,) a, b, similarity of rows (id, vec[, key]) at least `threshold` alike, a < b.
 
     With a key only rows of one key are held against each other (null is a key).
-    The rows of a key of up to BLOCK meet in one task.  Larger keys are cut into
-    blocks by their own size, which are written once as files; a task reads the
-    two blocks of each of its pairs, so no row is copied or shuffled more than
-    once.  Only pairs that pass are written out.
+    The rows of a key of up to BLOCK meet in one task; keys are dealt into n_parts,
+    by default counted.  Larger keys are cut into blocks by their own size, which
+    are written once as files; a task reads the two blocks of each of its pairs, so
+    no row is copied or shuffled more than once.  Only pairs that pass are written
+    out.
     """
     by = key or "_k"
     df = (rows if key else rows.withColumn("_k", F.lit(0))).select(by, "id", "vec")
@@ -150,7 +151,7 @@ def pairs(rows: DataFrame, threshold: float = DUPLICATE, key: str | None = None)
         found.append(_between(df.join(known, same), large, by, schema, threshold, n_pairs))
     if key or not n_large:
         small = df.join(known, same, "left_anti") if n_large else df
-        found.append(small.groupBy(by).applyInArrow(within, schema))
+        found.append(small.repartition(n_parts or (_parts(df) if key else 1), by).groupBy(by).applyInArrow(within, schema))
     out = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     return out if key else out.drop("_k")
 
@@ -189,39 +190,47 @@ def _between(rows: DataFrame, large: DataFrame, by: str, schema: str, threshold:
     return work.mapInArrow(run, schema)
 
 
+def _parts(rows: DataFrame) -> int:
+    n, values = rows.agg(F.count("*"), F.coalesce(F.sum(F.size("vec").cast("long")), F.lit(0))).first()
+    return parts(rows.sparkSession, n * ROW_BYTES + 8 * values)
+
+
 def leaders(rows: DataFrame, threshold: float = DUPLICATE, key: str = "label") -> DataFrame:
     """A10: (key, id, leader): in order of id, a row not yet absorbed leads and absorbs all later rows alike enough to it.
 
     Rows of equal vectors have the same leader: whoever absorbs the first of them
     comes before all and absorbs all, else the first leads the others.  So one row
-    stands for its copies (told by 128-bit hashes), and a large group of copies
-    gives no edges.  A vector not alike to itself (zero) has no copies.
+    stands for its copies (told by 128-bit hashes of key and vector), and a large
+    group of copies gives no edges.  A vector not alike to itself (zero) has no
+    copies.  Joins sort: the tables are small as files but not as broadcasts.
     """
-    digest = [F.xxhash64("vec").alias("_h"), F.xxhash64(F.lit(1), "vec").alias("_g")]
+    digest = [F.xxhash64(key, "vec").alias("_h"), F.xxhash64(F.lit(1), key, "vec").alias("_g")]
     held = settle(rows.select(key, "id", "vec", *digest, (F.round(dot(F.col("vec"), F.col("vec")), 5) >= threshold).alias("_alike")), "vectors")
+    n = _parts(held)
     copied = held.where("_alike").groupBy(key, "_h", "_g").agg(F.min("id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
     copied = settle(copied.select(F.col(key).alias("_key"), "_h", "_g", "_first"), "copies")
-    same = held[key].eqNullSafe(copied["_key"]) & (held["_h"] == copied["_h"]) & (held["_g"] == copied["_g"]) & held["_alike"]
-    tagged = held.join(copied, same, "left").select(key, "id", "vec", "_first")
-    alone = _fold(tagged.where("_first IS NULL OR _first = id").select(key, "id", "vec"), threshold, key)
+    held, copied = held.repartition(n, "_h", "_g"), copied.repartition(n, "_h", "_g")
+    same = (held["_h"] == copied["_h"]) & (held["_g"] == copied["_g"]) & held["_alike"]
+    tagged = held.join(copied.hint("merge"), same, "left").select(key, "id", "vec", "_first")
+    alone = _fold(tagged.where("_first IS NULL OR _first = id").select(key, "id", "vec"), threshold, key, n)
     alone = settle(alone, "leaders")
     firsts = alone.select(F.col(key).alias("_key"), F.col("id").alias("_id"), "leader")
-    firsts = firsts.join(copied.select(F.col("_key").alias("_k2"), "_first"), F.col("_key").eqNullSafe(F.col("_k2")) & (F.col("_id") == F.col("_first")), "left_semi")
+    firsts = firsts.join(copied.select(F.col("_key").alias("_k2"), "_first").hint("merge"), F.col("_key").eqNullSafe(F.col("_k2")) & (F.col("_id") == F.col("_first")), "left_semi")
     others = tagged.where("_first <> id").select(key, "id", "_first")
-    others = others.join(firsts, others[key].eqNullSafe(firsts["_key"]) & (others["_first"] == firsts["_id"])).select(key, "id", "leader")
+    others = others.join(firsts.hint("merge"), others[key].eqNullSafe(firsts["_key"]) & (others["_first"] == firsts["_id"])).select(key, "id", "leader")
     return alone.unionByName(others)
 
 
-def _fold(rows: DataFrame, threshold: float, key: str) -> DataFrame:
+def _fold(rows: DataFrame, threshold: float, key: str, n_parts: int) -> DataFrame:
     """leaders() of rows without copies.
 
     The similarity join is blocked; only its edges, usually few, meet in one
     ordered fold per key, which streams over the sorted edges.
     """
-    edges = pairs(rows, threshold, key).select(key, "a", "b")
+    edges = pairs(rows, threshold, key, n_parts).select(key, "a", "b")
     every = rows.select(F.col(key), F.col("id").alias("a"), F.lit(None).cast("long").alias("b"))
     kind = dict(every.dtypes)[key]
-    dealt = every.unionByName(edges).repartition(key).sortWithinPartitions(key, "a", F.asc_nulls_first("b"))
+    dealt = every.unionByName(edges).repartition(n_parts, key).sortWithinPartitions(key, "a", F.asc_nulls_first("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, leader = None, {}
@@ -241,18 +250,24 @@ def _fold(rows: DataFrame, threshold: float, key: str) -> DataFrame:
     return dealt.mapInArrow(run, f"`{key}` {kind}, id long, leader long")
 
 
-def merge(requirements: DataFrame, clusters: DataFrame, optional: list[str]) -> DataFrame:
+def merge(requirements: DataFrame, clusters: DataFrame, optional: list[str], within: str | None = None, n_parts: int | None = None) -> DataFrame:
     """One row per leader: content of the most complete member, references of all, in order.
 
-    requirements has id, text, reference and the optional columns.
+    requirements has id, text, reference and the optional columns.  With `within`,
+    a column of both, ids count within its values.  Rows are dealt into n_parts, by
+    default counted; clusters are never broadcast: as many rows as requirements,
+    they are a small file.
     """
-    df = requirements.join(clusters.select("id", "leader"), "id").withColumn("_score", X.completeness([F.col(c) for c in optional], F.col("text")))
-    content = [c for c in requirements.columns if c not in ("id", "reference")]
+    keys = [within] if within else []
+    n, at = n_parts or parts_of(requirements, "text"), [*keys, "id"]
+    led = clusters.select(*at, "leader").repartition(n, *at)
+    df = requirements.repartition(n, *at).join(led.hint("merge"), at).withColumn("_score", X.completeness([F.col(c) for c in optional], F.col("text")))
+    content = [c for c in requirements.columns if c not in ("id", "reference", *keys)]
     best = F.min_by(F.struct(*content, "reference"), F.struct(-F.col("_score"), F.col("id")))
     refs = F.sort_array(F.collect_list(F.when(F.coalesce(F.col("reference"), F.lit("")) != "", F.struct("id", "reference"))))
-    out = df.groupBy("leader").agg(best.alias("_best"), F.array_join(F.array_distinct(F.transform(refs, lambda r: r["reference"])), "; ").alias("_refs"), F.count("*").alias("members"))
+    out = df.repartition(n, *keys, "leader").groupBy(*keys, "leader").agg(best.alias("_best"), F.array_join(F.array_distinct(F.transform(refs, lambda r: r["reference"])), "; ").alias("_refs"), F.count("*").alias("members"))
     reference = F.when(F.col("members") > 1, F.nullif("_refs", F.lit(""))).otherwise(F.col("_best.reference"))
-    return out.select(F.col("leader").alias("id"), *(F.col(f"_best.{c}").alias(c) for c in content), reference.alias("reference"), "members")
+    return out.select(*keys, F.col("leader").alias("id"), *(F.col(f"_best.{c}").alias(c) for c in content), reference.alias("reference"), "members")
 
 
 def best_match(left: DataFrame, right: DataFrame) -> DataFrame:

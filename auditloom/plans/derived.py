@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import ROW_BYTES, parts
+
 REPEATED = "The plan will maintain records and implement controls in every unit. "
 REPEATS = 32
 
@@ -101,9 +103,11 @@ LISTS = [
 
 
 def lines(spark: SparkSession, sf_dir: str, templates: list[tuple[int, int, str]] = MANUAL) -> DataFrame:
-    """(doc_id, line_no, line)."""
+    """(doc_id, line_no, line), by documents in partitions of bounded size, so that what works by document needs no other shuffle."""
     read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
     owner = read("supplier").join(read("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("doc_id"), "n_name")
+    n = parts(spark, 2 * ROW_BYTES * len(templates) * read("supplier").count())
+    owner = owner.repartition(n, "doc_id")
     rows = F.array(*(F.struct(F.lit(m).alias("m"), F.lit(r).alias("r"), F.lit(t).alias("t")) for m, r, t in templates))
     df = owner.select("doc_id", "n_name", F.posexplode(rows).alias("line_no", "x")).where("doc_id % x.m = x.r")
     text = F.replace(F.replace(F.replace(F.col("x.t"), F.lit("{s}"), F.col("doc_id").cast("string")), F.lit("{n}"), F.col("n_name")), F.lit("{rep}"), F.repeat(F.lit(REPEATED), F.lit(REPEATS)))

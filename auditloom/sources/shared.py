@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -36,6 +37,27 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A partition to be sorted or aggregated is to hold so many bytes, a row counting for so many beside its text.
+PART_BYTES, ROW_BYTES = 4 << 20, 100
+
+
+def parts(spark: SparkSession, size: int) -> int:
+    """Into how many partitions rows of `size` bytes in memory are dealt.
+
+    Splits and merged shuffle partitions go by compressed bytes, which may be a
+    hundredth of what a task then holds; repartition(n, ...) is not merged.  Of
+    more parts than the threshold a task would hold all that it sends.
+    """
+    most = int(spark.sparkContext.getConf().get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    return max(1, min(most, -(-size // PART_BYTES)))
+
+
+def parts_of(df: DataFrame, *texts: str) -> int:
+    """parts() of df by a pass that counts its rows and the length of its texts."""
+    n, *chars = df.agg(F.count("*"), *(F.coalesce(F.sum(F.length(c).cast("long")), F.lit(0)) for c in texts)).first()
+    return parts(df.sparkSession, n * ROW_BYTES + sum(chars))
+
+
 #: A table of one split is dealt out if it holds so many bytes.
 SPREAD_BYTES = 2 << 20
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from auditloom.functions import text as X
 from auditloom.operators import headers, lines, lists, pack, review, terms, xref
 from auditloom.plans import compliance
+from auditloom.sources import shared
 
 
 def marked(spark, *texts):
@@ -198,6 +199,15 @@ def test_extraction_end_to_end(spark):
     assert got[0].reference == "Duties, page 1; Detail, page 1"
 
 
+def test_extraction_holds_few_documents_in_a_task(spark, monkeypatch):
+    monkeypatch.setattr(shared, "PART_BYTES", 1 << 14, raising=False)
+    got = compliance.extract(marked(spark, *(f"[HEADING 1] Duties\nThe plan must report to office {i}.\nStaff shall keep records." for i in range(500))))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == 1000 and max(sizes) < 250
+
+
 def test_signature_of_all_white_space(spark):
     texts = ["".join(f"A{c}{d}9 " for d in X.SPACE[1:-1]) + "Ä  12\t　x" for c in X.SPACE[1:-1]] + [" 1 . 2 ", " # ", "", None, "Page  1 of 22"]
     got = [r.s for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(X.signature(F.col("t")).alias("s")).collect()]
